@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ledger"]
+MODULES = ["ledger", "analytics", "citizens"]
 
 
 def load_all():

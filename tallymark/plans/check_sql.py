@@ -82,11 +82,11 @@ ROLLING_VIEWS = {
         'open' AS status, created_at, created_at AS updated_at
         FROM e_kinds WHERE conflict_type IS NOT NULL""",
     # The state an enforcement team leaves tickets in: derived from the trigger scan, so it is repeatable.
-    "e_worked": """SELECT * EXCLUDE (status, updated_at),
-        CASE trigger_scan_id % 5 WHEN 0 THEN 'investigating' WHEN 1 THEN 'resolved' WHEN 2 THEN 'dismissed' ELSE status END AS status,
-        CASE WHEN trigger_scan_id % 5 IN (0, 1, 2) THEN 'officer ' || CAST(trigger_scan_id % 3 AS VARCHAR) END AS assigned_to,
-        CASE WHEN trigger_scan_id % 5 = 1 THEN 'label corrected' END AS resolution_notes,
-        CASE WHEN trigger_scan_id % 5 IN (1, 2) THEN created_at + INTERVAL 3 DAY END AS resolved_at,
-        CASE WHEN trigger_scan_id % 5 IN (0, 1, 2) THEN created_at + INTERVAL 3 DAY ELSE updated_at END AS updated_at
-        FROM e_tickets""",
+    "e_worked": """SELECT k.* EXCLUDE (status, updated_at),
+        CASE s.user_role WHEN 'inspector' THEN 'investigating' WHEN 'admin' THEN 'resolved' WHEN 'viewer' THEN 'dismissed' ELSE k.status END AS status,
+        CASE WHEN s.user_role IN ('inspector', 'admin', 'viewer') THEN 'officer ' || CAST(s.user_id % 3 AS VARCHAR) END AS assigned_to,
+        CASE WHEN s.user_role = 'admin' THEN 'label corrected' END AS resolution_notes,
+        CASE WHEN s.user_role IN ('admin', 'viewer') THEN s.created_at + INTERVAL 3 DAY END AS resolved_at,
+        CASE WHEN s.user_role IN ('inspector', 'admin', 'viewer') THEN s.created_at + INTERVAL 3 DAY ELSE k.updated_at END AS updated_at
+        FROM e_tickets k JOIN v_scans s ON s.scan_id = k.trigger_scan_id""",
 }

@@ -115,12 +115,12 @@ def conflict_tickets(t: Tables) -> DataFrame:
 
 def worked_tickets(t: Tables) -> DataFrame:
     """Tickets after enforcement updates; the updates are a projection of the scans."""
-    id5 = F.col("scan_id") % 5
-    updates = t.scans.where(id5.isin(0, 1, 2)).select(
+    role = F.col("user_role")
+    updates = t.scans.where(role.isin("inspector", "admin", "viewer")).select(
         F.col("scan_id").alias("trigger_scan_id"),
-        F.when(id5 == 0, "investigating").when(id5 == 1, "Resolved").otherwise("dismissed").alias("status"),
-        F.concat(F.lit("officer "), (F.col("scan_id") % 3).cast("string")).alias("assigned_to"),
-        F.when(id5 == 1, "label corrected").alias("resolution_notes"),
+        F.when(role == "inspector", "investigating").when(role == "admin", "Resolved").otherwise("dismissed").alias("status"),
+        F.concat(F.lit("officer "), (F.col("user_id") % 3).cast("string")).alias("assigned_to"),
+        F.when(role == "admin", "label corrected").alias("resolution_notes"),
         (F.col("created_at") + F.expr("INTERVAL 3 DAYS")).alias("updated_at"),
     )
     return update_tickets(tickets(t), updates)

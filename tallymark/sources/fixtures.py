@@ -35,6 +35,31 @@ SCANS = {
         WHEN event_id % 4 = 2 THEN 'missing_origin' ELSE '' END""",
 }
 
+SCANS["tampered"] = "event_type = 'error' AND user_id % 9 = 3"
+SCANS["scan_uid"] = "concat('LM-2026-', lpad(CAST(event_id AS STRING), 9, '0'))"
+
+# Raw submissions as they reach the store: several optional sources per column, blanks and zeros.
+SUBMISSIONS = {
+    "scan_id": "event_id",
+    "scan_id_text": "CASE WHEN event_type = 'signup' THEN concat('LM-2026-9', CAST(event_id AS STRING)) ELSE CAST(event_id AS STRING) END",
+    "scan_uid": "CASE WHEN event_type = 'view' THEN concat('LM-2026-8', CAST(event_id AS STRING)) WHEN event_type = 'click' THEN '' ELSE NULL END",
+    "product_name": "CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('Pack ', regexp_extract(props, '([0-9]+)', 1)) END",
+    "product_title": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE concat('Title ', regexp_extract(props, '([0-9]+)', 1)) END",
+    "details_name": "CASE WHEN event_id % 12 = 0 THEN '' ELSE 'Detail' END",
+    "product_category": "CASE WHEN user_id % 4 = 0 THEN '' WHEN user_id % 4 = 1 THEN NULL ELSE 'Snacks' END",
+    "category": "CASE WHEN user_id % 4 = 0 THEN 'Tea' ELSE '' END",
+    "scan_type": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'batch' END",
+    "compliance_status": "CASE event_type WHEN 'error' THEN 'Non-Compliant' WHEN 'click' THEN '' WHEN 'view' THEN NULL ELSE 'COMPLIANT' END",
+    "final_result": "CASE event_type WHEN 'click' THEN 'Partial-Review-Needed' ELSE '' END",
+    "overall_confidence": "CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_id % 4 = 1 THEN NULL ELSE 0.9 END",
+    "compliance_confidence": "CASE WHEN event_id % 8 = 0 THEN 0.0 ELSE 0.7 END",
+    "ocr_confidence": "CASE WHEN event_id % 16 = 0 THEN 0.0 ELSE 0.6 END",
+    "scanned_image_url": "CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('img/', CAST(event_id AS STRING)) END",
+    "gallery_url": "CASE WHEN event_id % 5 = 0 THEN concat('gallery/', CAST(event_id AS STRING)) ELSE NULL END",
+    "created_at": "ts",
+    "user_id": "user_id",
+}
+
 VIOLATIONS_MAIN = {
     "scan_id": "event_id",
     "field_name": "CASE event_id % 6 WHEN 0 THEN 'mrp' WHEN 1 THEN 'net_quantity' WHEN 2 THEN 'manufacture_date' WHEN 3 THEN 'manufacturer_name_address' WHEN 4 THEN 'consumer_care_details' ELSE 'country_of_origin' END",
@@ -101,6 +126,7 @@ def _items(columns: dict[str, str]) -> str:
 # The same tables as SQL text, for checking a query against another engine.
 VIEW_SQL = {
     "v_scans": f"SELECT {_items(SCANS)} FROM events",
+    "v_submissions": f"SELECT {_items(SUBMISSIONS)} FROM events",
     "v_violations": (
         f"SELECT {_items(VIOLATIONS_MAIN)} FROM events WHERE {WHERE_MAIN} "
         f"UNION ALL SELECT {_items(VIOLATIONS_EXTRA)} FROM events WHERE {WHERE_EXTRA}"
@@ -128,6 +154,10 @@ class Tables:
     def scans(self) -> DataFrame:
         return project(self.read("events"), SCANS)
 
+    @property
+    def submissions(self) -> DataFrame:
+        return project(self.read("events"), SUBMISSIONS)
+
     @property
     def violations(self) -> DataFrame:
         events = self.read("events")
