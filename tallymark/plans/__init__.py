@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ledger", "analytics", "citizens"]
+MODULES = ["ledger", "analytics", "citizens", "labels"]
 
 
 def load_all():

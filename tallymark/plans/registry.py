@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ def with_views(sql: str, views: dict[str, str] | None = None) -> str:
 
     def need(text: str) -> None:
         for name, body in known.items():
-            if name in text and name not in needed:
+            if name not in needed and re.search(rf"\b{name}\b", text):
                 need(body)
                 needed.append(name)
 

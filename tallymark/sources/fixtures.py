@@ -91,7 +91,9 @@ LABELS = {
     "address_text": """CASE p_partkey % 10 WHEN 0 THEN 'Made in India' WHEN 1 THEN 'Plot 4, Industrial Area, Pune' WHEN 2 THEN 'Unit 9, HR-123501'
         WHEN 3 THEN 'Vevey, Switzerland' WHEN 4 THEN 'Plot 12, Sector 5, 400057' WHEN 5 THEN 'unknown'
         WHEN 6 THEN 'Manufactured by: Sunrise Foods Pvt. Ltd., Sonipat, Haryana'
-        WHEN 7 THEN 'Product of United Kingdom, bottled in Goa' WHEN 8 THEN '' ELSE 'Packed for sale in india only' END""",
+        WHEN 7 THEN CASE p_size % 5 WHEN 0 THEN 'Product of United Kingdom, bottled in Goa' WHEN 1 THEN 'Country of Origin: ITALY' WHEN 2 THEN 'Works at Navi Mumbai and Greater Noida'
+             WHEN 3 THEN 'Dairy of New South Wales' ELSE 'Imported by Lotus LLP, ka 560001' END
+        WHEN 8 THEN '' ELSE CASE p_size % 4 WHEN 0 THEN 'Packed for sale in india only' WHEN 1 THEN 'Salem Road, Texas' WHEN 2 THEN 'Made in Wonderland, New Delhi' ELSE 'U.S.A. 99 Ohio' END END""",
     "care_text": """CASE p_partkey % 4 WHEN 0 THEN 'Customer Care: 1800-123-4567 care@example.com' WHEN 1 THEN 'Helpline 98765 43210'
         WHEN 2 THEN 'Write to us' ELSE '' END""",
     "brand": "p_brand",
@@ -100,6 +102,31 @@ LABELS = {
     "name": "p_name",
 }
 
+# One declared field per line of a label; how it was read and its print height vary with the part.
+FIELD_SOURCES = {
+    "mrp": "mrp_text",
+    "net_quantity": "quantity_text",
+    "manufacture_date": "mfg_text",
+    "expiry_date": "exp_text",
+    "manufacturer_name_address": "address_text",
+    "consumer_care_details": "care_text",
+}
+FIELD_METHOD = "CASE WHEN {value} = '' THEN 'not_found' WHEN (product_id + {n}) % 23 = 0 THEN 'genai_fallback' WHEN (product_id + {n}) % 3 = 0 THEN 'ocr_easyocr' ELSE 'ocr_tesseract' END"
+FIELD_CONFIDENCE = "CASE WHEN {value} = '' THEN 0.0 WHEN (product_id + {n}) % 13 = 0 THEN 0.62 WHEN (product_id + {n}) % 7 = 0 THEN 0.68 ELSE 0.92 END"
+FIELD_HEIGHT = "CAST(12 + (product_id * {n} + p_size) % 70 AS INT)"
+
+# What the camera knew about a label, for turning pixels into millimetres.
+CAMERA = {
+    "scan_id": "p_partkey",
+    "ar_px_per_mm": "CASE WHEN p_partkey % 7 = 0 THEN 12.5 ELSE NULL END",
+    "ar_mm_per_px": "CASE WHEN p_partkey % 7 = 1 THEN 0.08 ELSE NULL END",
+    "circle_px": "CASE WHEN p_partkey % 7 = 2 THEN 290.0 + p_size ELSE NULL END",
+    "circle_mm": "CASE WHEN p_partkey % 7 = 2 THEN 24.26 ELSE NULL END",
+    "image_width_px": "1000",
+    "package_width_mm": "CASE WHEN p_partkey % 7 IN (3, 4) THEN 60.0 + p_size ELSE NULL END",
+    "net_quantity_g": "CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_size * 1000.0 ELSE p_size * 10.0 END",
+}
+
 LISTINGS = {
     "product_id": "p_partkey",
     "product_name": "p_name",
@@ -119,6 +146,11 @@ LISTINGS = {
 }
 
 
+LISTINGS["description"] = """CASE p_partkey % 9 WHEN 0 THEN 'Crisp biscuits, made in Italy' WHEN 1 THEN 'Tea manufactured in Assam' WHEN 2 THEN 'Made in Neverland'
+        WHEN 3 THEN 'Product of Sri Lanka. Ceylon tea' ELSE 'Everyday pack' END"""
+LISTINGS["spec_origin"] = "CASE WHEN p_partkey % 14 = 2 THEN 'Japan' ELSE NULL END"
+
+
 def _items(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
@@ -133,6 +165,13 @@ VIEW_SQL = {
     ),
     "v_labels": f"SELECT {_items(LABELS)} FROM part",
     "v_listings": f"SELECT {_items(LISTINGS)} FROM part",
+    "v_camera": f"SELECT {_items(CAMERA)} FROM part",
+    "v_fields": " UNION ALL ".join(
+        f"SELECT product_id AS scan_id, '{name}' AS field_name, {value} AS extracted_value, "
+        f"{FIELD_METHOD.format(value=value, n=n)} AS extraction_method, {FIELD_CONFIDENCE.format(value=value, n=n)} AS confidence, "
+        f"{FIELD_HEIGHT.format(n=n)} AS h FROM v_labels"
+        for n, (name, value) in enumerate(FIELD_SOURCES.items(), 1)
+    ),
 }
 
 
@@ -172,3 +211,17 @@ class Tables:
     @property
     def listings(self) -> DataFrame:
         return project(self.read("part"), LISTINGS)
+
+    @property
+    def camera(self) -> DataFrame:
+        return project(self.read("part"), CAMERA)
+
+    @property
+    def fields(self) -> DataFrame:
+        """Long form of the labels: one read of the part table, one row per declared field."""
+        rows = ", ".join(
+            f"struct('{name}' AS field_name, {value} AS extracted_value, {FIELD_METHOD.format(value=value, n=n)} AS extraction_method, "
+            f"CAST({FIELD_CONFIDENCE.format(value=value, n=n)} AS DOUBLE) AS confidence, {FIELD_HEIGHT.format(n=n)} AS h)"
+            for n, (name, value) in enumerate(FIELD_SOURCES.items(), 1)
+        )
+        return self.labels.selectExpr("product_id AS scan_id", f"inline(array({rows}))")
