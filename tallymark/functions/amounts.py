@@ -56,6 +56,12 @@ def price(text: Column) -> Column:
     return number_in(F.replace(text, F.lit(","), F.lit("")), PRICE)
 
 
+def positive_price(text: Column) -> Column:
+    """First price in the text when it is above zero."""
+    found = price(text)
+    return F.when(found > 0, found)
+
+
 def listing_price(text: Column) -> Column:
     """Price of a listing text: after a currency mark, then any two-decimal number, then a short text's number."""
     clean = F.trim(text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ledger", "analytics", "citizens", "labels"]
+MODULES = ["ledger", "analytics", "citizens", "labels", "products"]
 
 
 def load_all():

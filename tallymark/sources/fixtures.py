@@ -151,6 +151,35 @@ LISTINGS["description"] = """CASE p_partkey % 9 WHEN 0 THEN 'Crisp biscuits, mad
 LISTINGS["spec_origin"] = "CASE WHEN p_partkey % 14 = 2 THEN 'Japan' ELSE NULL END"
 
 
+LISTINGS["unit_text"] = "CASE WHEN p_partkey % 13 = 0 THEN concat('(Rs. ', CAST(p_size AS STRING), '.50 / 100 g)') ELSE NULL END"
+LISTINGS["item_code"] = "CASE WHEN p_partkey % 3 = 0 THEN concat('B0', lpad(CAST(p_partkey AS STRING), 8, '0')) ELSE NULL END"
+LISTINGS["ean"] = "CASE WHEN p_partkey % 4 = 1 THEN concat('890', lpad(CAST(p_partkey AS STRING), 10, '0')) ELSE NULL END"
+LISTINGS["category"] = "CASE p_partkey % 8 WHEN 0 THEN 'Hot Beverages' WHEN 1 THEN 'dairy ' WHEN 2 THEN 'Staples' WHEN 3 THEN '' WHEN 4 THEN 'Assam Tea' WHEN 5 THEN 'Edible Oil' WHEN 6 THEN 'Packaged Foods & Tea' ELSE p_type END"
+LISTINGS["household_size"] = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(p_partkey % 13 AS INT) END"
+
+NUTRITION = {
+    "product_id": "p_partkey",
+    "label_text": """concat(CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('Energy: ', CAST(p_size * 11 + 40 AS STRING), ' kcal ') END,
+        CASE p_partkey % 4 WHEN 0 THEN concat('Protein ', CAST(p_size % 30 AS STRING), '.5 g ') WHEN 1 THEN concat(CAST(p_size % 20 AS STRING), ' g protein ') ELSE '' END,
+        CASE WHEN p_partkey % 3 = 0 THEN concat('Total Sugars - ', CAST(p_size AS STRING), '.25g of which added sugars ', CAST(p_size % 17 AS STRING), ' g ') ELSE '' END,
+        CASE WHEN p_partkey % 7 < 3 THEN concat('Total Fat: ', CAST(p_size % 40 AS STRING), ' Saturated fat ', CAST(p_size % 12 AS STRING), '.1 Trans fat 0.', CAST(p_size % 10 AS STRING), ' ') ELSE '' END,
+        CASE p_partkey % 6 WHEN 0 THEN concat('Sodium ', CAST(p_size * 25 AS STRING), ' mg ') WHEN 1 THEN concat('Salt: ', CAST(p_size AS STRING), 'g ') ELSE '' END,
+        CASE WHEN p_partkey % 9 = 0 THEN concat('CARBOHYDRATE ', CAST(p_size + 30 AS STRING), ' Dietary fibre 3.75 ') ELSE '' END,
+        CASE WHEN p_partkey % 8 = 2 THEN concat('Serving size: ', CAST(p_size AS STRING), ' g. Ingredients: wheat flour, sugar, ', p_name, '. Keep dry') ELSE '' END)""",
+}
+
+# Three photographed sides per product; the back repeats and the flap restates declarations.
+SIDES = {
+    1: ("extracted_value", "extraction_method", "confidence"),
+    2: (
+        "CASE WHEN scan_id % 4 = 0 THEN '' ELSE concat(extracted_value, ' back') END",
+        "CASE WHEN extraction_method = 'not_found' THEN 'ocr_easyocr' ELSE extraction_method END",
+        "CASE WHEN scan_id % 3 = 0 THEN confidence ELSE 0.75 END",
+    ),
+    3: ("lower(extracted_value)", "CASE WHEN scan_id % 5 = 0 THEN 'not_found' ELSE 'genai_primary' END", "CASE WHEN scan_id % 2 = 0 THEN 0.97 ELSE 0.0 END"),
+}
+
+
 def _items(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
@@ -165,6 +194,12 @@ VIEW_SQL = {
     ),
     "v_labels": f"SELECT {_items(LABELS)} FROM part",
     "v_listings": f"SELECT {_items(LISTINGS)} FROM part",
+    "v_nutrition": f"SELECT {_items(NUTRITION)} FROM part",
+    "v_side_fields": " UNION ALL ".join(
+        f"SELECT scan_id AS product_id, {side} AS side, field_name, {value} AS extracted_value, {method} AS extraction_method, "
+        f"CAST({confidence} AS DOUBLE) AS confidence FROM v_fields"
+        for side, (value, method, confidence) in SIDES.items()
+    ),
     "v_camera": f"SELECT {_items(CAMERA)} FROM part",
     "v_fields": " UNION ALL ".join(
         f"SELECT product_id AS scan_id, '{name}' AS field_name, {value} AS extracted_value, "
@@ -225,3 +260,15 @@ class Tables:
             for n, (name, value) in enumerate(FIELD_SOURCES.items(), 1)
         )
         return self.labels.selectExpr("product_id AS scan_id", f"inline(array({rows}))")
+
+    @property
+    def nutrition(self) -> DataFrame:
+        return project(self.read("part"), NUTRITION)
+
+    @property
+    def side_fields(self) -> DataFrame:
+        rows = ", ".join(
+            f"struct({side} AS side, {value} AS extracted_value, {method} AS extraction_method, CAST({confidence} AS DOUBLE) AS confidence)"
+            for side, (value, method, confidence) in SIDES.items()
+        )
+        return self.fields.selectExpr("scan_id AS product_id", "field_name", f"inline(array({rows}))")
