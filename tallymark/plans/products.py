@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tallymark.functions import amounts, dates
 from tallymark.operators import crosscheck, geo, listings, nutrition, panels, shelf
 from tallymark.operators.rules import evaluate, summaries
 from tallymark.plans.check_sql import half_even
-from tallymark.plans.labels import LISTING_ORIGIN_VIEWS, quoted
+from tallymark.plans.labels import LABEL_VIEWS, LISTING_ORIGIN_VIEWS, origin_sql, quoted
 from tallymark.plans.registry import query
 from tallymark.sources.fixtures import Tables
 from tallymark.sources.stores import expiry_register
@@ -426,9 +428,20 @@ def merged_headers(t: Tables) -> DataFrame:
     return panels.merge_headers(t.labels.select("product_id", F.inline(rows)))
 
 
-@query("merged_side_verdicts")
+# The label checks over merged sides: the same SQL, reading the merged declarations.
+MERGED_VIEWS = {
+    **{name: re.sub(r"\bv_fields\b", "e_merged", body) for name, body in LABEL_VIEWS.items()},
+    "e_merged": """SELECT product_id AS scan_id, field_name, extracted_value, extraction_method, confidence, CAST(NULL AS INT) AS h FROM v_side_fields WHERE extracted_value <> ''
+      QUALIFY row_number() OVER (PARTITION BY product_id, field_name ORDER BY confidence DESC, side DESC) = 1""",
+    "e_origin": f"SELECT scan_id AS product_id, {origin_sql('extracted_value')} AS found FROM e_merged WHERE field_name = 'manufacturer_name_address'",
+}
+
+
+@query(
+    "merged_side_verdicts", "SELECT scan_id, compliance_status, total_violations, ai_used FROM e_status", MERGED_VIEWS
+)
 def merged_side_verdicts(t: Tables) -> DataFrame:
-    """Multi-side products judged on their merged declarations; checked against brute force in the tests."""
+    """Multi-side products judged on their merged declarations."""
     merged = panels.merge_sides(t.side_fields).withColumnRenamed("product_id", "scan_id").withColumn("h", F.lit(None).cast("int"))
     labels = t.camera.select(
         "scan_id",

@@ -40,6 +40,8 @@ def with_views(sql: str, views: dict[str, str] | None = None) -> str:
     if not ctes:
         return sql
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

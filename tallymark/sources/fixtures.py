@@ -180,6 +180,56 @@ SIDES = {
 }
 
 
+# Text blocks of a label: (text, x, y, w, h). Headings and values stand beside or above each other.
+TOKENS = [
+    ("CASE product_id % 4 WHEN 0 THEN CASE WHEN mrp_text = '' THEN 'M.R.P' ELSE mrp_text END WHEN 1 THEN 'MRP' WHEN 2 THEN 'MRF' ELSE 'MAXIMUM RETAIL PRICE' END", "10", "40", "60", "20"),
+    ("CASE WHEN product_id % 4 = 0 OR mrp_text = '' THEN '(Incl. of all taxes)' WHEN product_id % 3 = 0 THEN concat('Rs ', substr(mrp_text, 9), '/-') ELSE substr(mrp_text, 5) END", "90 + product_id % 90", "40 + product_id % 8", "80", "20"),
+    ("CASE product_id % 5 WHEN 0 THEN quantity_text WHEN 1 THEN 'NET WT' WHEN 2 THEN 'Net Qty.' WHEN 3 THEN 'NFT WEIGHT' ELSE 'FOR 64 g' END", "10", "90", "70", "18"),
+    ("CASE WHEN product_id % 5 = 0 THEN 'Serving 25 g' ELSE replace(replace(quantity_text, 'Net Wt. ', ''), 'Approx ', '') END", "CASE WHEN product_id % 2 = 0 THEN 100 ELSE 14 END", "CASE WHEN product_id % 2 = 0 THEN 92 ELSE 118 END", "60", "18"),
+    ("CASE product_id % 3 WHEN 0 THEN mfg_text WHEN 1 THEN 'PKD.' ELSE 'MFG DATE' END", "10", "150", "60", "16"),
+    ("CASE WHEN product_id % 3 = 0 THEN 'Batch No. ABC' ELSE substr(mfg_text, 6) END", "95", "151", "90", "16"),
+    ("CASE product_id % 4 WHEN 0 THEN 'USE BY' WHEN 1 THEN exp_text WHEN 2 THEN 'EXPIRY' ELSE 'Keep dry' END", "10", "185", "70", "16"),
+    ("CASE WHEN product_id % 8 = 4 THEN substr(mfg_text, 6) ELSE CASE WHEN length(exp_text) > 8 THEN substr(exp_text, 9) ELSE ' ' END END", "110", "186", "90", "16"),
+    ("CASE product_id % 3 WHEN 0 THEN 'Manufactured by:' WHEN 1 THEN 'MKTD BY' ELSE brand END", "10", "420", "120", "18"),
+    ("CASE WHEN product_id % 6 = 2 THEN 'Sunrise Foods Pvt. Ltd., Plot No. 7, Industrial Area, Pune 411001' ELSE address_text END", "12", "445", "300", "18"),
+    ("CASE product_id % 3 WHEN 0 THEN 'CUSTOMER CARE' WHEN 1 THEN care_text ELSE 'Phone No.' END", "420", "40", "130", "18"),
+    ("CASE WHEN product_id % 3 = 1 THEN 'USP Rs. 0.14/g' ELSE care_text END", "425", "66", "150", "18"),
+    ("CASE product_id % 4 WHEN 0 THEN 'Country of Origin' WHEN 1 THEN 'B.No: L24-001' WHEN 2 THEN 'LOT 77/A' ELSE concat(name, ' biscuits') END", "420", "430", "150", "18"),
+    ("CASE product_id % 4 WHEN 0 THEN 'India' WHEN 1 THEN 'Energy 480 kcal Protein 7 g' ELSE 'Lot: 09/25-A' END", "600", "432", "90", "18"),
+]
+TOKEN_CONFIDENCE = "CASE WHEN (product_id + {n}) % 10 = 0 THEN NULL ELSE CAST(0.5 + ((product_id + {n}) % 50) * 0.01 AS DOUBLE) END"
+TOKEN_ENGINE = "CASE (product_id + {n}) % 3 WHEN 0 THEN 'easyocr' WHEN 1 THEN 'tesseract' ELSE NULL END"
+
+
+def token_row(n: int) -> str:
+    text, x, y, w, h = TOKENS[n - 1]
+    return (
+        f"CAST({n} AS BIGINT) AS token_id, {text} AS text, CAST({x} AS INT) AS x, CAST({y} AS INT) AS y, CAST({w} AS INT) AS w, CAST({h} AS INT) AS h, "
+        f"{TOKEN_CONFIDENCE.format(n=n)} AS confidence, {TOKEN_ENGINE.format(n=n)} AS engine"
+    )
+
+
+# The same label read by two engines: the second shifts boxes a little, drops none and adds one.
+BLOCKS = {
+    "tesseract": ("token_id", "x", "y", "w", "h"),
+    "easyocr": ("token_id + 100", "x + scan_id % 23", "y + token_id % 5", "w - scan_id % 7", "h + token_id % 3"),
+}
+
+# A scanned code per label and where it stands.
+CODES = {
+    "scan_id": "p_partkey",
+    "code_text": """CASE p_partkey % 9 WHEN 0 THEN concat('890', lpad(CAST(p_partkey AS STRING), 10, '0')) WHEN 1 THEN lpad(CAST(p_partkey AS STRING), 12, '1')
+        WHEN 2 THEN lpad(CAST(p_partkey AS STRING), 8, '4') WHEN 3 THEN concat('https://id.gs1.org/01/0890', lpad(CAST(p_partkey AS STRING), 10, '0'))
+        WHEN 4 THEN concat('(01)0890', lpad(CAST(p_partkey AS STRING), 10, '0'), '(10)B', CAST(p_size AS STRING)) WHEN 5 THEN 'https://example.com/p'
+        WHEN 6 THEN lpad(CAST(p_partkey AS STRING), 14, '2') WHEN 7 THEN lpad(CAST(p_partkey AS STRING), 9, '7') ELSE concat(' ', lpad(CAST(p_partkey AS STRING), 13, '9'), ' ') END""",
+    "code_format": "CASE p_partkey % 9 WHEN 0 THEN 'EAN-13' WHEN 1 THEN 'UPC_A' WHEN 2 THEN 'EAN8' WHEN 6 THEN 'ITF-14' WHEN 8 THEN 'EAN8' ELSE 'QRCODE' END",
+    "bx": "CASE WHEN p_partkey % 2 = 0 THEN 600 ELSE 20 END",
+    "by": "CASE WHEN p_partkey % 2 = 0 THEN 470 ELSE 210 END",
+    "bw": "80",
+    "bh": "40",
+}
+
+
 def _items(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
@@ -200,6 +250,12 @@ VIEW_SQL = {
         f"CAST({confidence} AS DOUBLE) AS confidence FROM v_fields"
         for side, (value, method, confidence) in SIDES.items()
     ),
+    "v_tokens": " UNION ALL ".join(f"SELECT product_id AS scan_id, {token_row(n)} FROM v_labels" for n in range(1, len(TOKENS) + 1)),
+    "v_blocks": " UNION ALL ".join(
+        f"SELECT scan_id, {i} AS token_id, text, {x} AS x, {y} AS y, {w} AS w, {h} AS h, coalesce(confidence, 0.9) AS confidence, '{engine}' AS engine FROM v_tokens WHERE trim(text) <> ''"
+        for engine, (i, x, y, w, h) in BLOCKS.items()
+    ),
+    "v_codes": f"SELECT {_items(CODES)} FROM part",
     "v_camera": f"SELECT {_items(CAMERA)} FROM part",
     "v_fields": " UNION ALL ".join(
         f"SELECT product_id AS scan_id, '{name}' AS field_name, {value} AS extracted_value, "
@@ -272,3 +328,23 @@ class Tables:
             for side, (value, method, confidence) in SIDES.items()
         )
         return self.fields.selectExpr("scan_id AS product_id", "field_name", f"inline(array({rows}))")
+
+    @property
+    def tokens(self) -> DataFrame:
+        rows = ", ".join(f"struct({token_row(n)})" for n in range(1, len(TOKENS) + 1))
+        return self.labels.selectExpr("product_id AS scan_id", f"inline(array({rows}))")
+
+    @property
+    def blocks(self) -> DataFrame:
+        rows = ", ".join(
+            f"struct('{engine}' AS engine, {i} AS token_id, {x} AS x, {y} AS y, {w} AS w, {h} AS h)"
+            for engine, (i, x, y, w, h) in BLOCKS.items()
+        )
+        read = self.tokens.where("trim(text) <> ''").selectExpr(
+            "scan_id", "text", "CAST(coalesce(confidence, 0.9) AS DOUBLE) AS confidence", f"inline(array({rows}))"
+        )
+        return read.selectExpr("scan_id", "CAST(token_id AS BIGINT) AS token_id", "text", *[f"CAST({c} AS INT) AS {c}" for c in "xywh"], "confidence", "engine")
+
+    @property
+    def codes(self) -> DataFrame:
+        return project(self.read("part"), CODES)
