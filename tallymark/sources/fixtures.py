@@ -230,6 +230,29 @@ CODES = {
 }
 
 
+# Product pages built from the listings: structured data, tables, definitions, bullets or plain text.
+HTML = {
+    "page_id": "product_id",
+    "url": "concat('https://shop.example.com/x/dp/B0', lpad(CAST(product_id AS STRING), 8, '0'), '?ref=a')",
+    "html": """concat('<html><head><title>', product_name, ' &amp; more | Flipkart offers</title><meta name="description" content="Fresh ', brand, '"/>',
+      CASE product_id % 3 WHEN 0 THEN concat('<script type="application/ld+json">{"@context":"x","@type":"Product","name":"', product_name, ' LD","brand":{"name":"', brand, '"},"offers":{"price":"', coalesce(selling_price, ''),
+           '","highPrice":"', coalesce(selling_price, ''), '"},"weight":{"value":', CAST(product_id % 90 + 1 AS STRING), ',"unitText":"g"},"image":["https://img.example.com/a', CAST(product_id AS STRING), '.jpg","https://img.example.com/b.png"]}</script>')
+        WHEN 1 THEN concat('<meta content="', product_name, ' OG" property="og:title"/><script type="application/ld+json">{"@graph":[{"@type":"WebSite","name":"w"},{"@type":"Product","manufacturer":"', coalesce(manufacturer, ''), '"}]}</script>') ELSE '<script type="application/ld+json">{broken</script>' END,
+      '</head><body>', CASE product_id % 4 WHEN 0 THEN concat('<table class="t"><tr><th>Net Quantity</th><td><b>', coalesce(net_quantity, ''), '</b></td></tr><tr><td>Country of Origin</td><td>', coalesce(country_of_origin, 'Origin'), '</td></tr><tr><td>Packer</td><td>Metro&nbsp;Packers</td></tr></table>')
+        WHEN 1 THEN concat('<dl><dt>MRP (incl. tax)</dt><dd>Rs. ', coalesce(selling_price, '0'), '</dd><dt>Manufacturer Address</dt><dd>', coalesce(manufacturer_address, 'Plot 9'), '</dd></dl>')
+        WHEN 2 THEN concat('<div class="product-spec list"><ul><li>Shelf Life: 9 months</li><li>Importer : ', coalesce(importer, 'none'), '</li><li>no colon</li></ul></div>')
+        ELSE concat('<p>MRP: Rs. ', coalesce(selling_price, '0'), ' Net Wt: ', CAST(product_id % 70 + 5 AS STRING), ' g. Made in Sri Lanka. Batch No: B', CAST(product_id AS STRING), 'X mail us care@shop.org or 1800-123-4567</p>') END,
+      '<img src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), 'aB._SX38_.jpg" alt="front"/><img data-src="https://m.media-amazon.com/images/I/', CAST(product_id % 7 AS STRING), 'zz._SL500_.jpg" src="s.gif" alt="Nutrition facts panel"/>',
+      '<img src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), 'aB.jpg"/><!-- MRP 9 --></body></html>')""",
+}
+SEARCH_HTML = {
+    "page_id": "product_id",
+    "html": """concat('<div class="r"><div data-component-type="s-search-result" class="c"><h2 class="t"><span>', product_name, ' &amp; co</span></h2><a class="l" href="/n/dp/B0', lpad(CAST(product_id AS STRING), 8, '0'), '/ref=sr_1_', CAST(product_id % 9 AS STRING),
+      '?x=1"></a><img class="s-image" src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), '._AC_UL320_.jpg"/></article></div>', CASE WHEN product_id % 3 = 0 THEN '' ELSE concat('<div data-component-type="s-search-result"><a href="https://other.example.com/p', CAST(product_id AS STRING), '"><img src="x.png"></a></article></div>') END,
+      '<div data-component-type="s-search-result"><h2>No link</h2></article></div></div>')""",
+}
+
+
 def _items(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
@@ -255,6 +278,8 @@ VIEW_SQL = {
         f"SELECT scan_id, {i} AS token_id, text, {x} AS x, {y} AS y, {w} AS w, {h} AS h, coalesce(confidence, 0.9) AS confidence, '{engine}' AS engine FROM v_tokens WHERE trim(text) <> ''"
         for engine, (i, x, y, w, h) in BLOCKS.items()
     ),
+    "v_html": f"SELECT {_items(HTML)} FROM v_listings",
+    "v_search": f"SELECT {_items(SEARCH_HTML)} FROM v_listings",
     "v_codes": f"SELECT {_items(CODES)} FROM part",
     "v_camera": f"SELECT {_items(CAMERA)} FROM part",
     "v_fields": " UNION ALL ".join(
@@ -280,6 +305,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def parts(self) -> DataFrame:
+        """The part table. A file too small to be split is spread over the cores; a large one is not moved."""
+        parts, cores = self.read("part"), self.spark.sparkContext.defaultParallelism
+        return parts if parts.rdd.getNumPartitions() >= cores else parts.repartition(cores, "p_partkey")
+
     @property
     def scans(self) -> DataFrame:
         return project(self.read("events"), SCANS)
@@ -297,15 +328,15 @@ class Tables:
 
     @property
     def labels(self) -> DataFrame:
-        return project(self.read("part"), LABELS)
+        return project(self.parts, LABELS)
 
     @property
     def listings(self) -> DataFrame:
-        return project(self.read("part"), LISTINGS)
+        return project(self.parts, LISTINGS)
 
     @property
     def camera(self) -> DataFrame:
-        return project(self.read("part"), CAMERA)
+        return project(self.parts, CAMERA)
 
     @property
     def fields(self) -> DataFrame:
@@ -319,7 +350,7 @@ class Tables:
 
     @property
     def nutrition(self) -> DataFrame:
-        return project(self.read("part"), NUTRITION)
+        return project(self.parts, NUTRITION)
 
     @property
     def side_fields(self) -> DataFrame:
@@ -347,4 +378,12 @@ class Tables:
 
     @property
     def codes(self) -> DataFrame:
-        return project(self.read("part"), CODES)
+        return project(self.parts, CODES)
+
+    @property
+    def listing_html(self) -> DataFrame:
+        return project(self.listings, HTML)
+
+    @property
+    def search_html(self) -> DataFrame:
+        return project(self.listings, SEARCH_HTML)
