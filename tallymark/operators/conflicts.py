@@ -28,7 +28,13 @@ class ConflictConfig:
 DEFAULT_CONFIG = ConflictConfig()
 
 
-def rolling_state(scans: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, evidence: int = EVIDENCE_LIMIT) -> DataFrame:
+def rolling_state(
+    scans: DataFrame,
+    policy: SkewPolicy = DEFAULT_POLICY,
+    evidence: int = EVIDENCE_LIMIT,
+    order: list[str] = ORDER,
+    bucket: Column | None = None,
+) -> DataFrame:
     """Every scan with the product's state just before it and just after it.
 
     State is the consensus over the latest ``evidence`` scans plus lifetime tier counts. All frames
@@ -36,10 +42,9 @@ def rolling_state(scans: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, evidenc
     """
     rows = with_evidence(scans.where(F.col("gtin").isNotNull())).withColumn("_tier", known_tier(F.col("calibration_tier")))
     carry = {name: (F.col("_tier") == name).cast("long") for name in TIERS}
-    blocked = with_blocks(
-        rows, "gtin", ORDER, minute_of("created_at"), halo=evidence, carry=carry, policy=policy
-    )
-    ordered = Window.partitionBy("gtin", "_block").orderBy(*ORDER)
+    bucket = minute_of("created_at") if bucket is None else bucket
+    blocked = with_blocks(rows, "gtin", order, bucket, halo=evidence, carry=carry, policy=policy)
+    ordered = Window.partitionBy("gtin", "_block").orderBy(*order)
     after, before = ordered.rowsBetween(-(evidence - 1), 0), ordered.rowsBetween(-evidence, -1)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
 
