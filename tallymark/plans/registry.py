@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymark.sources.fixtures import VIEW_SQL, Tables
 
 
+VIEW_NAME = re.compile(r"\b[ev]_\w+")
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
     build: Callable[[Tables], DataFrame]
-    sql: str | None = None
+    check: str | None = None
+    views: dict[str, str] | None = None
+
+    @property
+    def sql(self) -> str | None:
+        return with_views(self.check, self.views) if self.check else None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
         return self.build(Tables(spark, folder))
@@ -30,9 +38,9 @@ def with_views(sql: str, views: dict[str, str] | None = None) -> str:
     needed: list[str] = []
 
     def need(text: str) -> None:
-        for name, body in known.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                need(body)
+        for name in dict.fromkeys(VIEW_NAME.findall(text)):
+            if name in known and name not in needed:
+                need(known[name])
                 needed.append(name)
 
     need(sql)
@@ -53,7 +61,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
     def wrap(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, build, with_views(sql, views) if sql else None)
+        REGISTRY[name] = Query(name, build, sql, views)
         return build
 
     return wrap

@@ -157,3 +157,9 @@ def expiry_register(expiry: DataFrame) -> DataFrame:
         F.coalesce(F.col("days_remaining").cast("int"), F.lit(0)).alias("days_remaining"),
         F.coalesce("status", F.lit("SAFE")).alias("status"),
     )
+
+
+def export_register(register: DataFrame, folder: str, as_csv: bool = False) -> None:
+    """Docket export: one register line per scan, partitioned by verdict colour."""
+    writer = register.write.mode("overwrite").partitionBy("verdict_color")
+    writer.option("header", True).csv(folder) if as_csv else writer.parquet(folder)
