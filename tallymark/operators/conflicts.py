@@ -45,17 +45,11 @@ def rolling_state(
     bucket = minute_of("created_at") if bucket is None else bucket
     blocked = with_blocks(rows, "gtin", order, bucket, halo=evidence, carry=carry, policy=policy)
     ordered = Window.partitionBy("gtin", "_block").orderBy(*order)
-    after, before = ordered.rowsBetween(-(evidence - 1), 0), ordered.rowsBetween(-evidence, -1)
+    up_to_here = ordered.rowsBetween(Window.unboundedPreceding, 0)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
 
-    def sums(frame, tag: str) -> dict[str, Column]:
-        return {
-            f"_for_{tag}": F.sum("ev_for").over(frame),
-            f"_against_{tag}": F.sum("ev_against").over(frame),
-            f"_weight_{tag}": F.sum("ev_weight").over(frame),
-            f"_n_{tag}": F.count(F.lit(1)).over(frame),
-        }
-
+    # Sliding sums as differences of exact running sums: each row costs the same whatever the frame.
+    parts = {"for": "ev_for", "against": "ev_against", "weight": "ev_weight"}
     own = (~F.col("_halo")).cast("long")
     counts = {
         f"prior_{name}": (
@@ -64,7 +58,21 @@ def rolling_state(
         )
         for name in TIERS
     }
-    wide = blocked.withColumns({**sums(after, "new"), **sums(before, "old"), **counts}).where(~F.col("_halo"))
+    running = blocked.withColumns(
+        {**{f"_sum_{p}": F.sum(c).over(up_to_here) for p, c in parts.items()}, "_rn": F.row_number().over(ordered), **counts}
+    )
+
+    def back(column: str, rows: int) -> Column:
+        return F.coalesce(F.lag(column, rows).over(ordered), F.lit(0))
+
+    slid = {}
+    for part in parts:
+        column = f"_sum_{part}"
+        slid[f"_{part}_new"] = F.col(column) - back(column, evidence)
+        slid[f"_{part}_old"] = back(column, 1) - back(column, evidence + 1)
+    slid["_n_new"] = F.least(F.col("_rn"), F.lit(evidence))
+    slid["_n_old"] = F.least(F.col("_rn") - 1, F.lit(evidence))
+    wide = running.withColumns(slid).where(~F.col("_halo"))
     old = [F.col(f"_{part}_old") for part in ("for", "against", "weight", "n")]
     new = [F.col(f"_{part}_new") for part in ("for", "against", "weight", "n")]
     first = F.col("_n_old") == 0

@@ -6,6 +6,8 @@ ever yields all pairs of its blocks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,24 +138,34 @@ def merge_engines(blocks: DataFrame, cell_size: int = 200) -> DataFrame:
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1.0 when either text contains the other, else edit similarity; 0 when lengths alone rule a match out."""
-    longest = F.greatest(F.length(a), F.length(b))
-    alike = F.abs(F.length(a) - F.length(b)) <= longest * (1.0 - ANCHOR_RATIO)
-    return (
-        F.when(F.contains(a, b) | F.contains(b, a), F.lit(1.0))
-        .when(alike, 1.0 - F.levenshtein(a, b) / longest)
-        .otherwise(F.lit(0.0))
-    )
-
-
 def anchor_match(upper: Column, anchors: list[str]) -> Column:
-    """Best heading for a text; the first heading wins ties."""
-    listed = F.transform(
-        F.split(F.lit("|".join(anchors)), "[|]"),
-        lambda a, i: F.struct(similarity(upper, a).alias("ratio"), (-i).alias("minus_order"), a.alias("anchor")),
+    """Best heading for a text: 1.0 when either contains the other, else edit similarity; first wins ties.
+
+    Containment is tested once for the whole list. The list is only walked to name the heading found,
+    or for a text that could still resemble one: short, mostly not digits, and of similar length.
+    """
+    listed = "|".join(anchors)
+    words = F.split(F.lit(listed), "[|]")
+    exact = F.rlike(upper, F.lit("|".join(re.escape(a) for a in anchors))) | F.contains(F.lit(listed), upper)
+    longest = max(len(a) for a in anchors)
+    wordy = F.length(F.regexp_replace(upper, "[0-9]", "")) >= F.length(upper) * ANCHOR_RATIO
+    plausible = (F.length(upper) * ANCHOR_RATIO <= longest) & wordy
+    size = F.length(upper)
+
+    def entry(ratio: Column, order: Column, anchor: Column) -> Column:
+        return F.struct(ratio.alias("ratio"), (-order).alias("minus_order"), anchor.alias("anchor"))
+
+    held = F.transform(
+        words, lambda a, i: F.when(F.contains(upper, a) | F.contains(a, upper), entry(F.lit(1.0), i, a))
+    )
+    alike = F.transform(
+        words,
+        lambda a, i: F.when(
+            F.abs(size - F.length(a)) <= F.greatest(size, F.length(a)) * (1.0 - ANCHOR_RATIO),
+            entry(1.0 - F.levenshtein(upper, a) / F.greatest(size, F.length(a)), i, a),
+        ),
     )
-    return F.array_max(listed)
+    return F.when(exact, F.coalesce(F.array_max(held), F.array_max(alike))).when(plausible, F.array_max(alike))
 
 
 def find_anchors(tokens: DataFrame) -> DataFrame:

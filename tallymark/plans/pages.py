@@ -65,7 +65,7 @@ def listing_pages(t: Tables) -> DataFrame:
     FROM (SELECT *, coalesce({visible_sql('html')}, '') AS txt FROM pages)""",
 )
 def stored_pages(t: Tables) -> DataFrame:
-    found = P.listings_of(t.read("pages"))
+    found = P.listings_of(t.pages)
     return found.select(
         "page_id", "product_name", "net_quantity", "manufacture_date", "packing_date", "structured_data", "product_specifications"
     )
@@ -73,7 +73,7 @@ def stored_pages(t: Tables) -> DataFrame:
 
 @query("page_text", f"SELECT page_id, length(txt) AS text_length, md5(txt) AS text_md5 FROM (SELECT page_id, {visible_sql('html')} AS txt FROM pages)")
 def page_text(t: Tables) -> DataFrame:
-    text = t.read("pages").select("page_id", visible_text(F.col("html")).alias("txt"))
+    text = t.pages.select("page_id", visible_text(F.col("html")).alias("txt"))
     return text.select("page_id", F.length("txt").alias("text_length"), F.md5("txt").alias("text_md5"))
 
 
@@ -114,5 +114,5 @@ def page_images(t: Tables) -> DataFrame:
     UNION ALL SELECT page_id, NULL, false FROM pages""",
 )
 def page_url_facts(t: Tables) -> DataFrame:
-    urls = t.listing_html.select("page_id", "url").unionByName(t.read("pages").select("page_id", "url"))
+    urls = t.listing_html.select("page_id", "url").unionByName(t.pages.select("page_id", "url"))
     return urls.select("page_id", P.item_code(F.col("url")).alias("item_code"), P.is_image_url(F.col("url")).alias("is_image"))

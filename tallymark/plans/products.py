@@ -598,3 +598,42 @@ def quantity_values(t: Tables) -> DataFrame:
         amounts.quantity_unit(F.col("quantity_text")).alias("unit"),
         amounts.price(F.col("mrp_text")).alias("price"),
     )
+
+
+DECLARED_VIEWS = {
+    **LISTING_ORIGIN_VIEWS,
+    **BEST_VIEWS,
+    "e_bestv": """SELECT b.product_id, b.field_name, f.extracted_value, f.extraction_method, f.confidence FROM (
+        SELECT * FROM e_best QUALIFY row_number() OVER (PARTITION BY product_id, field_name ORDER BY score DESC, side) = 1) b JOIN v_side_fields f USING (product_id, field_name, side)""",
+    "e_webv": """SELECT l.product_id, unnest(['manufacturer_name_address', 'net_quantity', 'mrp', 'manufacture_date', 'consumer_care_details', 'country_of_origin']) AS field_name,
+        unnest([coalesce(manufacturer_address, manufacturer), net_quantity, coalesce(mrp, selling_price), coalesce(manufacture_date, best_before, 'Stamped on physical package at dispatch (Rule 6(10))'), consumer_care,
+          'Country of Origin: ' || coalesce(CASE WHEN stated IS NOT NULL THEN coalesce(split_part(g1, '|', 1), trim(stated)) END, split_part(g2, '|', 1), split_part(g3, '|', 1), split_part(g4, '|', 1), split_part(g5, '|', 1), 'India')]) AS web
+      FROM v_listings l JOIN e_judged USING (product_id)""",
+    "e_declared6": """SELECT w.product_id, w.field_name, CASE WHEN b.extracted_value IS NULL THEN web
+          WHEN w.field_name = 'manufacturer_name_address' AND regexp_matches(lower(b.extracted_value), 'pvt|ltd') AND regexp_matches(lower(b.extracted_value), 'road|street|crossing|mumbai|estate|industrial|nagar|400057') THEN b.extracted_value
+          ELSE coalesce(web, b.extracted_value) END AS extracted_value, b.extracted_value AS packaging_value,
+        CASE WHEN b.extracted_value IS NOT NULL THEN b.extraction_method WHEN web IS NULL THEN 'not_found' WHEN w.field_name = 'manufacture_date' THEN 'ecommerce_rule_6_10' ELSE 'webpage_extracted' END AS extraction_method,
+        CASE WHEN b.extracted_value IS NULL THEN CASE WHEN web IS NULL THEN 0.0 ELSE 0.95 END WHEN web IS NOT NULL OR w.field_name = 'manufacturer_name_address' THEN greatest(0.95, coalesce(nullif(b.confidence, 0), 0.5)) ELSE b.confidence END AS confidence
+      FROM e_webv w LEFT JOIN e_bestv b USING (product_id, field_name)""",
+}
+
+
+def completed(t: Tables) -> DataFrame:
+    panel = t.labels.select("product_id", F.col("address_text").alias("panel_address"))
+    resolved = geo.resolve_origin(t.listings.join(panel, "product_id", "left"))
+    return panels.complete_declarations(panels.best_candidates(t.side_fields), resolved)
+
+
+@query("completed_declarations", "SELECT product_id, field_name, extracted_value, packaging_value, extraction_method, CAST(confidence AS DOUBLE) AS confidence FROM e_declared6", DECLARED_VIEWS)
+def completed_declarations(t: Tables) -> DataFrame:
+    return completed(t)
+
+
+@query(
+    "maker_addresses",
+    """SELECT product_id, CASE WHEN regexp_matches(lower(d.extracted_value), 'pvt|ltd|crossing|mumbai') AND (l.manufacturer_address IS NULL OR length(d.extracted_value) > length(l.manufacturer_address))
+      THEN d.extracted_value ELSE l.manufacturer_address END AS manufacturer_address FROM v_listings l LEFT JOIN (SELECT * FROM e_declared6 WHERE field_name = 'manufacturer_name_address') d USING (product_id)""",
+    DECLARED_VIEWS,
+)
+def maker_addresses(t: Tables) -> DataFrame:
+    return panels.maker_addresses(t.listings, completed(t))

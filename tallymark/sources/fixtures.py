@@ -305,11 +305,18 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for costly row work. A file too small to be split is spread over the cores; a large one is not moved."""
+        df, cores = self.read(name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
     @property
     def parts(self) -> DataFrame:
-        """The part table. A file too small to be split is spread over the cores; a large one is not moved."""
-        parts, cores = self.read("part"), self.spark.sparkContext.defaultParallelism
-        return parts if parts.rdd.getNumPartitions() >= cores else parts.repartition(cores, "p_partkey")
+        return self.spread("part", "p_partkey")
+
+    @property
+    def pages(self) -> DataFrame:
+        return self.spread("pages", "page_id")
 
     @property
     def scans(self) -> DataFrame:
