@@ -67,10 +67,14 @@ def xp_events(verified: DataFrame) -> DataFrame:
     )
 
 
-def xp_balance(events: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Running balance per user after each event; busy users are cut into blocks."""
+def xp_balance(events: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, sizes: DataFrame | None = None) -> DataFrame:
+    """Running balance per user after each event; busy users are cut into blocks.
+
+    ``sizes`` may name the raw submissions, so that finding busy users does not repeat the claim checks.
+    """
+    order = ["created_at", "scan_id"]
     summed = running_sum(
-        events, "user_id", ["created_at", "scan_id"], minute_of("created_at"), F.col("xp_change"), "_sum", policy
+        events, "user_id", order, minute_of("created_at"), F.col("xp_change"), "_sum", policy, sizes
     )
     return summed.withColumn("xp", (F.col("_sum") + XP_START).cast("long")).drop("_sum")
 
@@ -106,16 +110,19 @@ def mark_read(notifications: DataFrame, reads: DataFrame) -> DataFrame:
     )
 
 
-def triage(state: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Citizen scans: report at once when no ticket was raised and the ledger is confident."""
-    raised = tickets.select(F.col("trigger_scan_id").alias("scan_id"), F.lit(True).alias("_ticket"))
+def triage(state: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
+    """Citizen scans: report at once when no ticket was raised and the ledger is confident.
+
+    Without ``tickets`` the state's own conflict_type tells whether one was raised.
+    """
+    rows = state.where(F.col("user_role") == "citizen")
+    if tickets is None:
+        rows = rows.withColumn("_ticket", F.when(F.col("conflict_type").isNotNull(), F.lit(True)))
+    else:
+        raised = tickets.select(F.col("trigger_scan_id").alias("scan_id"), F.lit(True).alias("_ticket"))
+        rows = rows.join(raised, "scan_id", "left")
     sure = F.col("_ticket").isNull() & (F.coalesce("new_confidence", F.lit(0.0)) >= AUTO_REPORT_CONFIDENCE)
-    return (
-        state.where(F.col("user_role") == "citizen")
-        .join(raised, "scan_id", "left")
-        .withColumn("handling", F.when(sure, "auto_report").otherwise("manual_review"))
-        .drop("_ticket")
-    )
+    return rows.withColumn("handling", F.when(sure, "auto_report").otherwise("manual_review")).drop("_ticket")
 
 
 def tamper_audit(manifest: DataFrame, files: DataFrame, content: Column) -> DataFrame:

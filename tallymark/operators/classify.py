@@ -342,11 +342,22 @@ def merge_fields(tokens: DataFrame) -> DataFrame:
     return staged.select("scan_id", F.inline(F.array(*[row(f) for f in L.FIELDS])))
 
 
-def all_blocks(classified: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Classified values and the blocks none of them claimed, as one bag."""
-    used = classified.where("accepted").select("scan_id", "token_id")
-    rest = tokens.join(used, ["scan_id", "token_id"], "left_anti").select(
-        "scan_id", F.lit(None).cast("string").alias("field_name"), F.col("text").alias("block_text"), "confidence"
-    )
-    named = classified.select("scan_id", "field_name", F.col("extracted_value").alias("block_text"), "confidence")
-    return named.union(rest)
+def all_blocks(tokens: DataFrame) -> DataFrame:
+    """Classified values and the blocks none of them claimed, as one bag.
+
+    Every value belongs to a block, so each block row yields the values it gave and, if free, itself:
+    one join instead of a union that classifies twice.
+    """
+    joined = tokens.join(_picked(tokens), "scan_id", "left")
+
+    def block(name: Column, text: Column, confidence: Column) -> Column:
+        return F.struct(name.alias("field_name"), text.alias("block_text"), confidence.alias("confidence"))
+
+    def given(field: str) -> Column:
+        own = F.col(f"v_{field}")
+        return F.when(own.token_id == F.col("token_id"), block(F.lit(field), own.extracted_value, own.confidence))
+
+    kept = [F.when(F.col(f"v_{f}.accepted"), F.col(f"v_{f}.token_id")) for f in L.FIELDS]
+    free = ~F.array_contains(F.array_compact(F.array(*kept)), F.col("token_id"))
+    itself = F.when(free, block(F.lit(None).cast("string"), F.col("text"), F.col("confidence")))
+    return joined.select("scan_id", F.inline(F.array_compact(F.array(*[given(f) for f in L.FIELDS], itself))))

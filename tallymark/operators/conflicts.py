@@ -41,21 +41,17 @@ def rolling_state(
     share one sort; hot products are cut into blocks that repeat the rows a frame can reach.
     """
     rows = with_evidence(scans.where(F.col("gtin").isNotNull())).withColumn("_tier", known_tier(F.col("calibration_tier")))
-    carry = {name: (F.col("_tier") == name).cast("long") for name in TIERS}
+    of_tier = {name: (F.col("_tier") == name).cast("long") for name in TIERS}
     bucket = minute_of("created_at") if bucket is None else bucket
-    blocked = with_blocks(rows, "gtin", order, bucket, halo=evidence, carry=carry, policy=policy)
+    blocked = with_blocks(rows, "gtin", order, bucket, halo=evidence, sums=of_tier, policy=policy)
     ordered = Window.partitionBy("gtin", "_block").orderBy(*order)
     up_to_here = ordered.rowsBetween(Window.unboundedPreceding, 0)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, -1)
 
     # Sliding sums as differences of exact running sums: each row costs the same whatever the frame.
     parts = {"for": "ev_for", "against": "ev_against", "weight": "ev_weight"}
-    own = (~F.col("_halo")).cast("long")
     counts = {
-        f"prior_{name}": (
-            F.col(f"carry_{name}").cast("long")
-            + F.coalesce(F.sum(own * (F.col("_tier") == name).cast("long")).over(so_far), F.lit(0))
-        )
+        f"prior_{name}": F.coalesce(F.col(f"before_{name}").cast("long"), F.sum(of_tier[name]).over(so_far), F.lit(0))
         for name in TIERS
     }
     running = blocked.withColumns(

@@ -5,13 +5,13 @@ third of all rows that task never ends, so rows of hot keys are cut into time-or
 
 1. count rows per key (partial aggregation, one small row per key leaves each task);
 2. for hot keys only, number the rows: count per (key, time bucket), prefix-sum the bucket counts,
-   and add the row number inside the bucket;
+   and add the row number inside the bucket. Sums over all earlier rows come the same way;
 3. block = position // block size. The last ``halo`` rows of a block are repeated in the next one,
-   so a frame of up to ``halo`` preceding rows sees exactly the rows it needs;
-4. totals of all earlier blocks are carried in, so running sums need no longer frame.
+   so a frame of up to ``halo`` preceding rows sees exactly the rows it needs.
 
-Rows of ordinary keys stay in block 0 and are shuffled once. The list of hot keys is broadcast; it
-has at most (all rows / hot_rows) entries.
+Rows of ordinary keys stay in block 0 and are shuffled once; with no hot key at all, adaptive
+execution drops the other branch. The list of hot keys is broadcast; it has at most
+(all rows / hot_rows) entries.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ class SkewPolicy:
 
 
 DEFAULT_POLICY = SkewPolicy()
+SUM_TYPE = "decimal(38,6)"
 
 
 def minute_of(column: str) -> Column:
@@ -41,23 +42,39 @@ def hot_keys(df: DataFrame, key: str, policy: SkewPolicy) -> DataFrame:
     return counts.where(F.col("_n") > policy.hot_rows).select(key, F.lit(True).alias("_hot"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
-    """Adds ``_pos``: 0-based position of each row inside its key group, in ``order``.
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Adds ``_pos``, the 0-based position of each row inside its key group, in ``order``.
 
-    ``bucket`` must not decrease along ``order`` (a truncated timestamp, an id divided by a
-    constant). No task sees more than one bucket of rows; the prefix sums run over bucket counts.
+    For each entry of ``sums`` it adds ``before_<name>``, the total over all earlier rows. ``bucket``
+    must not decrease along ``order`` (a truncated timestamp, an id divided by a constant). No task
+    sees more than one bucket of rows; the prefix sums run over one row per bucket.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        df.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("_pos", F.col("_offset") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_offset")
+    sums = sums or {}
+    df = df.withColumns({"_bucket": bucket, **{f"_in_{n}": v.cast(SUM_TYPE) for n, v in sums.items()}})
+    counts = df.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums]
+    )
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    offsets = counts.select(
+        *keys,
+        "_bucket",
+        F.coalesce(F.sum("_n").over(earlier), zero).alias("_offset"),
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), zero).alias(f"_p_{n}") for n in sums],
     )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    above = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumns(
+        {"_rn": F.row_number().over(inside), **{f"_a_{n}": F.coalesce(F.sum(f"_in_{n}").over(above), zero) for n in sums}}
+    ).join(offsets, [*keys, "_bucket"])
+    return placed.withColumns(
+        {
+            "_pos": F.col("_offset") + F.col("_rn") - 1,
+            **{f"before_{n}": (F.col(f"_p_{n}") + F.col(f"_a_{n}")).cast(SUM_TYPE) for n in sums},
+        }
+    ).drop("_bucket", "_rn", "_offset", *[f"{tag}_{n}" for n in sums for tag in ("_in", "_p", "_a")])
 
 
 def with_blocks(
@@ -66,56 +83,40 @@ def with_blocks(
     order: list[str],
     bucket: Column,
     halo: int = 0,
-    carry: dict[str, Column] | None = None,
+    sums: dict[str, Column] | None = None,
     policy: SkewPolicy = DEFAULT_POLICY,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``_block``, ``_halo`` and one ``carry_<name>`` (sum over earlier blocks) per entry.
+    """Adds ``_block``, ``_halo`` and, per entry of ``sums``, ``before_<name>``.
 
     Follow with windows over (key, _block) in ``order`` and drop rows where ``_halo`` is true.
+    ``before_<name>`` is the total over the key's earlier rows for hot keys, and null for others, whose
+    block is whole. ``sizes`` may name a cheaper table with at least as many rows per key to find the
+    hot keys in.
     """
-    carry = carry or {}
+    sums = sums or {}
     if policy.block_rows <= halo:
         raise ValueError("a block must be longer than its halo")
     df = df.where(F.col(key).isNotNull())
-    hot = hot_keys(df, key, policy)
-    marked = df.join(F.broadcast(hot), key, "left")
+    marked = df.join(F.broadcast(hot_keys(df if sizes is None else sizes, key, policy)), key, "left")
 
-    carry_type = {name: "decimal(38,6)" for name in carry}
     cold = marked.where(F.col("_hot").isNull()).drop("_hot")
     cold = cold.withColumns(
         {
             "_block": F.lit(0).cast("long"),
             "_halo": F.lit(False),
-            **{f"carry_{name}": F.lit(0).cast(carry_type[name]) for name in carry},
+            **{f"before_{n}": F.lit(None).cast(SUM_TYPE) for n in sums},
         }
     )
-
-    warm = numbered(marked.where(F.col("_hot")).drop("_hot"), [key], order, bucket)
-    warm = warm.withColumn("_block", F.floor(F.col("_pos") / policy.block_rows).cast("long"))
-    if carry:
-        totals = warm.groupBy(key, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in carry.items()])
-        earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select(
-            key,
-            "_block",
-            *[
-                F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).cast(carry_type[n]).alias(f"carry_{n}")
-                for n in carry
-            ],
-        )
+    warm = numbered(marked.where(F.col("_hot")).drop("_hot"), [key], order, bucket, sums)
     near_end = F.col("_pos") % policy.block_rows >= policy.block_rows - halo
-    warm = warm.withColumn(
-        "_copy",
-        F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))),
-    )
+    copies = F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     warm = (
-        warm.withColumn("_block", F.col("_block") + F.col("_copy"))
+        warm.withColumn("_copy", F.explode(copies))
+        .withColumn("_block", F.floor(F.col("_pos") / policy.block_rows).cast("long") + F.col("_copy"))
         .withColumn("_halo", F.col("_copy") == 1)
         .drop("_copy", "_pos")
     )
-    if carry:
-        warm = warm.join(totals, [key, "_block"], "left")
-        warm = warm.withColumns({f"carry_{n}": F.coalesce(f"carry_{n}", F.lit(0).cast(carry_type[n])) for n in carry})
     return cold.unionByName(warm)
 
 
@@ -127,14 +128,14 @@ def running_sum(
     value: Column,
     name: str,
     policy: SkewPolicy = DEFAULT_POLICY,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running total of ``value`` per key, exact for hot keys too."""
     df = df.withColumn("_v", value.cast("decimal(20,6)"))
-    blocked = with_blocks(df, key, order, bucket, carry={"v": F.col("_v")}, policy=policy)
+    blocked = with_blocks(df, key, order, bucket, sums={"v": F.col("_v")}, policy=policy, sizes=sizes)
     frame = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.withColumn(name, F.col("carry_v") + F.sum("_v").over(frame)).drop(
-        "_v", "_block", "_halo", "carry_v"
-    )
+    total = F.coalesce(F.col("before_v") + F.col("_v"), F.sum("_v").over(frame))
+    return blocked.withColumn(name, total).drop("_v", "_block", "_halo", "before_v")
 
 
 def sequence_ids(df: DataFrame, order: list[str], bucket: Column, name: str, start: Column | int = 1) -> DataFrame:

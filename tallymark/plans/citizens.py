@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallymark.operators import chat, citizens, reviews
 from tallymark.operators.conflicts import rolling_state, with_conflict
 from tallymark.operators.search import citizen_queue
-from tallymark.operators.tickets import spawn_tickets
 from tallymark.plans.check_sql import ROLLING_VIEWS
 from tallymark.plans.registry import query
 from tallymark.sources import documents, stores
@@ -53,7 +52,8 @@ def claim_verification(t: Tables) -> DataFrame:
     CLAIM_VIEWS,
 )
 def xp_running_balance(t: Tables) -> DataFrame:
-    return citizens.xp_balance(events(t)).select("user_id", "scan_id", "xp_change", "notification_type", "xp")
+    citizen_scans = t.scans.where(F.col("user_role") == "citizen").select("user_id")
+    return citizens.xp_balance(events(t), sizes=citizen_scans).select("user_id", "scan_id", "xp_change", "notification_type", "xp")
 
 
 @query(
@@ -108,8 +108,7 @@ def citizen_queue_query(t: Tables) -> DataFrame:
     ROLLING_VIEWS,
 )
 def auto_report_triage(t: Tables) -> DataFrame:
-    judged = with_conflict(rolling_state(t.scans))
-    return citizens.triage(judged, spawn_tickets(judged)).select("scan_id", "new_confidence", "handling")
+    return citizens.triage(with_conflict(rolling_state(t.scans))).select("scan_id", "new_confidence", "handling")
 
 
 @query(

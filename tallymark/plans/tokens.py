@@ -358,5 +358,4 @@ def merged_label_fields(t: Tables) -> DataFrame:
       WHERE NOT EXISTS (SELECT 1 FROM e_dated c WHERE c.scan_id = t.scan_id AND c.token_id = t.token_id AND c.accepted)""",
 })
 def label_blocks(t: Tables) -> DataFrame:
-    cleaned = tokens(t)
-    return C.all_blocks(C.classify(cleaned), cleaned).select("scan_id", "block_text", "confidence")
+    return C.all_blocks(tokens(t)).select("scan_id", "block_text", "confidence")

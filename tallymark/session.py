@@ -1,10 +1,10 @@
-"""Session helpers: sensible settings for a fresh session, and the shared checkpoint folder."""
+"""Session helpers: sensible settings for a fresh session, and the shared folder for stream output."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,23 +27,20 @@ def get_session(app: str = "tallymark", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder every executor can read: ``spark.checkpoint.dir`` when the session names one.
 
-    Only where it is unset (a local test) is a temporary folder made; a cluster must set it.
+    Only where it is unset in local mode (a test) is a temporary folder made; a cluster must set it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tallymark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder, so a lost executor never loses the result."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tallymark-")
+    return _LOCAL_FOLDERS[context.applicationId]
