@@ -73,7 +73,8 @@ def by_field(name: Column, build) -> Column:
 def score_tokens(tokens: DataFrame) -> DataFrame:
     """Long scores: one row per block and field it could be a value of."""
     rows = F.array(*[F.struct(F.lit(f).alias("field_name"), score(f, F.col("text")).alias("score")) for f in L.FIELDS])
-    return tokens.withColumn("_s", F.explode(F.filter(rows, lambda r: r.score > 0))).select(
+    scored = tokens.withColumn("_s", F.explode_outer(F.filter(rows, lambda r: r.score > 0))).where(F.col("_s").isNotNull())
+    return scored.select(
         *tokens.columns, F.col("_s.field_name").alias("field_name"), F.col("_s.score").alias("score")
     )
 
@@ -110,7 +111,7 @@ def anchored_values(tokens: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit(2 * SINGLES + 1).alias("step"), F.trim(F.concat_ws(" ", own, chained)).alias("text"))),
     ).otherwise(F.array().cast("array<struct<step:int,text:string>>"))
     start = F.array(F.struct(F.lit(0).alias("step"), own.alias("text")))
-    options = joined.withColumn("_option", F.explode(F.concat(start, tries, chain)))
+    options = joined.withColumn("_option", F.explode_outer(F.concat(start, tries, chain)))
     scored = options.withColumn(
         "_score", by_field(F.col("field_name"), lambda f: score(f, F.col("_option.text")))
     )
@@ -202,7 +203,7 @@ def _rows(wide: DataFrame) -> DataFrame:
     listed = F.array(
         *[F.struct(F.lit(f).alias("field_name"), *[F.col(f"v_{f}.{p}").alias(p) for p in parts]) for f in L.FIELDS]
     )
-    return wide.select("scan_id", F.inline(F.filter(listed, lambda r: r.confidence.isNotNull())))
+    return wide.select("scan_id", F.inline_outer(listed)).where(F.col("confidence").isNotNull())
 
 
 def classify(tokens: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def failed_fields(tokens: DataFrame) -> DataFrame:
     names = F.array_compact(
         F.array(*[F.when(~F.coalesce(F.col(f"v_{f}.accepted"), F.lit(False)), F.lit(f)) for f in L.FIELDS])
     )
-    return settled_labels(tokens).select("scan_id", F.explode(names).alias("field_name"))
+    return settled_labels(tokens).select("scan_id", F.explode_outer(names).alias("field_name")).where(F.col("field_name").isNotNull())
 
 
 def reading_method(engine: Column) -> Column:
@@ -339,7 +340,7 @@ def merge_fields(tokens: DataFrame) -> DataFrame:
             F.when(value.isNotNull(), conf).otherwise(F.lit(0.0)).alias("confidence"),
         )
 
-    return staged.select("scan_id", F.inline(F.array(*[row(f) for f in L.FIELDS])))
+    return staged.select("scan_id", F.inline_outer(F.array(*[row(f) for f in L.FIELDS])))
 
 
 def all_blocks(tokens: DataFrame) -> DataFrame:
@@ -360,4 +361,5 @@ def all_blocks(tokens: DataFrame) -> DataFrame:
     kept = [F.when(F.col(f"v_{f}.accepted"), F.col(f"v_{f}.token_id")) for f in L.FIELDS]
     free = ~F.array_contains(F.array_compact(F.array(*kept)), F.col("token_id"))
     itself = F.when(free, block(F.lit(None).cast("string"), F.col("text"), F.col("confidence")))
-    return joined.select("scan_id", F.inline(F.array_compact(F.array(*[given(f) for f in L.FIELDS], itself))))
+    opened = joined.select("scan_id", F.inline_outer(F.array_compact(F.array(*[given(f) for f in L.FIELDS], itself))))
+    return opened.where(F.col("block_text").isNotNull())

@@ -111,7 +111,8 @@ def cross_validate(listings: DataFrame, fields: DataFrame) -> DataFrame:
         ]
     )
     return (
-        wide.select("product_id", F.inline(F.filter(rows, lambda r: r.status.isNotNull())))
+        wide.select("product_id", F.inline_outer(rows))
+        .where(F.col("status").isNotNull())
         .withColumn("matches", F.col("status") == "MATCH")
     )
 

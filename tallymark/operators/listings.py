@@ -225,7 +225,7 @@ def evaluate_listings(joined: DataFrame, as_of: Column) -> DataFrame:
 
 
 def listing_checks(evaluated: DataFrame) -> DataFrame:
-    return evaluated.select("product_id", F.inline("checks"))
+    return evaluated.select("product_id", F.inline_outer("checks"))
 
 
 def listing_metrics(evaluated: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def nutrient_rows(found: DataFrame, key: str = "product_id") -> DataFrame:
         ]
     )
     return (
-        found.select(key, F.inline(F.filter(rows, lambda r: r.per_100g.isNotNull())))
+        found.select(key, F.inline_outer(rows))
+        .where(F.col("per_100g").isNotNull())
         .withColumn("per_serving", round_even(F.col("per_100g") * SERVING_SHARE, 1))
     )
 
@@ -101,4 +102,4 @@ def audience_profiles(found: DataFrame, key: str = "product_id") -> DataFrame:
         ),
         profile("Elderly Consumers", F.lit("SUITABLE")),
     )
-    return found.select(key, F.inline(F.array_compact(rows)))
+    return found.select(key, F.inline_outer(F.array_compact(rows)))

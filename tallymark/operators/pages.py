@@ -263,7 +263,7 @@ def listings_of(pages: DataFrame) -> DataFrame:
 
 def specs_of(pages: DataFrame) -> DataFrame:
     """Long specifications per page; a repeated key keeps its last value."""
-    entries = pages.select("page_id", F.posexplode(spec_entries(F.col("html"))).alias("position", "e"))
+    entries = pages.select("page_id", F.posexplode_outer(spec_entries(F.col("html"))).alias("position", "e")).where(F.col("e").isNotNull())
     window = Window.partitionBy("page_id", "key").orderBy(F.col("position").desc())
     long = entries.select("page_id", "position", "e.key", "e.value")
     return long.withColumn("_n", F.row_number().over(window)).where(F.col("_n") == 1).drop("_n")
@@ -276,7 +276,7 @@ def card_links(pages: DataFrame) -> DataFrame:
     absolute = F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(SHOP_ROOT), href))
     image = F.regexp_extract(card, r"(?is)<img[^>]*src=[\"']([^\"']*)[\"']", 1)
     title = inner_text(F.regexp_extract(card, r"(?is)<h2[^>]*>(.*?)</h2>", 1))
-    cards = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(CARD), F.lit(1))).alias("position", "card"))
+    cards = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(CARD), F.lit(1))).alias("position", "card"))
     return cards.where(href != "").select(
         "page_id",
         "position",
@@ -337,7 +337,7 @@ def page_images(pages: DataFrame) -> DataFrame:
             F.regexp_extract(t, r"(?is)\salt=[\"']([^\"']*)[\"']", 1),
         ),
     )
-    found = pages.select("page_id", F.posexplode(F.concat(gallery, structured, preview, tags)).alias("position", "i"))
+    found = pages.select("page_id", F.posexplode_outer(F.concat(gallery, structured, preview, tags)).alias("position", "i"))
     links = found.select(
         "page_id",
         "position",

@@ -2,6 +2,9 @@
 
 Fields are grouped once per label into a map. Every rule is then a column expression over that row,
 so all rules, the violations, the summary and the verdict cost a single shuffle.
+
+Arrays that are costly to build are opened with the outer generators: the inner ones make Spark test
+the array for emptiness below the projection, which would build it twice.
 """
 
 from __future__ import annotations
@@ -138,13 +141,11 @@ def evaluate(labels: DataFrame, fields: DataFrame, rules: list[Rule] = LABEL_RUL
 
 
 def checks_of(evaluated: DataFrame) -> DataFrame:
-    return evaluated.select("scan_id", F.explode("checks").alias("c")).select(
-        "scan_id", "c.field_name", "c.present", "c.format_valid", "c.font_compliant", "c.measured_mm", "c.required_mm"
-    )
+    return evaluated.select("scan_id", F.inline_outer("checks")).drop("violations")
 
 
 def violations_of(evaluated: DataFrame) -> DataFrame:
-    return evaluated.select("scan_id", F.explode("violations").alias("v")).select("scan_id", "v.*")
+    return evaluated.select("scan_id", F.inline_outer("violations")).where(F.col("field_name").isNotNull())
 
 
 def count_map(violations: Column, part: str, keys: list[str]) -> Column:
@@ -173,12 +174,12 @@ def summaries(evaluated: DataFrame) -> DataFrame:
 
 def fail_rates(evaluated: DataFrame) -> DataFrame:
     """How often each rule finds a fault, over all labels."""
-    long = evaluated.select(F.explode("checks").alias("c"))
-    return long.groupBy("c.field_name").agg(
+    long = evaluated.select(F.inline_outer("checks"))
+    return long.groupBy("field_name").agg(
         F.count(F.lit(1)).alias("labels"),
-        F.count_if(~F.col("c.present")).alias("missing"),
-        F.count_if(F.col("c.present") & ~F.col("c.format_valid")).alias("bad_format"),
-        F.count_if(~F.col("c.font_compliant")).alias("undersized"),
+        F.count_if(~F.col("present")).alias("missing"),
+        F.count_if(F.col("present") & ~F.col("format_valid")).alias("bad_format"),
+        F.count_if(~F.col("font_compliant")).alias("undersized"),
     )
 
 

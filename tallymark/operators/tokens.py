@@ -187,7 +187,8 @@ def find_anchors(tokens: DataFrame) -> DataFrame:
     return (
         tokens.withColumn("_upper", upper)
         .where(F.length("_upper") >= MIN_ANCHOR_CHARS)
-        .withColumn("_a", F.explode(F.filter(candidates, lambda c: c.m.ratio >= ANCHOR_RATIO)))
+        .withColumn("_a", F.explode_outer(F.filter(candidates, lambda c: c.m.ratio >= ANCHOR_RATIO)))
+        .where(F.col("_a").isNotNull())
         .withColumns(
             {
                 "field_name": F.col("_a.field_name"),
