@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.codes import batch_code
 from tallymark.functions.geometry import box, cell, distance, iou
-from tallymark.rules.lexicon import ANCHORS, FIELDS, PROMO_QUANTITY
+from tallymark.rules.lexicon import ANCHORS, PROMO_QUANTITY
 
 RADIUS = 350
 MATCH_IOU = 0.35

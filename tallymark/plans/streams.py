@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tallymark.operators import citizens, evaluation, panels, rules
 from tallymark.operators.fonts import DEFAULT_SCALE, height_mm
 from tallymark.plans.check_sql import ROLLING_VIEWS, half_even
-from tallymark.plans.citizens import CLAIM_VIEWS
 from tallymark.plans.labels import LABEL_VIEWS, evaluated, scaled
 from tallymark.plans.products import MERGED_VIEWS, merged_side_verdicts
 from tallymark.plans.registry import query

@@ -1,6 +1,5 @@
 """Stores, rule packs, pages and streams."""
 
-import datetime as dt
 import json
 
 import pytest
