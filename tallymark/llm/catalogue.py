@@ -24,3 +24,10 @@ def op1_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.repetition import repetition_report
 
     return repetition_report(table(spark, folder, "documents"))
+
+
+@op
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.decontamination import contamination_report
+
+    return contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
