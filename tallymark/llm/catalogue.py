@@ -31,3 +31,17 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     from tallymark.llm.decontamination import contamination_report
 
     return contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@op
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"))
+
+
+@op
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.token_files import file_round_trip
+
+    return file_round_trip(table(spark, folder, "documents"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from tallymark.llm.shipping import ship
+
 CHUNK_BYTES = 4 << 20
 
 
@@ -114,4 +116,10 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             yield from rows(batch)
 
-    return df.mapInArrow(partition, schema)
+    return map_partition(df, partition, schema)
+
+
+def map_partition(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Every partition, as an iterator of Arrow batches, through ``rows``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(rows, schema)
