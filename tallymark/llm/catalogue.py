@@ -45,3 +45,10 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.token_files import file_round_trip
 
     return file_round_trip(table(spark, folder, "documents"))
+
+
+@op
+def op10_byte_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.byte_bpe import round_trip
+
+    return round_trip(table(spark, folder, "documents"))
