@@ -52,3 +52,10 @@ def op10_byte_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.byte_bpe import round_trip
 
     return round_trip(table(spark, folder, "documents"))
+
+
+@op
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.licenses import license_report
+
+    return license_report(table(spark, folder, "documents"))
