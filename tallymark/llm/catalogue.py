@@ -59,3 +59,12 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.licenses import license_report
 
     return license_report(table(spark, folder, "documents"))
+
+
+@op
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallymark.llm.superkmers import substring_dedup
+
+    return substring_dedup(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
