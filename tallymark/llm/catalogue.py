@@ -68,3 +68,10 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.superkmers import substring_dedup
 
     return substring_dedup(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@op
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.combination_join import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
