@@ -75,3 +75,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.combination_join import near_duplicate_classes
 
     return near_duplicate_classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@op
+def op6_weakly_supervised_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.pii import span_report
+
+    return span_report(table(spark, folder, "documents"))
