@@ -82,3 +82,44 @@ def op6_weakly_supervised_pii(spark: SparkSession, folder: str) -> DataFrame:
     from tallymark.llm.pii import span_report
 
     return span_report(table(spark, folder, "documents"))
+
+
+#: Capture times and dated lists, made from the given tables in the words of both engines.
+CAPTURES = "SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * ((page_id * 7919) % 2592000) AS fetched_at FROM pages"
+LIST_LOG = """
+SELECT CASE WHEN event_type IN ('error', 'signup') THEN 'faulty' ELSE 'spam' END AS list,
+       CASE WHEN event_id % 97 = 0 THEN substring(host, strpos(host, '.') + 1)
+            WHEN event_id % 2 = 0 THEN host
+            ELSE concat(host, '/', folder, '/') END AS pattern,
+       event_type IN ('error', 'click') AS added, ts AS at_time
+FROM events JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS folder FROM pages) AS p
+  ON p.page_id = events.user_id
+WHERE event_type IN ('error', 'signup', 'click', 'purchase')
+"""
+
+
+@op
+def op5_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.url_filters import judge
+
+    pages, events = table(spark, folder, "pages"), table(spark, folder, "events")
+    captures = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}").replace("INTERVAL '1' SECOND * ((page_id * 7919) % 2592000)", "make_dt_interval(0, 0, 0, (page_id * 7919) % 2592000)"), pages=pages)
+    entries = spark.sql(LIST_LOG.replace("FROM pages", "FROM {pages}").replace("FROM events", "FROM {events} AS events").replace("strpos(host, '.')", "instr(host, '.')"), pages=pages, events=events)
+    return judge(captures, entries.withColumnRenamed("at_time", "at"))
+
+
+ORACLES["op5_temporal_url_lists"] = f"""
+WITH captures AS ({CAPTURES}), log AS ({LIST_LOG}),
+one AS (SELECT list, pattern, at_time, bool_and(added) AS added FROM log GROUP BY ALL),
+changed AS (SELECT * FROM one QUALIFY coalesce(lag(added) OVER (PARTITION BY list, pattern ORDER BY at_time), false) <> added),
+held AS (SELECT list, pattern, added, at_time AS since, lead(at_time) OVER (PARTITION BY list, pattern ORDER BY at_time) AS until FROM changed),
+named AS (SELECT page_id, fetched_at, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM captures),
+met AS (
+    SELECT page_id, list, pattern FROM named JOIN held
+      ON added AND fetched_at >= since AND (until IS NULL OR fetched_at < until)
+     AND (pattern = host OR (strpos(pattern, '/') = 0 AND ends_with(host, '.' || pattern) AND strpos(pattern, '.') > 0)
+          OR (ends_with(pattern, '/') AND starts_with(host || path, pattern)))
+)
+SELECT page_id, host, fetched_at, coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists, coalesce(n_entries, 0) > 0 AS blocked
+FROM named LEFT JOIN (SELECT page_id, count(DISTINCT (list, pattern)) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM met GROUP BY page_id) USING (page_id)
+"""
