@@ -197,8 +197,8 @@ def decode(coded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
     return map_arrow(picked, rows, f"{first}, content binary")
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Per document: n_tokens, and digests of its ids and of the bytes that they decode to."""
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Per document: n_tokens, digests of its ids and of the bytes that they decode to, and the ids themselves if asked for."""
     path = path or default_path()
 
     def sha(values: list[bytes]) -> pa.Array:
@@ -208,15 +208,15 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         for at, texts in chunks(column(batch, text)):
             ids, ends = codec(path).encode(texts)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pc.cast(pa.array(ids), pa.large_string()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(at, len(texts)),
-                    pa.array(np.diff(ends)),
-                    sha(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()),
-                    sha(codec(path).decode(ids, ends)),
-                ],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                key: batch.column(0).slice(at, len(texts)),
+                "n_tokens": pa.array(np.diff(ends)),
+                "ids_sha256": sha(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()),
+                "decoded_sha256": sha(codec(path).decode(ids, ends)),
+            }
+            if with_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     picked, first = _keyed(docs, key, text)
-    return map_arrow(picked, rows, f"{first}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(picked, rows, f"{first}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
