@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Question keywords per intent, in order; the first intent with a hit wins.
 INTENT_WORDS = {
     "why_non_compliant": ["why", "non-compliant", "fail", "violation", "ஏன்", "காரணம்", "क्यों", "కారణం"],
-    "missing_fields": ["missing", "which", "വിടുபட்ட", "छूटी", "ఏవి"],
+    "missing_fields": ["missing", "which", "விடுபட்ட", "छूटी", "ఏవి"],
     "mrp": ["mrp", "price", "விலை", "कीमत", "ధర"],
     "expiry": ["expire", "expiry", "date", "காலாவதி", "समाप्ति", "గడువు"],
     "consumer_rights": ["right", "consumer", "law", "சட்டம்", "அதிகாரம்", "कानून"],

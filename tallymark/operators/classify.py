@@ -54,7 +54,7 @@ def clean(field: str, text: Column) -> Column:
         both = F.when((place != "") & ~F.contains(name, place), F.concat_ws(" ", name, place)).otherwise(
             F.coalesce(F.nullif(name, F.lit("")), text)
         )
-        return F.left(F.trim(F.regexp_replace(both, r"\s+", " ")), F.lit(L.MAKER_LIMIT))
+        return F.trim(F.regexp_replace(both, r"\s+", " "))
     target = text
     if field == "net_quantity":
         target = F.coalesce(F.nullif(F.trim(F.regexp_replace(text, "(?i)" + L.QUANTITY_TAIL, "")), F.lit("")), text)

@@ -23,7 +23,7 @@ NUTRIENTS = {
 HIGHEST_VALUE = 2000.0
 SERVING_SHARE = 0.25
 KEY_NUTRIENTS = ["energy", "protein", "carbohydrate", "sugars", "fat"]
-INGREDIENTS = r"(?i)(?:ingredients|contains)\s*[:\-]?\s*([^\.\n]{15,300})"
+INGREDIENTS = r"(?i)(?:ingredients|contains)\s*[:\-]?\s*([^\.\n]{15,})"
 SERVING = r"(?i)serving\s+size\s*[:\-]?\s*(\d{1,3}(?:\.\d{1,2})?\s*(?:g|ml|pcs|pieces?|biscuits?))"
 DEFAULT_SERVING = "25 g (approx.)"
 

@@ -24,7 +24,6 @@ SPEC_BLOCK = (
 )
 BULLET = r"(?is)<li[^>]*>(.*?)</li>"
 SHOP_SUFFIX = r"(?i)\s*[:|\-]\s*(?:Amazon|Flipkart|BigBasket|Blinkit|Zepto|JioMart).*$"
-KEY_LIMIT, VALUE_LIMIT, DESCRIPTION_LIMIT = 60, 500, 500
 DEFAULT_NAME = "Packaged Commodity Product"
 HEADINGS = ["country of origin", "country/region of origin", "origin", "country"]
 PLACE_HINT = r"(?i)(?:\b\d{6}\b|plot|road|street|industrial|area|estate|lane|nagar|phase|dist|state)"
@@ -164,7 +163,7 @@ def spec_entries(html: Column) -> Column:
     )
     return F.filter(
         F.concat(tables, definitions, bullets),
-        lambda e: (F.length(e.key) < KEY_LIMIT) & (F.length(e.value) < VALUE_LIMIT) & (e.key != "") & (e.value != ""),
+        lambda e: (e.key != "") & (e.value != ""),
     )
 
 
@@ -229,7 +228,7 @@ def listings_of(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         F.coalesce(ld("name"), meta(html, "og:title"), title, F.lit(DEFAULT_NAME)).alias("product_name"),
-        F.left(F.coalesce(ld("description"), meta(html, "og:description"), meta(html, "description")), F.lit(DESCRIPTION_LIMIT)).alias("description"),
+        F.coalesce(ld("description"), meta(html, "og:description"), meta(html, "description")).alias("description"),
         F.coalesce(ld("category"), F.lit("Packaged Foods")).alias("category"),
         F.coalesce(ld("brand", named), spec("brand")).alias("brand"),
         F.coalesce(as_price(offers("highPrice")), as_price(spec("mrp")), as_price(text("mrp"))).alias("_mrp"),

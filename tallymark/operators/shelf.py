@@ -16,7 +16,7 @@ UNKNOWN_SHELF_DAYS = 180
 VERY_SOON_DAYS, SOON_DAYS = 15, 45
 BEST_BEFORE = r"(?i)best\s+before\s+(\d{1,2})\s+months?"
 MONTHS_FROM = r"(?i)(\d{1,2})\s+months?\s+(?:from|of)\s+(?:mfg|pkd|packing|manufacture)"
-YEAR = r"\b(202[5-9])\b"
+YEAR = r"\b(2[0-9]{3})\b"
 
 # Grams or millilitres one person uses per day; the first category contained wins.
 DAILY_RATES = {

@@ -4,14 +4,16 @@ A window partitioned by product or user runs each key in one task. When a single
 third of all rows that task never ends, so rows of hot keys are cut into time-ordered blocks:
 
 1. count rows per key (partial aggregation, one small row per key leaves each task);
-2. for hot keys only, number the rows: count per (key, time bucket), prefix-sum the bucket counts,
-   and add the row number inside the bucket. Sums over all earlier rows come the same way;
+2. for hot keys only, number the rows: count per (key, time bucket, part), prefix-sum the counts of the
+   buckets and those of the parts of each bucket, and add the row number inside the part. A part is one
+   time and one range of ids, so a bulk load stamped with one time is many parts. Sums over all earlier
+   rows come the same way. Rows without a time come first, as they do in a plain window;
 3. block = position // block size. The last ``halo`` rows of a block are repeated in the next one,
    so a frame of up to ``halo`` preceding rows sees exactly the rows it needs.
 
 Rows of ordinary keys stay in block 0 and are shuffled once; with no hot key at all, adaptive
-execution drops the other branch. The list of hot keys is broadcast; it has at most
-(all rows / hot_rows) entries.
+execution drops the other branch. The list of hot keys has at most (all rows / hot_rows) entries;
+whether it is broadcast is left to Spark, which knows its size.
 """
 
 from __future__ import annotations
@@ -42,39 +44,64 @@ def hot_keys(df: DataFrame, key: str, policy: SkewPolicy) -> DataFrame:
     return counts.where(F.col("_n") > policy.hot_rows).select(key, F.lit(True).alias("_hot"))
 
 
+def matching(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on columns that may be null, keeping the left ones."""
+    other = right.select(*[F.col(c).alias(f"_right{c}") if c in names else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"_right{c}"))
+    return left.join(other, on).drop(*[f"_right{c}" for c in names])
+
+
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: Column,
+    sums: dict[str, Column] | None = None,
+    ids_per_part: int = 100_000,
 ) -> DataFrame:
     """Adds ``_pos``, the 0-based position of each row inside its key group, in ``order``.
 
     For each entry of ``sums`` it adds ``before_<name>``, the total over all earlier rows. ``bucket``
-    must not decrease along ``order`` (a truncated timestamp, an id divided by a constant). No task
-    sees more than one bucket of rows; the prefix sums run over one row per bucket.
+    must not decrease along ``order`` (a truncated timestamp), and the last column of ``order`` is a
+    whole number. No task numbers more than ``ids_per_part`` ids of one time; the prefix sums run over
+    one row per bucket of a key and over one row per part of a bucket.
     """
     sums = sums or {}
-    df = df.withColumns({"_bucket": bucket, **{f"_in_{n}": v.cast(SUM_TYPE) for n, v in sums.items()}})
-    counts = df.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums]
+    ids = F.floor(F.col(order[-1]) / ids_per_part).alias("ids")
+    df = df.withColumns(
+        {"_bucket": bucket, "_part": F.struct(*order[:-1], ids), **{f"_in_{n}": v.cast(SUM_TYPE) for n, v in sums.items()}}
     )
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    offsets = counts.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_n").over(earlier), zero).alias("_offset"),
-        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), zero).alias(f"_p_{n}") for n in sums],
+    measures = ["_n", *[f"_s_{n}" for n in sums]]
+
+    def before(window) -> list[Column]:
+        frame = window.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(m).over(frame), zero).alias(f"_before{m}") for m in measures]
+
+    counts = df.groupBy(*keys, "_bucket", "_part").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums]
+    )
+    parts = counts.select(*keys, "_bucket", "_part", *before(Window.partitionBy(*keys, "_bucket").orderBy("_part")))
+    totals = counts.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    buckets = totals.select(*keys, "_bucket", *before(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")))
+    buckets = buckets.withColumnsRenamed({f"_before{m}": f"_earlier{m}" for m in measures})
+    offsets = matching(parts, buckets, [*keys, "_bucket"]).select(
+        *keys, "_bucket", "_part", *[(F.col(f"_before{m}") + F.col(f"_earlier{m}")).alias(f"_offset{m}") for m in measures]
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bucket", "_part").orderBy(*order)
     above = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = df.withColumns(
         {"_rn": F.row_number().over(inside), **{f"_a_{n}": F.coalesce(F.sum(f"_in_{n}").over(above), zero) for n in sums}}
-    ).join(offsets, [*keys, "_bucket"])
+    )
+    placed = matching(placed, offsets, [*keys, "_bucket", "_part"])
     return placed.withColumns(
         {
-            "_pos": F.col("_offset") + F.col("_rn") - 1,
-            **{f"before_{n}": (F.col(f"_p_{n}") + F.col(f"_a_{n}")).cast(SUM_TYPE) for n in sums},
+            "_pos": F.col("_offset_n") + F.col("_rn") - 1,
+            **{f"before_{n}": (F.col(f"_offset_s_{n}") + F.col(f"_a_{n}")).cast(SUM_TYPE) for n in sums},
         }
-    ).drop("_bucket", "_rn", "_offset", *[f"{tag}_{n}" for n in sums for tag in ("_in", "_p", "_a")])
+    ).drop("_bucket", "_part", "_rn", "_offset_n", *[f"{tag}_{n}" for n in sums for tag in ("_in", "_offset_s", "_a")])
 
 
 def with_blocks(
@@ -98,7 +125,7 @@ def with_blocks(
     if policy.block_rows <= halo:
         raise ValueError("a block must be longer than its halo")
     df = df.where(F.col(key).isNotNull())
-    marked = df.join(F.broadcast(hot_keys(df if sizes is None else sizes, key, policy)), key, "left")
+    marked = df.join(hot_keys(df if sizes is None else sizes, key, policy), key, "left")
 
     cold = marked.where(F.col("_hot").isNull()).drop("_hot")
     cold = cold.withColumns(

@@ -92,17 +92,24 @@ def ticket_summary(tickets: DataFrame) -> DataFrame:
 
 
 def update_tickets(tickets: DataFrame, updates: DataFrame) -> DataFrame:
-    """Applies one update row per ticket; only supplied values change.
+    """Applies updates to tickets; only supplied values change, and of several the latest supplied one counts.
 
     ``updates`` has trigger_scan_id (a ticket's unique key), status, assigned_to, resolution_notes
-    and updated_at. Closing a ticket stamps resolved_at.
+    and updated_at; any number of rows per ticket. Closing a ticket stamps resolved_at with the time of
+    its last closing update.
     """
-    new = updates.select(
-        "trigger_scan_id",
-        F.lower(F.nullif("status", F.lit(""))).alias("_status"),
-        F.col("assigned_to").alias("_assigned"),
-        F.col("resolution_notes").alias("_notes"),
-        F.col("updated_at").alias("_at"),
+    status = F.lower(F.nullif("status", F.lit("")))
+
+    def last(value):
+        # Null times come first; equal times are decided by the value, so the result is one.
+        return F.max(F.when(value.isNotNull(), F.struct(F.col("updated_at").alias("at"), value.alias("value"))))["value"]
+
+    new = updates.groupBy("trigger_scan_id").agg(
+        last(status).alias("_status"),
+        last(F.col("assigned_to")).alias("_assigned"),
+        last(F.col("resolution_notes")).alias("_notes"),
+        F.max("updated_at").alias("_at"),
+        F.max(F.when(status.isin(CLOSED), F.col("updated_at"))).alias("_closed_at"),
     )
     for name, kind in (("assigned_to", "string"), ("resolution_notes", "string"), ("resolved_at", "timestamp_ntz")):
         if name not in tickets.columns:
@@ -114,11 +121,11 @@ def update_tickets(tickets: DataFrame, updates: DataFrame) -> DataFrame:
                 "status": F.coalesce("_status", "status"),
                 "assigned_to": F.coalesce("_assigned", "assigned_to"),
                 "resolution_notes": F.coalesce("_notes", "resolution_notes"),
-                "resolved_at": F.when(F.col("_status").isin(CLOSED), F.col("_at")).otherwise(F.col("resolved_at")),
+                "resolved_at": F.when(F.col("_status").isin(CLOSED), F.col("_closed_at")).otherwise(F.col("resolved_at")),
                 "updated_at": F.coalesce("_at", "updated_at"),
             }
         )
-        .drop("_status", "_assigned", "_notes", "_at")
+        .drop("_status", "_assigned", "_notes", "_at", "_closed_at")
     )
 
 

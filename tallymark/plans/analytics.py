@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import analytics as A
 from tallymark.operators import search as S
 from tallymark.plans.registry import query
+from tallymark.sources import stores
 from tallymark.sources.fixtures import Tables
 
 HALF_EVEN_PCT = "CAST(round_even(CAST(100.0 * {good} / {total} AS DECIMAL(28,12)), 0) AS BIGINT)"
@@ -196,7 +197,7 @@ def merged_scan_feed(t: Tables) -> DataFrame:
     """SELECT s.scan_id, coalesce(p.product_name, 'Product #' || CAST(s.scan_id AS VARCHAR)) AS product_name,
       coalesce(p.category, 'General') AS category, CAST(coalesce(v.n, 0) AS INT) AS violations_count,
       CASE WHEN v.n IS NULL THEN 'compliant' ELSE 'non_compliant' END AS compliance_status, v.listed AS violation_list
-    FROM v_scans s LEFT JOIN (SELECT '8901' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS gtin, p_name AS product_name, p_type AS category
+    FROM v_scans s LEFT JOIN (SELECT '8901' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(9, length(CAST(p_partkey AS VARCHAR))) AS INT), '0') AS gtin, p_name AS product_name, p_type AS category
         FROM part WHERE p_type <> 'PROMO') p USING (gtin)
     LEFT JOIN (SELECT scan_id, count(*) AS n, string_agg(field_name || ':' || violation_type, ',' ORDER BY field_name, violation_type, severity) AS listed
       FROM v_violations GROUP BY 1) v USING (scan_id)""",
@@ -204,7 +205,7 @@ def merged_scan_feed(t: Tables) -> DataFrame:
 def scans_with_violations(t: Tables) -> DataFrame:
     parts = t.read("part").where(F.col("p_type") != "PROMO")
     products = parts.select(
-        F.concat(F.lit("8901"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("gtin"),
+        F.concat(F.lit("8901"), stores.padded(F.col("p_partkey"), 9)).alias("gtin"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
     )
@@ -218,13 +219,13 @@ def scans_with_violations(t: Tables) -> DataFrame:
 @query(
     "scan_lookup",
     """SELECT request_key, coalesce(a.scan_id, b.scan_id) AS scan_id FROM (
-      SELECT CASE o_orderstatus WHEN 'F' THEN 'LM-2026-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS request_key
+      SELECT CASE o_orderstatus WHEN 'F' THEN 'LM-2026-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(9, length(CAST(o_orderkey AS VARCHAR))) AS INT), '0') ELSE CAST(o_orderkey AS VARCHAR) END AS request_key
       FROM orders) r LEFT JOIN v_scans a ON CAST(a.scan_id AS VARCHAR) = r.request_key LEFT JOIN v_scans b ON b.scan_uid = r.request_key""",
 )
 def scan_lookup(t: Tables) -> DataFrame:
     number = F.col("o_orderkey").cast("string")
     asked = t.read("orders").select(
-        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("LM-2026-"), F.lpad(number, 9, "0")))
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("LM-2026-"), stores.padded(number, 9)))
         .otherwise(number)
         .alias("request_key")
     )

@@ -284,7 +284,11 @@ def chat_session_insert(t: Tables) -> DataFrame:
     return stores.insert_absent(old, new, "session_id", "first_turn")
 
 
-# Stored documents: every scan as JSON text; e-commerce documents arrive cut off and are unreadable.
+# Stored documents: every scan as JSON text. The fixture breaks one document in ten (it lacks its last character),
+# so that the fall back to flat columns is met.
+BROKEN_EVERY = 10
+
+
 def bronze(t: Tables) -> DataFrame:
     mrp = F.struct(
         F.concat(F.lit("MRP Rs. "), "gtin").alias("extracted_value"),
@@ -310,17 +314,17 @@ def bronze(t: Tables) -> DataFrame:
         "scan_type",
         F.lit("partial_review_needed").alias("compliance_status"),
         F.lit(7).alias("violations_count"),
-        F.when(F.col("scan_type") == "ecommerce", F.left(whole, F.lit(25))).otherwise(whole).alias("raw_data"),
+        F.when(F.col("scan_id") % BROKEN_EVERY == 3, F.left(whole, F.length(whole) - 1)).otherwise(whole).alias("raw_data"),
     )
 
 
 @query(
     "document_scans",
-    """SELECT scan_id, scan_uid, CASE WHEN scan_type = 'ecommerce' THEN 'flat name' ELSE coalesce(product_name, 'flat name') END AS product_name,
-      CASE WHEN scan_type = 'ecommerce' THEN 'flat category' ELSE category END AS product_category, scan_type,
-      CASE WHEN scan_type = 'ecommerce' THEN 'partial_review_needed' ELSE compliance_status END AS compliance_status, 'inspector' AS source,
-      scan_type = 'ecommerce' AS from_flat_columns,
-      CASE WHEN scan_type = 'ecommerce' THEN 7 WHEN compliance_status = 'non_compliant' THEN 1 ELSE 0 END AS violations_count FROM v_scans""",
+    """SELECT scan_id, scan_uid, CASE WHEN scan_id % 10 = 3 THEN 'flat name' ELSE coalesce(product_name, 'flat name') END AS product_name,
+      CASE WHEN scan_id % 10 = 3 THEN 'flat category' ELSE category END AS product_category, scan_type,
+      CASE WHEN scan_id % 10 = 3 THEN 'partial_review_needed' ELSE compliance_status END AS compliance_status, 'inspector' AS source,
+      scan_id % 10 = 3 AS from_flat_columns,
+      CASE WHEN scan_id % 10 = 3 THEN 7 WHEN compliance_status = 'non_compliant' THEN 1 ELSE 0 END AS violations_count FROM v_scans""",
 )
 def document_scans(t: Tables) -> DataFrame:
     return documents.scans_of(documents.open_documents(bronze(t)))
@@ -329,7 +333,7 @@ def document_scans(t: Tables) -> DataFrame:
 @query(
     "document_fields",
     """SELECT scan_id, 'mrp' AS field_name, 'MRP Rs. ' || gtin AS extracted_value, 'ocr_proximity' AS extraction_method, CAST(confidence AS DOUBLE) AS confidence
-    FROM v_scans WHERE scan_type <> 'ecommerce'""",
+    FROM v_scans WHERE scan_id % 10 <> 3""",
 )
 def document_fields(t: Tables) -> DataFrame:
     return documents.fields_of(documents.open_documents(bronze(t)))
@@ -338,7 +342,7 @@ def document_fields(t: Tables) -> DataFrame:
 @query(
     "document_violations",
     """SELECT scan_id, 'mrp' AS field_name, 'missing' AS violation_type, 'high' AS severity FROM v_scans
-    WHERE scan_type <> 'ecommerce' AND compliance_status = 'non_compliant'""",
+    WHERE scan_id % 10 <> 3 AND compliance_status = 'non_compliant'""",
 )
 def document_violations(t: Tables) -> DataFrame:
     return documents.violations_of(documents.open_documents(bronze(t)))

@@ -88,7 +88,7 @@ def page_specifications(t: Tables) -> DataFrame:
 
 @query(
     "result_cards",
-    """SELECT product_id AS page_id, 0 AS position, product_name || ' & co' AS title, 'https://www.amazon.in/n/dp/B0' || lpad(CAST(product_id AS VARCHAR), 8, '0') AS product_url,
+    """SELECT product_id AS page_id, 0 AS position, product_name || ' & co' AS title, 'https://www.amazon.in/n/dp/B0' || lpad(CAST(product_id AS VARCHAR), CAST(greatest(8, length(CAST(product_id AS VARCHAR))) AS INT), '0') AS product_url,
       'https://m.media-amazon.com/images/I/' || CAST(product_id AS VARCHAR) || '._SL1500_.jpg' AS image_url FROM v_listings
     UNION ALL SELECT product_id, 1, 'Amazon Product', 'https://other.example.com/p' || CAST(product_id AS VARCHAR), 'x.png' FROM v_listings WHERE product_id % 3 <> 0""",
 )
@@ -110,7 +110,7 @@ def page_images(t: Tables) -> DataFrame:
 
 @query(
     "page_url_facts",
-    """SELECT page_id, 'B0' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS item_code, false AS is_image FROM v_html
+    """SELECT page_id, 'B0' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(8, length(CAST(page_id AS VARCHAR))) AS INT), '0') AS item_code, false AS is_image FROM v_html
     UNION ALL SELECT page_id, NULL, false FROM pages""",
 )
 def page_url_facts(t: Tables) -> DataFrame:

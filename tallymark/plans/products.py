@@ -13,6 +13,7 @@ from tallymark.operators.rules import evaluate, summaries
 from tallymark.plans.check_sql import half_even
 from tallymark.plans.labels import LABEL_VIEWS, LISTING_ORIGIN_VIEWS, origin_sql, quoted
 from tallymark.plans.registry import query
+from tallymark.sources import stores
 from tallymark.sources.fixtures import Tables
 from tallymark.sources.stores import expiry_register
 
@@ -554,7 +555,7 @@ PRICE_VIEWS = {
     "e_price1": f"""SELECT *, coalesce(s, d) AS ss, CASE WHEN d IS NULL THEN m WHEN m >= d THEN m ELSE {half_even('d / 0.93', 0)} END AS mm
       FROM (SELECT *, CASE WHEN s IS NULL AND u BETWEEN 5 AND 500 THEN u END AS d FROM e_price0)""",
     "e_price": """SELECT product_id, item_code, ean, product_name, CASE WHEN mm < ss THEN ss ELSE coalesce(mm, ss) END AS mrp_value, coalesce(ss, mm) AS selling_value, d IS NOT NULL AS from_unit_price FROM e_price1""",
-    "e_catalog": """SELECT 'B0' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS item_code, '890' || lpad(CAST(p_partkey + 3 AS VARCHAR), 10, '0') AS ean, p_name AS title,
+    "e_catalog": """SELECT 'B0' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(8, length(CAST(p_partkey AS VARCHAR))) AS INT), '0') AS item_code, '890' || lpad(CAST(p_partkey + 3 AS VARCHAR), CAST(greatest(10, length(CAST(p_partkey + 3 AS VARCHAR))) AS INT), '0') AS ean, p_name AS title,
         CAST(p_size AS DOUBLE) AS cs, CAST(p_size + 5 AS DOUBLE) AS cm FROM part WHERE p_brand = 'Brand#2'""",
     "e_item": """SELECT p.*, coalesce(a.x, b.x, c.x) AS item FROM e_price p LEFT JOIN (SELECT item_code, min({'s': cs, 'm': cm}) AS x FROM e_catalog GROUP BY 1) a USING (item_code)
       LEFT JOIN (SELECT ean, min({'s': cs, 'm': cm}) AS x FROM e_catalog GROUP BY 1) b USING (ean) LEFT JOIN (SELECT title AS product_name, min({'s': cs, 'm': cm}) AS x FROM e_catalog GROUP BY 1) c USING (product_name)""",
@@ -576,8 +577,8 @@ def catalog_prices(t: Tables) -> DataFrame:
     part = t.read("part").where(F.col("p_brand") == "Brand#2")
     number = F.col("p_partkey")
     catalog = part.select(
-        F.concat(F.lit("B0"), F.lpad(number.cast("string"), 8, "0")).alias("item_code"),
-        F.concat(F.lit("890"), F.lpad((number + 3).cast("string"), 10, "0")).alias("ean"),
+        F.concat(F.lit("B0"), stores.padded(number, 8)).alias("item_code"),
+        F.concat(F.lit("890"), stores.padded(number + 3, 10)).alias("ean"),
         F.col("p_name").alias("title"),
         F.col("p_size").cast("double").alias("catalog_selling"),
         (F.col("p_size") + 5).cast("double").alias("catalog_mrp"),

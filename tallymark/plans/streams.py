@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.operators import citizens, evaluation, panels, rules
+from tallymark.operators import evaluation, panels, rules
 from tallymark.operators.fonts import DEFAULT_SCALE, height_mm
 from tallymark.plans.check_sql import ROLLING_VIEWS, half_even
+from tallymark.plans.citizens import CLAIM_VIEWS
 from tallymark.plans.labels import LABEL_VIEWS, evaluated, scaled
 from tallymark.plans.products import MERGED_VIEWS, merged_side_verdicts
 from tallymark.plans.registry import query
@@ -39,16 +40,23 @@ def stream_tickets(t: Tables) -> DataFrame:
     return tickets_of(t.spark, folder)
 
 
+def last_batch(running) -> int:
+    """Number of the last batch of a stream that has ended; -1 without any."""
+    return max((p.batchId for p in running.recentProgress), default=-1)
+
+
 @query(
     "stream_daily_counts",
     """SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (compliance_status IN ('compliant', 'fully_compliant')) AS compliant,
-      count(*) FILTER (compliance_status = 'non_compliant') AS non_compliant FROM v_scans
-    WHERE CAST(created_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 1 DAY FROM v_scans) GROUP BY 1""",
+      count(*) FILTER (compliance_status = 'non_compliant') AS non_compliant FROM v_scans GROUP BY 1""",
 )
 def stream_daily_counts(t: Tables) -> DataFrame:
+    """Every day, open ones included."""
     folder = new_folder(t, "daily")
-    feeds.store_append(feeds.daily(event_stream(t)), folder).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/rows")
+    counted = feeds.daily(event_stream(t))
+    running = feeds.store_latest(counted, folder, "day")
+    running.awaitTermination()
+    return feeds.latest_rows(t.spark, folder, "day", counted.schema, last_batch(running))
 
 
 @query("stream_deduplicated", "SELECT scan_id, gtin, compliance_status FROM v_scans")
@@ -62,21 +70,41 @@ def stream_deduplicated(t: Tables) -> DataFrame:
 
 @query(
     "stream_balances",
-    "SELECT user_id, CAST(100 + sum(xp_change) AS BIGINT) AS xp FROM e_xp0 GROUP BY 1",
-    {
-        "e_xp0": """SELECT user_id, CASE WHEN tampered THEN -100 WHEN coalesce(claimed_violation_type, '') <> '' THEN -25 WHEN compliance_status = 'non_compliant' THEN 20 ELSE 0 END AS xp_change
-          FROM v_scans WHERE user_role = 'citizen'"""
-    },
+    "SELECT user_id, CAST(100 + sum(xp_change) AS BIGINT) AS xp FROM e_xp GROUP BY 1",
+    CLAIM_VIEWS,
 )
 def stream_balances(t: Tables) -> DataFrame:
-    """Balances before claims are checked: an unproven claim counts as refuted."""
+    """Balances from checked claims; users in the negative are turned away from the next batch on."""
     folder = new_folder(t, "balance")
     scans = event_stream(t).where(F.col("user_role") == "citizen")
-    judged = scans.withColumns(
-        {"has_claim": F.coalesce("claimed_violation_type", F.lit("")) != "", "claim_verified": F.lit(False)}
-    )
-    feeds.store_latest(feeds.balances(citizens.xp_events(judged)), folder).awaitTermination()
-    return feeds.latest_rows(t.spark, folder, "user_id")
+    running = feeds.start_balances(scans, t.violations, folder)
+    running.awaitTermination()
+    return feeds.balances_of(t.spark, folder, last_batch(running) + 1)
+
+
+@query(
+    "stream_progress",
+    "SELECT count(*) AS scans, count(*) FILTER (compliance_status = 'non_compliant') AS failed FROM v_scans",
+)
+def stream_progress(t: Tables) -> DataFrame:
+    """Rows and failures as the stream's progress reports tell them."""
+    folder = new_folder(t, "progress")
+    watched = feeds.with_progress(event_stream(t), "watched", F.col("compliance_status") == "non_compliant")
+    running = feeds.store_append(watched.select("scan_id"), folder)
+    running.awaitTermination()
+    seen = [p.observedMetrics["watched"] for p in running.recentProgress if "watched" in p.observedMetrics]
+    rows = [(sum(s["rows"] for s in seen), sum(s["failed"] for s in seen))]
+    return t.spark.createDataFrame(rows, "scans long, failed long")
+
+
+@query("stream_store_and_forward", "SELECT scan_id, gtin, compliance_status FROM v_scans")
+def stream_store_and_forward(t: Tables) -> DataFrame:
+    """Scans queued as JSON files and read once each."""
+    folder = new_folder(t, "queue")
+    queued = t.scans.select("scan_id", "gtin", "compliance_status")
+    queued.write.json(f"{folder}/pending")
+    feeds.store_append(feeds.pending_submissions(t.spark, f"{folder}/pending", queued.schema), folder).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows")
 
 
 @query(

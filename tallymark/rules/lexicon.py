@@ -52,10 +52,9 @@ BASIC_UNIT = r"(?:g|gm|gms|kg|ml|l|ltr)"
 RETAIL_UNIT = r"g|gm|gms|grams?|kg|ml|l|ltr|litres?"
 MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 DAY_MONTH = rf"\d{{1,2}}\s+{MONTH}\s+\d{{2,4}}"
-FULL_DATE = r"\d{1,2}[\-/\.]\d{1,2}[\-/\.]\d{2,4}"
 SHORT_DATE = r"\d{1,2}[\-/\.](?:20)?\d{2}"
 MONTH_YEAR = rf"{MONTH}[\s\-/\.]*(?:20)?\d{{2}}"
-HEADED_DATE = rf"((?:{DAY_MONTH}|{FULL_DATE}|{SHORT_DATE}|{MONTH_YEAR}))"
+HEADED_DATE = rf"((?:{DAY_MONTH}|\d{{1,2}}[\-/\.]\d{{1,2}}[\-/\.]\d{{2,4}}|{SHORT_DATE}|{MONTH_YEAR}))"
 BARE_DATE = (
     rf"\b(?:{DAY_MONTH}|(?:0?[1-9]|[12]\d|3[01])[\-/\.](?:0?[1-9]|1[0-2])[\-/\.](?:20)?\d{{2}}"
     rf"|(?:0?[1-9]|1[0-2])[\-/](?:20)?\d{{2}}|{MONTH_YEAR})\b"
@@ -183,10 +182,9 @@ BARE_MAKER = r"^\s*(?:manufactured|mfr\.?|marketed|packed|imported|distributed)\
 BARE_MAKER_SCORE = 0.45
 
 # How a value is written once cleaned: prefix, pattern, group. The first hit wins.
-CLEAN_DATE = rf"({DAY_MONTH}|\d{{1,2}}[/\.-]\d{{1,2}}[/\.-]\d{{2,4}}"
+DATE_VALUE = rf"{DAY_MONTH}|\d{{1,2}}[/\.-]\d{{1,2}}[/\.-]\d{{2,4}}"
 PLAIN_DATE = r"\b(\d{1,2}[\-/]\d{1,2}[\-/]\d{2,4})\b"
 NAMED_DATE = rf"\b({DAY_MONTH})\b"
-PACK_UNIT = r"g|gm|gms|kg|ml|l|ltr|pcs|pack|units?|N"
 TEMPLATES = {
     "mrp": [
         ("MRP Rs. ", r"(?:M\.?R\.?P\.?|MRP|PRICE)[\s:?&%\*^/\.]*(?:Rs\.?|INR|₹)?[\s:\-\.]*(\d+[\.]\d{2}|\d+)"),
@@ -196,18 +194,18 @@ TEMPLATES = {
     "net_quantity": [
         ("Net Wt. ", rf"=\s*(\d+[\d\.\,]*\s*{BASIC_UNIT})\b"),
         ("Net Wt. ", r"\bFOR\s*[\s:\-\.]*(\d+[\d\.\,]*\s*(?:" + RETAIL_UNIT + r"|pcs|pack|units?|N))\b"),
-        ("Net Wt. ", rf"\b(\d+[\d\.\,]*\s*(?:{PACK_UNIT}))\b"),
+        ("Net Wt. ", r"\b(\d+[\d\.\,]*\s*(?:g|gm|gms|kg|ml|l|ltr|pcs|pack|units?|N))\b"),
     ],
     "manufacture_date": [
-        ("Mfg: ", rf"(?:MFG|MFG\.?\s*DATE|PKD|PACKED)[\s:]*{CLEAN_DATE})"),
+        ("Mfg: ", rf"(?:MFG|MFG\.?\s*DATE|PKD|PACKED)[\s:]*({DATE_VALUE})"),
         ("Mfg: ", PLAIN_DATE),
         ("Mfg: ", NAMED_DATE),
     ],
     "expiry_date": [
-        ("Use By: ", rf"(?:USE\s*BY|USE\s*BEFORE)[\s:]*{CLEAN_DATE}|{SHORT_DATE})"),
-        ("Best Before: ", rf"(?:BEST\s*BEFORE|BBE)[\s:]*{CLEAN_DATE}|{SHORT_DATE})"),
-        ("Exp: ", rf"(?:EXP(?:IRY)?(?:\.?\s*DATE)?|SELL\s*BY|VALID\s*(?:TILL|UPTO|UP\s*TO))[\s:]*{CLEAN_DATE}|{SHORT_DATE})"),
-        ("Best Before: ", r"(?:BEST\s*BEFORE|USE\s*WITHIN|USE\s*BY)[\s:]*(\d+\s*(?:months?|days?|years?)[^\n\r]{0,40})"),
+        ("Use By: ", rf"(?:USE\s*BY|USE\s*BEFORE)[\s:]*({DATE_VALUE}|{SHORT_DATE})"),
+        ("Best Before: ", rf"(?:BEST\s*BEFORE|BBE)[\s:]*({DATE_VALUE}|{SHORT_DATE})"),
+        ("Exp: ", rf"(?:EXP(?:IRY)?(?:\.?\s*DATE)?|SELL\s*BY|VALID\s*(?:TILL|UPTO|UP\s*TO))[\s:]*({DATE_VALUE}|{SHORT_DATE})"),
+        ("Best Before: ", r"(?:BEST\s*BEFORE|USE\s*WITHIN|USE\s*BY)[\s:]*(\d+\s*(?:months?|days?|years?)[^\n\r]*)"),
         ("Exp: ", PLAIN_DATE),
         ("Exp: ", NAMED_DATE),
     ],
@@ -229,7 +227,6 @@ MAKER_ADDRESS = (
     r"|Mumbai|Chennai|Pune|Hyderabad|Bangalore|UP|TS|TN|MH|HR|PB|GJ|KA|KL|RJ|MP|PIN|\d{6})[^\n\r]*)"
 )
 MAKER_NOISE = r"(?:Energy|kcal|Protein|Fat|Sugar|Carbohydrates|Added)[^\.\,\d]*"
-MAKER_LIMIT = 200
 ORIGIN_STATED = r"(?:country\s+of\s+origin|made\s+in|product\s+of)[\s:\-]*([A-Za-z\s]+)"
 
 # The looser shapes used when blocks are merged into one value per field.

@@ -15,7 +15,7 @@ SCANS = {
     "scan_id": "event_id",
     "created_at": "ts",
     "user_id": "user_id",
-    "gtin": "concat('8901', lpad(regexp_extract(props, '([0-9]+)', 1), 9, '0'))",
+    "gtin": "concat('8901', lpad(regexp_extract(props, '([0-9]+)', 1), CAST(greatest(9, length(regexp_extract(props, '([0-9]+)', 1))) AS INT), '0'))",
     "batch_code": "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 4 THEN '  ' ELSE concat('L', CAST(event_id % 4 AS STRING)) END",
     "compliance_status": f"""CASE WHEN event_type = 'error' THEN 'non_compliant'
         WHEN {K} % 3 = 0 THEN 'compliant'
@@ -36,7 +36,7 @@ SCANS = {
 }
 
 SCANS["tampered"] = "event_type = 'error' AND user_id % 9 = 3"
-SCANS["scan_uid"] = "concat('LM-2026-', lpad(CAST(event_id AS STRING), 9, '0'))"
+SCANS["scan_uid"] = "concat('LM-2026-', lpad(CAST(event_id AS STRING), CAST(greatest(9, length(CAST(event_id AS STRING))) AS INT), '0'))"
 
 # Raw submissions as they reach the store: several optional sources per column, blanks and zeros.
 SUBMISSIONS = {
@@ -152,8 +152,8 @@ LISTINGS["spec_origin"] = "CASE WHEN p_partkey % 14 = 2 THEN 'Japan' ELSE NULL E
 
 
 LISTINGS["unit_text"] = "CASE WHEN p_partkey % 13 = 0 THEN concat('(Rs. ', CAST(p_size AS STRING), '.50 / 100 g)') ELSE NULL END"
-LISTINGS["item_code"] = "CASE WHEN p_partkey % 3 = 0 THEN concat('B0', lpad(CAST(p_partkey AS STRING), 8, '0')) ELSE NULL END"
-LISTINGS["ean"] = "CASE WHEN p_partkey % 4 = 1 THEN concat('890', lpad(CAST(p_partkey AS STRING), 10, '0')) ELSE NULL END"
+LISTINGS["item_code"] = "CASE WHEN p_partkey % 3 = 0 THEN concat('B0', lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '0')) ELSE NULL END"
+LISTINGS["ean"] = "CASE WHEN p_partkey % 4 = 1 THEN concat('890', lpad(CAST(p_partkey AS STRING), CAST(greatest(10, length(CAST(p_partkey AS STRING))) AS INT), '0')) ELSE NULL END"
 LISTINGS["category"] = "CASE p_partkey % 8 WHEN 0 THEN 'Hot Beverages' WHEN 1 THEN 'dairy ' WHEN 2 THEN 'Staples' WHEN 3 THEN '' WHEN 4 THEN 'Assam Tea' WHEN 5 THEN 'Edible Oil' WHEN 6 THEN 'Packaged Foods & Tea' ELSE p_type END"
 LISTINGS["household_size"] = "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(p_partkey % 13 AS INT) END"
 
@@ -218,10 +218,10 @@ BLOCKS = {
 # A scanned code per label and where it stands.
 CODES = {
     "scan_id": "p_partkey",
-    "code_text": """CASE p_partkey % 9 WHEN 0 THEN concat('890', lpad(CAST(p_partkey AS STRING), 10, '0')) WHEN 1 THEN lpad(CAST(p_partkey AS STRING), 12, '1')
-        WHEN 2 THEN lpad(CAST(p_partkey AS STRING), 8, '4') WHEN 3 THEN concat('https://id.gs1.org/01/0890', lpad(CAST(p_partkey AS STRING), 10, '0'))
-        WHEN 4 THEN concat('(01)0890', lpad(CAST(p_partkey AS STRING), 10, '0'), '(10)B', CAST(p_size AS STRING)) WHEN 5 THEN 'https://example.com/p'
-        WHEN 6 THEN lpad(CAST(p_partkey AS STRING), 14, '2') WHEN 7 THEN lpad(CAST(p_partkey AS STRING), 9, '7') ELSE concat(' ', lpad(CAST(p_partkey AS STRING), 13, '9'), ' ') END""",
+    "code_text": """CASE p_partkey % 9 WHEN 0 THEN concat('890', lpad(CAST(p_partkey AS STRING), CAST(greatest(10, length(CAST(p_partkey AS STRING))) AS INT), '0')) WHEN 1 THEN lpad(CAST(p_partkey AS STRING), CAST(greatest(12, length(CAST(p_partkey AS STRING))) AS INT), '1')
+        WHEN 2 THEN lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '4') WHEN 3 THEN concat('https://id.gs1.org/01/0890', lpad(CAST(p_partkey AS STRING), CAST(greatest(10, length(CAST(p_partkey AS STRING))) AS INT), '0'))
+        WHEN 4 THEN concat('(01)0890', lpad(CAST(p_partkey AS STRING), CAST(greatest(10, length(CAST(p_partkey AS STRING))) AS INT), '0'), '(10)B', CAST(p_size AS STRING)) WHEN 5 THEN 'https://example.com/p'
+        WHEN 6 THEN lpad(CAST(p_partkey AS STRING), CAST(greatest(14, length(CAST(p_partkey AS STRING))) AS INT), '2') WHEN 7 THEN lpad(CAST(p_partkey AS STRING), CAST(greatest(9, length(CAST(p_partkey AS STRING))) AS INT), '7') ELSE concat(' ', lpad(CAST(p_partkey AS STRING), CAST(greatest(13, length(CAST(p_partkey AS STRING))) AS INT), '9'), ' ') END""",
     "code_format": "CASE p_partkey % 9 WHEN 0 THEN 'EAN-13' WHEN 1 THEN 'UPC_A' WHEN 2 THEN 'EAN8' WHEN 6 THEN 'ITF-14' WHEN 8 THEN 'EAN8' ELSE 'QRCODE' END",
     "bx": "CASE WHEN p_partkey % 2 = 0 THEN 600 ELSE 20 END",
     "by": "CASE WHEN p_partkey % 2 = 0 THEN 470 ELSE 210 END",
@@ -233,7 +233,7 @@ CODES = {
 # Product pages built from the listings: structured data, tables, definitions, bullets or plain text.
 HTML = {
     "page_id": "product_id",
-    "url": "concat('https://shop.example.com/x/dp/B0', lpad(CAST(product_id AS STRING), 8, '0'), '?ref=a')",
+    "url": "concat('https://shop.example.com/x/dp/B0', lpad(CAST(product_id AS STRING), CAST(greatest(8, length(CAST(product_id AS STRING))) AS INT), '0'), '?ref=a')",
     "html": """concat('<html><head><title>', product_name, ' &amp; more | Flipkart offers</title><meta name="description" content="Fresh ', brand, '"/>',
       CASE product_id % 3 WHEN 0 THEN concat('<script type="application/ld+json">{"@context":"x","@type":"Product","name":"', product_name, ' LD","brand":{"name":"', brand, '"},"offers":{"price":"', coalesce(selling_price, ''),
            '","highPrice":"', coalesce(selling_price, ''), '"},"weight":{"value":', CAST(product_id % 90 + 1 AS STRING), ',"unitText":"g"},"image":["https://img.example.com/a', CAST(product_id AS STRING), '.jpg","https://img.example.com/b.png"]}</script>')
@@ -247,7 +247,7 @@ HTML = {
 }
 SEARCH_HTML = {
     "page_id": "product_id",
-    "html": """concat('<div class="r"><div data-component-type="s-search-result" class="c"><h2 class="t"><span>', product_name, ' &amp; co</span></h2><a class="l" href="/n/dp/B0', lpad(CAST(product_id AS STRING), 8, '0'), '/ref=sr_1_', CAST(product_id % 9 AS STRING),
+    "html": """concat('<div class="r"><div data-component-type="s-search-result" class="c"><h2 class="t"><span>', product_name, ' &amp; co</span></h2><a class="l" href="/n/dp/B0', lpad(CAST(product_id AS STRING), CAST(greatest(8, length(CAST(product_id AS STRING))) AS INT), '0'), '/ref=sr_1_', CAST(product_id % 9 AS STRING),
       '?x=1"></a><img class="s-image" src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), '._AC_UL320_.jpg"/></article></div>', CASE WHEN product_id % 3 = 0 THEN '' ELSE concat('<div data-component-type="s-search-result"><a href="https://other.example.com/p', CAST(product_id AS STRING), '"><img src="x.png"></a></article></div>') END,
       '<div data-component-type="s-search-result"><h2>No link</h2></article></div></div>')""",
 }

@@ -1,7 +1,7 @@
-"""Rule packs stored as JSON, with the built-in pack where a file is absent or unreadable.
+"""Rule packs stored as JSON, with the built-in pack where there is no file.
 
 A pack has a handful of rows. It is read on the driver and compiled into literals, so patterns are
-compiled once per task rather than once per row.
+compiled once per task rather than once per row. A pack of more than ``MAX_RULES`` rows is refused whole.
 """
 
 from __future__ import annotations
@@ -26,15 +26,18 @@ BAND_SCHEMA = (
 def _rows(spark: SparkSession, path: str, schema: str, column: str) -> list:
     try:
         pack = spark.read.schema(schema).json(path, multiLine=True)
-        return pack.select(F.explode(column).alias("r")).select("r.*").limit(MAX_RULES + 1).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
+    rows = pack.select(F.explode(column).alias("r")).select("r.*").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a rule pack holds at most {MAX_RULES} rows")
+    return rows
 
 
 def load_rules(spark: SparkSession, path: str | None = None) -> list[Rule]:
     rows = [r for r in _rows(spark, path, RULE_SCHEMA, "mandatory_declarations") if r.field_name] if path else []
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule pack holds at most {MAX_RULES} rules")
     return [
         Rule(
             r.field_name,

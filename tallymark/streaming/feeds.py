@@ -9,8 +9,13 @@ from pyspark.sql.types import StructType
 
 from tallymark.functions.trust import XP_START
 from tallymark.operators.analytics import daily_counts
+from tallymark.operators.citizens import admit, verify_claims, xp_events
+from tallymark.streaming.state import delete_superseded, in_turn, read_state, write_state
 
+# How late a row may come. Later rows are dropped by the watermark and counted: see ``late_rows``. A resubmission
+# that comes later than this is a new row to ``deduplicate``.
 LATENESS = "1 day"
+BALANCE_SCHEMA = "user_id long, points long"
 
 
 def with_event_time(scans: DataFrame, column: str = "created_at", lateness: str = LATENESS) -> DataFrame:
@@ -24,7 +29,7 @@ def deduplicate(scans: DataFrame, key: str = "scan_id", lateness: str = LATENESS
 
 
 def daily(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Counts per day, emitted once the watermark has passed the day."""
+    """Counts per day. In append mode a day comes once the watermark has passed it, in update mode whenever it changes."""
     return (
         with_event_time(scans, lateness=lateness)
         .groupBy(F.window("created_at", "1 day").alias("w"))
@@ -33,26 +38,61 @@ def daily(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
-def balances(events: DataFrame) -> DataFrame:
-    """Running balance per user; partial sums per task keep busy users cheap. Use update mode."""
-    return events.groupBy("user_id").agg((F.sum("xp_change") + XP_START).cast("long").alias("xp"))
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped so far, from the query's progress reports."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
 
 
-def store_latest(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Writes each batch's changed rows under its batch number; a retry overwrites only itself."""
+def balances_of(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+    """Balance per user from the batches before ``batch``."""
+    stored = read_state(spark, folder, "points", "user_id", BALANCE_SCHEMA, batch)
+    return stored.select("user_id", (F.col("points") + XP_START).alias("xp"))
+
+
+def apply_balance_batch(scans: DataFrame, violations: DataFrame, batch: int, folder: str) -> None:
+    """One micro-batch of citizen scans: users in the negative are turned away, claims are checked, points are added."""
+    spark = scans.sparkSession
+    stored = read_state(spark, folder, "points", "user_id", BALANCE_SCHEMA, batch)
+    admitted = admit(scans, stored.select("user_id", (F.col("points") + XP_START).alias("xp")))
+    added = xp_events(verify_claims(admitted, violations)).groupBy("user_id").agg(F.sum("xp_change").cast("long").alias("points")).persist()
+    touched = added.select("user_id")
+    before = stored.join(touched, "user_id", "left_semi")
+    summed = before.unionByName(added).groupBy("user_id").agg(F.sum("points").alias("points"))
+    others = stored.where(in_turn("user_id", batch)).join(touched, "user_id", "left_anti")
+    write_state(summed.unionByName(others), folder, "points", batch)
+    added.unpersist()
+    delete_superseded(spark, folder, "points", batch)
+
+
+def start_balances(scans: DataFrame, violations: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """Balances of citizens from a stream of scans; ``violations`` is the table that claims are checked against."""
+
+    def step(rows: DataFrame, batch: int) -> None:
+        apply_balance_batch(rows, violations, batch, folder)
+
+    writer = scans.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def store_latest(stream: DataFrame, folder: str, key: str, trigger: dict | None = None) -> StreamingQuery:
+    """Upserts each batch's changed rows by key; a retry overwrites only its own folder."""
+    fields = stream.schema
 
     def step(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        spark = rows.sparkSession
+        rows = rows.persist()
+        stored = read_state(spark, folder, "rows", key, fields, batch).where(in_turn(key, batch))
+        write_state(rows.unionByName(stored.join(rows.select(key), key, "left_anti")), folder, "rows", batch)
+        rows.unpersist()
+        delete_superseded(spark, folder, "rows", batch)
 
     writer = stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_rows(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """Current value per key from what ``store_latest`` wrote."""
-    rows = spark.read.parquet(f"{folder}/rows")
-    columns = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in columns])
+def latest_rows(spark: SparkSession, folder: str, key: str, schema: StructType, after: int) -> DataFrame:
+    """Current rows per key after a batch, from what ``store_latest`` wrote."""
+    return read_state(spark, folder, "rows", key, schema, after + 1)
 
 
 def store_append(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:

@@ -9,7 +9,6 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +18,7 @@ from tallymark.operators.consensus import EVIDENCE_LIMIT, latest
 from tallymark.operators.ledger import TIERS, known_tier
 from tallymark.operators.skew import DEFAULT_POLICY, SkewPolicy, minute_of
 from tallymark.operators.tickets import spawn_tickets
+from tallymark.streaming.state import delete_superseded, in_turn, read_state, write_state
 
 EVIDENCE = ["gtin", "scan_id", "created_at", "batch_code", "compliance_status", "calibration_tier", "user_role", "confidence"]
 EVIDENCE_SCHEMA = (
@@ -27,32 +27,18 @@ EVIDENCE_SCHEMA = (
 )
 TOTALS_SCHEMA = "gtin string, " + ", ".join(f"{t} long" for t in TIERS)
 ARRIVAL_ORDER = ["arrival", "created_at", "scan_id"]
-# Every this many batches the whole state is written anew, so a batch reads a bounded number of folders.
-FULL_EVERY = 20
-
-
-def read_state(spark: SparkSession, folder: str, name: str, schema: str, batch: int) -> DataFrame:
-    """Latest stored rows per product from batches before ``batch``."""
-    since = (batch - 1) // FULL_EVERY * FULL_EVERY if batch > 0 else 0
-    try:
-        stored = spark.read.schema(schema + ", batch long").parquet(f"{folder}/{name}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    stored = stored.where((F.col("batch") >= since) & (F.col("batch") < batch))
-    newest = stored.groupBy("gtin").agg(F.max("batch").alias("batch"))
-    return stored.join(newest, ["gtin", "batch"], "left_semi").drop("batch")
 
 
 def apply_batch(scans: DataFrame, batch: int, folder: str, policy: SkewPolicy = DEFAULT_POLICY) -> None:
     """One micro-batch: tickets for the scans that conflict, and the state after them."""
     spark = scans.sparkSession
     arrived = scans.where(F.col("gtin").isNotNull()).select(*EVIDENCE).withColumn("arrival", F.lit(batch).cast("long"))
-    arrived = arrived.withColumn("confidence", F.col("confidence").cast("double"))
+    arrived = arrived.withColumn("confidence", F.col("confidence").cast("double")).persist()
     touched = arrived.select("gtin").distinct()
-    evidence = read_state(spark, folder, "evidence", EVIDENCE_SCHEMA, batch)
-    totals = read_state(spark, folder, "totals", TOTALS_SCHEMA, batch)
+    evidence = read_state(spark, folder, "evidence", "gtin", EVIDENCE_SCHEMA, batch)
+    totals = read_state(spark, folder, "totals", "gtin", TOTALS_SCHEMA, batch)
 
-    known = evidence.join(touched, "gtin", "left_semi")
+    known = evidence.join(touched, "gtin", "left_semi").persist()
     both = known.unionByName(arrived)
     bucket = F.concat(F.lpad(F.col("arrival").cast("string"), 12, "0"), minute_of("created_at"))
     state = rolling_state(both, policy, order=ARRIVAL_ORDER, bucket=bucket).where(F.col("arrival") == batch)
@@ -68,15 +54,20 @@ def apply_batch(scans: DataFrame, batch: int, folder: str, policy: SkewPolicy =
         state = state.withColumn(f"prior_{t}", F.col(f"prior_{t}") + F.coalesce(F.col(f"more_{t}"), F.lit(0)))
     spawn_tickets(with_conflict(state)).write.mode("overwrite").parquet(f"{folder}/tickets/batch={batch}")
 
-    full = batch % FULL_EVERY == 0
-    everything = evidence.unionByName(arrived) if full else both
-    kept = latest(everything, "gtin", EVIDENCE_LIMIT, *[F.col(c).desc() for c in ARRIVAL_ORDER]).drop("recency")
-    kept.write.mode("overwrite").parquet(f"{folder}/evidence/batch={batch}")
+    # Beside the touched products, the share of all products whose turn it is.
+    others = evidence.where(in_turn("gtin", batch)).join(touched, "gtin", "left_anti")
+    kept = latest(both, "gtin", EVIDENCE_LIMIT, *[F.col(c).desc() for c in ARRIVAL_ORDER]).drop("recency")
+    write_state(kept.unionByName(others), folder, "evidence", batch)
 
     added = arrived.groupBy("gtin").agg(*[F.count_if(tier == t).alias(t) for t in TIERS])
-    before = totals if full else totals.join(touched, "gtin", "left_semi")
+    before = totals.join(touched, "gtin", "left_semi")
     summed = before.unionByName(added).groupBy("gtin").agg(*[F.sum(t).alias(t) for t in TIERS])
-    summed.write.mode("overwrite").parquet(f"{folder}/totals/batch={batch}")
+    others = totals.where(in_turn("gtin", batch)).join(touched, "gtin", "left_anti")
+    write_state(summed.unionByName(others), folder, "totals", batch)
+    for frame in (known, arrived):
+        frame.unpersist()
+    for name in ("evidence", "totals"):
+        delete_superseded(spark, folder, name, batch)
 
 
 def start_ledger_stream(
@@ -97,4 +88,4 @@ def tickets_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_of(spark: SparkSession, folder: str, after: int) -> DataFrame:
     """Evidence state after a batch, ready for the consensus operator."""
-    return read_state(spark, folder, "evidence", EVIDENCE_SCHEMA, after + 1)
+    return read_state(spark, folder, "evidence", "gtin", EVIDENCE_SCHEMA, after + 1)

@@ -112,7 +112,7 @@ def test_page_layers(spark):
     assert (row.product_name, row.net_quantity, row.mrp, row.country_of_origin) == ("T", "75 g", "₹1299.00", "India")
     assert row.consumer_care == "help@maker.org"
     assert not row.structured_data and row.product_specifications
-    assert {(r.key, r.value) for r in pages.specs_of(page).collect()} == {("net quantity", "80 g")}
+    assert {(r.key, r.value) for r in pages.specs_of(page).collect()} == {("net quantity", "80 g"), ("k" * 70, "v")}
 
 
 def day_batches(tables):
