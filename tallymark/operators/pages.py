@@ -6,6 +6,8 @@ that gives a value wins: structured data, meta tags, specification tables, visib
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,12 @@ TABLE_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 ROW_CELL = r"(?is)<(?:th|td)[^>]*>(.*?)</(?:th|td)>"
 TERM = r"(?is)<dt[^>]*>(.*?)</dt>"
 DEFINITION = r"(?is)<dd[^>]*>(.*?)</dd>"
+# Anything but the edge of a block, and a block's inside with two levels of blocks in it.
+NO_EDGE = r"(?:(?!</?div)[\s\S])*+"
+NESTED = rf"{NO_EDGE}(?:<div[^>]*>{NO_EDGE}(?:<div[^>]*>{NO_EDGE}</div>{NO_EDGE})*+</div>{NO_EDGE})*+"
 SPEC_BLOCK = (
-    r"(?is)<div[^>]*(?:id=[\"']detailBullets_feature_div[\"']|class=[\"'][^\"']*(?:spec|attribute)[^\"']*[\"'])[^>]*>(.*?)</div>"
+    r"(?is)<div[^>]*(?:id=[\"']detailBullets_feature_div[\"']|class=[\"'][^\"']*(?:spec|attribute)[^\"']*[\"'])[^>]*>"
+    rf"({NESTED})</div>"
 )
 BULLET = r"(?is)<li[^>]*>(.*?)</li>"
 SHOP_SUFFIX = r"(?i)\s*[:|\-]\s*(?:Amazon|Flipkart|BigBasket|Blinkit|Zepto|JioMart).*$"
@@ -77,8 +83,63 @@ CDN_IMAGE = "https://m.media-amazon.com/images/I/"
 IMAGE_NOISE = "icon|sprite|play|video|transparent|pixel|badge"
 ITEM_CODE = r"/(?:dp|gp/product|d)/([A-Za-z0-9]{10})"
 PACKAGING_HINT = "nutrition|ingredient|facts|back|details|panel|table|label|statutory"
-CARD = r"(?is)<div[^>]*data-component-type=[\"']s-search-result[\"'][^>]*>(.*?)</article>"
-SHOP_ROOT = "https://www.amazon.in"
+
+# Price nodes of product pages, in order; the first one with a price counts.
+PRICE_NODES = [
+    r"(?is)<span[^>]*class=[\"'][^\"']*\ba-price\b[^\"']*[\"'][^>]*>\s*<span[^>]*class=[\"'][^\"']*\ba-offscreen\b[^\"']*[\"'][^>]*>(.*?)</span>",
+    r"(?is)<span[^>]*id=[\"']priceblock_ourprice[\"'][^>]*>(.*?)</span>",
+    r"(?is)<div[^>]*class=[\"'][^\"']*\b_30jeq3\b[^\"']*[\"'][^>]*>(.*?)</div>",
+    r"(?is)<span[^>]*id=[\"']priceblock_dealprice[\"'][^>]*>(.*?)</span>",
+]
+
+
+@dataclass(frozen=True)
+class Shop:
+    """How a shop's result pages show a product: where a card opens, its title, and how links and images are completed."""
+
+    host: str
+    card: str
+    title: list[str]
+    root: str
+    default_title: str | None = None
+    image: tuple[str, str] | None = None
+
+
+def by_class(tags: str, names: str) -> str:
+    return rf"(?is)<(?:{tags})[^>]*class=[\"'](?:[^\"']*\s)?(?:{names})(?:\s[^\"']*)?[\"'][^>]*>"
+
+
+# Card shapes by shop; the last one fits any shop.
+SHOPS = [
+    Shop(
+        "amazon",
+        r"(?is)<div[^>]*data-component-type=[\"']s-search-result[\"'][^>]*>",
+        [r"(?is)<h2[^>]*>(.*?)</h2>", by_class("span", "a-text-normal") + "(.*?)</span>"],
+        "https://www.amazon.in",
+        "Amazon Product",
+        (r"\._[A-Z0-9_,]+_\.", "._SL1500_."),
+    ),
+    Shop(
+        "flipkart",
+        by_class("div", "_1AtVbE|_1xHGKw|_2kHMtA|_4ddW1b"),
+        [by_class("div|a", "_4rR01T|s1Q98W|IRpwTa") + "(.*?)</(?:div|a)>"],
+        "https://www.flipkart.com",
+        "Flipkart Product",
+        (r"/image/\d+/\d+/", "/image/832/832/"),
+    ),
+    Shop(
+        "bigbasket",
+        by_class("div|li", "product-deck|paginated-item|SKUContainer-sc"),
+        [by_class("a", "ng-binding") + "(.*?)</a>", r"(?is)<h3[^>]*>(.*?)</h3>", r"(?is)<div[^>]*class=[\"'][^\"']*name[^\"']*[\"'][^>]*>(.*?)</div>"],
+        "https://www.bigbasket.com",
+    ),
+    Shop(
+        "",
+        r"(?is)<article[^>]*>|<div[^>]*class=[\"'][^\"']*(?:product|item|card)[^\"']*[\"'][^>]*>",
+        [r"(?is)<h[234][^>]*>(.*?)</h[234]>", r"(?is)<a[^>]*>(.*?)</a>", r"(?is)<img[^>]*alt=[\"']([^\"']*)[\"']"],
+        "",
+    ),
+]
 
 LD_SCHEMA = (
     "array<struct<`@type` string, `@graph` array<struct<`@type` string, name string, description string, category string, brand string, "
@@ -233,7 +294,8 @@ def listings_of(pages: DataFrame) -> DataFrame:
         F.coalesce(ld("brand", named), spec("brand")).alias("brand"),
         F.coalesce(as_price(offers("highPrice")), as_price(spec("mrp")), as_price(text("mrp"))).alias("_mrp"),
         F.coalesce(
-            as_price(offers("price", "lowPrice")), as_price(meta(html, "(?:product|og):price:amount")), as_price(spec("selling_price"))
+            as_price(offers("price", "lowPrice")), as_price(meta(html, "(?:product|og):price:amount")), as_price(spec("selling_price")),
+            *[as_price(inner_text(F.regexp_extract(html, node, 1))) for node in PRICE_NODES],
         ).alias("_sold"),
         F.coalesce(ld("weight", amount), spec("net_quantity"), text("net_quantity")).alias("net_quantity"),
         F.coalesce(spec("country_of_origin", True), ld("countryOfOrigin", named), short_origin).alias("country_of_origin"),
@@ -269,19 +331,43 @@ def specs_of(pages: DataFrame) -> DataFrame:
 
 
 def card_links(pages: DataFrame) -> DataFrame:
-    """Product cards of result pages: title, absolute link without tracking, full-size image."""
+    """Product cards of result pages: title, absolute link without tracking, full-size image.
+
+    The shop is told by the page's host, or else by the first card shape that the page has. A card reaches from
+    its opening tag to the next card or the end of the page; cards without a link are left out.
+    """
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
+    number = F.lit(len(SHOPS) - 1)
+    for i, shop in reversed(list(enumerate(SHOPS[:-1]))):
+        number = F.when(F.rlike("html", F.lit(shop.card)), F.lit(i)).otherwise(number)
+    for i, shop in reversed(list(enumerate(SHOPS[:-1]))):
+        number = F.when(F.contains(host, F.lit(shop.host)), F.lit(i)).otherwise(number)
+
+    def of_shop(build) -> Column:
+        expr = F.lit(None)
+        for i, shop in reversed(list(enumerate(SHOPS))):
+            expr = F.when(F.col("_shop") == i, build(shop)).otherwise(expr)
+        return expr
+
+    opened = pages.select("page_id", "html", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("_root"), number.alias("_shop"))
+    pieces = of_shop(lambda shop: F.split("html", shop.card, -1))
+    cards = opened.select("page_id", "_root", "_shop", F.posexplode_outer(F.slice(pieces, F.lit(2), F.size(pieces))).alias("position", "card"))
     card = F.col("card")
     href = unescape(F.regexp_extract(card, r"(?is)<a[^>]*href=[\"']([^\"']+)[\"']", 1))
-    absolute = F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(SHOP_ROOT), href))
-    image = F.regexp_extract(card, r"(?is)<img[^>]*src=[\"']([^\"']*)[\"']", 1)
-    title = inner_text(F.regexp_extract(card, r"(?is)<h2[^>]*>(.*?)</h2>", 1))
-    cards = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(CARD), F.lit(1))).alias("position", "card"))
+    image = F.regexp_extract(card, r"(?is)<img[^>]*\ssrc=[\"']([^\"']*)[\"']", 1)
+
+    def title(shop: Shop) -> Column:
+        named = [F.nullif(F.coalesce(inner_text(F.regexp_extract(card, t, 1)), F.lit("")), F.lit("")) for t in shop.title]
+        return F.coalesce(*named, F.lit(shop.default_title))
+
+    root = of_shop(lambda shop: F.lit(shop.root) if shop.root else F.col("_root"))
+    absolute = F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(root, href))
     return cards.where(href != "").select(
         "page_id",
         "position",
-        F.coalesce(title, F.lit("Amazon Product")).alias("title"),
+        of_shop(title).alias("title"),
         F.split(absolute, "/ref=").getItem(0).alias("product_url"),
-        F.regexp_replace(image, r"\._[A-Z0-9_,]+_\.", "._SL1500_.").alias("image_url"),
+        of_shop(lambda shop: F.regexp_replace(image, *shop.image) if shop.image else image).alias("image_url"),
     )
 
 

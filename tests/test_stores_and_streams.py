@@ -107,12 +107,54 @@ def test_page_layers(spark):
         "<table><tr><th>Net Quantity</th><td>75&nbsp;g</td></tr><tr><td>net quantity</td><td>80 g</td></tr><tr><td>" + "k" * 70 + "</td><td>v</td></tr></table>"
         "<p>MRP: ₹ 1,299.00 Country of Origin: India. mail: help@maker.org</p><script>MRP 5</script>"
     )
-    page = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
-    row = pages.listings_of(page).first()
+    one = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    row = pages.listings_of(one).first()
     assert (row.product_name, row.net_quantity, row.mrp, row.country_of_origin) == ("T", "75 g", "₹1299.00", "India")
     assert row.consumer_care == "help@maker.org"
     assert not row.structured_data and row.product_specifications
-    assert {(r.key, r.value) for r in pages.specs_of(page).collect()} == {("net quantity", "80 g"), ("k" * 70, "v")}
+    assert {(r.key, r.value) for r in pages.specs_of(one).collect()} == {("net quantity", "80 g"), ("k" * 70, "v")}
+
+
+def page(spark, html, url="https://shop.example.com/p"):
+    return spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+
+
+def test_price_nodes_and_nested_specifications(spark):
+    bullets = "".join(f"<li><span>{k}: {v}</span></li>" for k, v in [("Country of Origin", "India"), ("Net Quantity", "120.0 gram"), ("Packer", "Alpha Foods")])
+    html = (
+        f'<div id="detailBullets_feature_div"><div class="top"><div>x</div></div><ul>{bullets}</ul></div><ul><li>Brand: not inside</li></ul>'
+        '<span class="a-price x"><span class="a-offscreen">₹35.00</span></span>'
+    )
+    row = pages.listings_of(page(spark, html)).first()
+    assert (row.mrp, row.country_of_origin, row.net_quantity, row.packer, row.brand) == ("₹35.00", "India", "120.0 gram", "Alpha Foods", None)
+    html = "<table><tr><td>Net Quantity</td><td>250 g</td></tr></table><div class='_30jeq3'>₹120</div>"
+    assert pages.listings_of(page(spark, html)).first().mrp == "₹120.00"
+    long = "<meta property='og:description' content='" + "d" * 900 + "'>"
+    assert len(pages.listings_of(page(spark, long)).first().description) == 900
+
+
+@pytest.mark.parametrize(
+    "url, html, expected",
+    [
+        (
+            "https://www.amazon.in/s?k=b",
+            "<div data-component-type='s-search-result'><h2><a href='/dp/B08/ref=sr_1'><span>One 120g</span></a></h2><img class='s-image' src='https://m/71h._AC_UL320_.jpg'/></div>"
+            "<div data-component-type='s-search-result'><h2><a href='/dp/B09'>Two</a></h2></div>",
+            [("One 120g", "https://www.amazon.in/dp/B08", "https://m/71h._SL1500_.jpg"), ("Two", "https://www.amazon.in/dp/B09", "")],
+        ),
+        (
+            "https://www.flipkart.com/search",
+            "<div class='x _1AtVbE'><a class='_1fQZEK' href='/p/i?pid=1'><div class='_4rR01T'>Tea</div><img class='_396cs4' src='https://r/image/312/312/a.jpeg'></a></div>",
+            [("Tea", "https://www.flipkart.com/p/i?pid=1", "https://r/image/832/832/a.jpeg")],
+        ),
+        ("https://www.bigbasket.com/x", "<li class='paginated-item'><a href='/pd/1'><h3>Rice</h3></a><img src='u'></li>", [("Rice", "https://www.bigbasket.com/pd/1", "u")]),
+        ("https://other.example.com/x", "<article><h3>Soap</h3><a href='/s/1'>more</a><img data-src='d' src='i'></article><p>no card</p>", [("Soap", "https://other.example.com/s/1", "i")]),
+        ("https://other.example.com/x", "<p>nothing</p>", []),
+    ],
+)
+def test_result_cards_of_every_shop(spark, url, html, expected):
+    found = pages.card_links(page(spark, html, url)).orderBy("position").collect()
+    assert [(r.title, r.product_url, r.image_url) for r in found] == expected
 
 
 def day_batches(tables):
