@@ -333,10 +333,11 @@ def specs_of(pages: DataFrame) -> DataFrame:
 def card_links(pages: DataFrame) -> DataFrame:
     """Product cards of result pages: title, absolute link without tracking, full-size image.
 
-    The shop is told by the page's host, or else by the first card shape that the page has. A card reaches from
+    ``pages`` has page_id, html and, if known, url. The shop is told by the page's host, or else by the first card shape that the page has. A card reaches from
     its opening tag to the next card or the end of the page; cards without a link are left out.
     """
-    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
+    url = F.col("url") if "url" in pages.columns else F.lit("")
+    host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1))
     number = F.lit(len(SHOPS) - 1)
     for i, shop in reversed(list(enumerate(SHOPS[:-1]))):
         number = F.when(F.rlike("html", F.lit(shop.card)), F.lit(i)).otherwise(number)
@@ -349,7 +350,7 @@ def card_links(pages: DataFrame) -> DataFrame:
             expr = F.when(F.col("_shop") == i, build(shop)).otherwise(expr)
         return expr
 
-    opened = pages.select("page_id", "html", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("_root"), number.alias("_shop"))
+    opened = pages.select("page_id", "html", F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1).alias("_root"), number.alias("_shop"))
     pieces = of_shop(lambda shop: F.split("html", shop.card, -1))
     cards = opened.select("page_id", "_root", "_shop", F.posexplode_outer(F.slice(pieces, F.lit(2), F.size(pieces))).alias("position", "card"))
     card = F.col("card")
