@@ -158,3 +158,27 @@ def test_ledger_names_skip_placeholders(spark):
     assert ledger["h"].product_name == "GTIN-2"
     batches = {(r.gtin, r.batch_code): r.current_verdict for r in batch_breakdown(scans).collect()}
     assert batches == {("g", "unspecified"): "compliant", ("g", "B1"): "non_compliant", ("h", "unspecified"): "compliant"}
+
+
+@pytest.mark.parametrize("times", ["null", "one", "mixed"])
+def test_rows_without_a_time_and_bulk_loads_are_the_same_hot_and_cold(spark, times):
+    at = {"null": lambda i: None, "one": lambda i: dt.datetime(2024, 5, 1, 8, 0), "mixed": lambda i: None if i % 10 == 0 else dt.datetime(2024, 5, 1, 8, i % 3, i % 7)}[times]
+    made = [(f"g{i % 3 // 2}", i * 70_000, at(i), 1 + i % 4) for i in range(120)]
+    df = spark.createDataFrame(made, "gtin string, scan_id long, created_at timestamp_ntz, v int")
+    small = SkewPolicy(hot_rows=10, block_rows=25)
+    order = ["created_at", "scan_id"]
+    cold, hot = (rows(running_sum(df, "gtin", order, minute_of("created_at"), F.col("v"), "total", p)) for p in (SkewPolicy(), small))
+    assert cold == hot and len(hot) == len(made)
+    ids = sequence_ids(df, order, minute_of("created_at"), "n").orderBy("n").collect()
+    assert [r.n for r in ids] == list(range(1, 121))
+    assert [r.scan_id for r in ids] == [r.scan_id for r in df.orderBy(*order).collect()]
+
+
+def test_two_updates_of_a_ticket_leave_one_ticket(spark):
+    from tallymark.operators.tickets import update_tickets
+
+    tickets = spark.sql("SELECT 1L AS trigger_scan_id, 'open' AS status, timestamp_ntz'2024-01-01 00:00:00' AS updated_at")
+    updates = spark.sql("""SELECT * FROM VALUES (1L, 'Resolved', null, 'done', timestamp_ntz'2024-01-02 00:00:00'), (1L, '', 'Ann', null, timestamp_ntz'2024-01-03 00:00:00')
+        AS t(trigger_scan_id, status, assigned_to, resolution_notes, updated_at)""")
+    (row,) = update_tickets(tickets, updates).collect()
+    assert (row.status, row.assigned_to, row.resolution_notes, row.resolved_at.day, row.updated_at.day) == ("resolved", "Ann", "done", 2, 3)
