@@ -7,8 +7,9 @@ counts them exactly. Equal windows have equal minimisers, so every copy of a win
 - A first pass counts minimisers. Strings whose minimiser occurs once cannot hold a repeated window and stay
   where they are; a Bloom filter of fixed size tells which (its mistakes send a string that need not go).
 - A minimiser with more than ``HOT`` strings (a passage or copies in many documents) would make one bucket as
-  large as the corpus has such documents. Its windows travel singly instead, as 128-bit digests that are counted
-  with map-side aggregation and joined back, which Spark can split.
+  large as the corpus has such documents. Its strings are counted by their 128-bit digests with map-side
+  aggregation instead. All windows of a string that occurs twice are repeated; those of strings that occur once
+  are counted singly, by digest, against the windows of each distinct string.
 - Documents are met again by key and hash of the text, so rows with the same id are kept apart or are alike.
 
 Cases: null and empty texts have no words; a text of fewer words than a window keeps all; the same row twice
@@ -119,27 +120,22 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int, size: int,
             first, n, minimiser = super_kmers(words, width, size)
             go = bloom.contains(repeated, minimiser)
             first, n, minimiser = first[go], n[go], minimiser[go]
-            single = bloom.contains(many, minimiser)
+            crowded = bloom.contains(many, minimiser)
             document = np.searchsorted(words.first, first, "right") - 1
             names, ids = words.names.to_pylist(), words.ids
-            held = [[], [], [], [], []]  # hot, bucket, packed, document, start
-            for a, k, m, d, alone in zip(first.tolist(), n.tolist(), minimiser.view(np.int64).tolist(), document.tolist(), single.tolist()):
+            held = [[], [], [], [], [], []]  # hot, bucket, packed, document, start, windows
+            for a, k, m, d, alone in zip(first.tolist(), n.tolist(), minimiser.view(np.int64).tolist(), document.tolist(), crowded.tolist()):
                 string = [names[i] for i in ids[a : a + k + width - 1].tolist()]
                 start = a - int(words.first[d])
-                if not alone:
-                    parts = [(m, b" ".join(string))]
-                else:
-                    parts = [(0, hashlib.md5(b" ".join(string[i : i + width])).digest()) for i in range(k)]
-                for i, (bucket, packed) in enumerate(parts):
-                    for column_, value in zip(held, (alone, bucket, packed, at + d, start + i)):
-                        column_.append(value)
+                for column_, value in zip(held, (alone, m, b" ".join(string), at + d, start, k)):
+                    column_.append(value)
             rows = pa.array(held[3], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held[0], pa.bool_()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(held[4], pa.int32())],
-                ["hot", "bucket", "packed", "_key", "_hash", "start"],
+                [pa.array(held[0], pa.bool_()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.binary()), batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x, pa.int32()) for x in held[4:])],
+                ["hot", "bucket", "packed", "_key", "_hash", "start", "windows"],
             )
 
-    packed = write_shared(map_arrow(picked, pack, f"hot boolean, bucket long, packed binary, _key {kind}, _hash long, start int"), "super-kmers", compression="zstd")
+    packed = write_shared(map_arrow(picked, pack, f"hot boolean, bucket long, packed binary, _key {kind}, _hash long, start int, windows int"), "super-kmers", compression="zstd")
 
     def sort(batches):
         def rows():
@@ -171,9 +167,27 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int, size: int,
 
     buckets = packed.filter(~F.col("hot")).select("bucket", "packed", "_key", "_hash", "start").repartition("bucket").sortWithinPartitions("bucket")
     cold = map_partition(buckets, sort, f"_key {kind}, _hash long, begin int, end int")
-    single = packed.filter("hot").select("packed", "_key", "_hash", "start")
-    twice = single.groupBy("packed").count().filter("count > 1").select("packed")
-    warm = single.join(twice, "packed").select("_key", "_hash", F.col("start").alias("begin"), (F.col("start") + width).alias("end"))
+    strings = packed.filter("hot").select(F.unhex(F.md5("packed")).alias("digest"), "packed", "_key", "_hash", "start", "windows")
+    place = F.struct("_key", "_hash", "start")
+    known = strings.groupBy("digest").agg(F.count("*").alias("copies"), F.min("packed").alias("packed"), F.min(place).alias("_place"))
+    several = strings.join(known.filter("copies > 1").select("digest"), "digest")
+    whole = several.select("_key", "_hash", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + width - 1).alias("end"))
+
+    def windows(batch):
+        held = [[], [], [], [], []]  # digest, copies, key, hash, start
+        for copies, string, doc, text_hash, start in zip(*(c.to_pylist() for c in batch.columns)):
+            words = string.split(b" ")
+            for i in range(len(words) - width + 1):
+                for column_, value in zip(held, (hashlib.md5(b" ".join(words[i : i + width])).digest(), copies, doc, text_hash, start + i)):
+                    column_.append(value)
+        kinds = [pa.binary(), pa.int64(), arrow_kind, pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds)], ["window", "copies", "_key", "_hash", "begin"])
+
+    each = known.select("copies", "packed", "_place.*")
+    each = write_shared(map_arrow(each, windows, f"window binary, copies long, _key {kind}, _hash long, begin int"), "hot-windows")
+    twice = each.groupBy("window").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("window")
+    single = each.filter("copies = 1").join(twice, "window").select("_key", "_hash", "begin", (F.col("begin") + width).alias("end"))
+    warm = whole.unionByName(single)
     return cold.unionByName(warm).groupBy("_key", "_hash").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
 
 
