@@ -88,8 +88,25 @@ def dominant_prior_tier(counts: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(count == most, F.lit(name)) for name, count in counts.items()])
 
 
+def exactly(value: Column) -> Column:
+    """A confidence as text with its four decimals."""
+    return value.cast("decimal(6,4)").cast("string")
+
+
+def discrepancy_reason(kind: Column, status: Column, tier: Column, role: Column) -> Column:
+    """Why a scan conflicts, in one sentence for the person who re-inspects."""
+    prior, new = F.col("prior_verdict"), F.col("new_verdict")
+    before = F.concat(F.lit("the consensus before was "), prior, F.lit(" at confidence "), exactly(F.col("prior_confidence")))
+    return (
+        F.when(kind == "sensor_tier_escalation", F.concat(F.lit("a precise "), tier, F.lit(" scan found "), status, F.lit(" where no depth scan had been made; "), before))
+        .when(kind == "verdict_inversion", F.concat(F.lit("a scan by "), role, F.lit(" with "), tier, F.lit(" found "), status, F.lit(" and the verdict is now "), new, F.lit("; "), before))
+        .when(kind == "consensus_disputed", F.concat(F.lit("contradicting scans leave the verdict disputed; "), before))
+        .when(kind == "confidence_drop", F.concat(F.lit("a scan that found "), status, F.lit(" brought confidence down to "), exactly(F.col("new_confidence")), F.lit("; "), before))
+    )
+
+
 def with_conflict(state: DataFrame, config: ConflictConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Adds conflict_type, priority and prior_tier; all null where the scan raises no conflict.
+    """Adds conflict_type, priority, prior_tier and discrepancy_reason; all null where the scan raises no conflict.
 
     The first matching rule wins: tier escalation, verdict inversion, disputed consensus,
     confidence drop. A product's first scan has no prior state and never conflicts.
@@ -136,5 +153,6 @@ def with_conflict(state: DataFrame, config: ConflictConfig = DEFAULT_CONFIG) ->
             "conflict_type": F.col("_found.conflict_type"),
             "priority": F.col("_found.priority"),
             "prior_tier": F.when(F.col("_found").isNotNull(), dominant_prior_tier(counts)),
+            "discrepancy_reason": discrepancy_reason(F.col("_found.conflict_type"), status, tier, role),
         }
     ).drop("_found")

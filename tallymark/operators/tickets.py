@@ -31,6 +31,7 @@ def spawn_tickets(conflicts: DataFrame) -> DataFrame:
         F.round("new_confidence", 4).alias("new_confidence"),
         F.coalesce("calibration_tier", F.lit("dpi_estimated")).alias("new_calibration_tier"),
         "conflict_type",
+        "discrepancy_reason",
         "priority",
         F.lit("open").alias("status"),
         "created_at",

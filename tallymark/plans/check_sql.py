@@ -73,6 +73,12 @@ ROLLING_VIEWS = {
         CASE greatest(c_ar, c_ref, c_pkg, c_dpi) WHEN c_ar THEN 'ar_verified' WHEN c_ref THEN 'reference_object'
              WHEN c_pkg THEN 'package_dimension' ELSE 'dpi_estimated' END AS prior_calibration_tier,
         new_verdict, new_confidence, calibration_tier AS new_calibration_tier, conflict_type,
+        CASE conflict_type
+          WHEN 'sensor_tier_escalation' THEN 'a precise ' || calibration_tier || ' scan found ' || st || ' where no depth scan had been made; '
+          WHEN 'verdict_inversion' THEN 'a scan by ' || user_role || ' with ' || calibration_tier || ' found ' || st || ' and the verdict is now ' || new_verdict || '; '
+          WHEN 'consensus_disputed' THEN 'contradicting scans leave the verdict disputed; '
+          ELSE 'a scan that found ' || st || ' brought confidence down to ' || CAST(CAST(new_confidence AS DECIMAL(6,4)) AS VARCHAR) || '; ' END
+          || 'the consensus before was ' || prior_verdict || ' at confidence ' || CAST(CAST(prior_confidence AS DECIMAL(6,4)) AS VARCHAR) AS discrepancy_reason,
         CASE conflict_type
           WHEN 'sensor_tier_escalation' THEN CASE WHEN prior_verdict = 'compliant' THEN 'critical' ELSE 'high' END
           WHEN 'verdict_inversion' THEN CASE WHEN prior_verdict = 'compliant' AND (user_role IN ('inspector','admin')
