@@ -158,13 +158,17 @@ def anchor_match(upper: Column, anchors: list[str]) -> Column:
     held = F.transform(
         words, lambda a, i: F.when(F.contains(upper, a) | F.contains(a, upper), entry(F.lit(1.0), i, a))
     )
-    alike = F.transform(
-        words,
-        lambda a, i: F.when(
-            F.abs(size - F.length(a)) <= F.greatest(size, F.length(a)) * (1.0 - ANCHOR_RATIO),
-            entry(1.0 - F.levenshtein(upper, a) / F.greatest(size, F.length(a)), i, a),
-        ),
-    )
+    # No pair within the ratio is further apart than this; a distance given up on is -1.
+    furthest = int(longest / ANCHOR_RATIO * (1.0 - ANCHOR_RATIO)) + 1
+
+    def resembling(a: Column, i: Column) -> Column:
+        most = F.greatest(size, F.length(a))
+        return F.when(
+            F.abs(size - F.length(a)) <= most * (1.0 - ANCHOR_RATIO),
+            entry(F.nullif(F.levenshtein(upper, a, furthest), F.lit(-1)) / -most + 1.0, i, a),
+        )
+
+    alike = F.transform(words, resembling)
     return F.when(exact, F.coalesce(F.array_max(held), F.array_max(alike))).when(plausible, F.array_max(alike))
 
 
