@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ledger", "analytics", "citizens", "labels", "products", "tokens", "pages", "streams"]
+MODULES = ["ledger", "analytics", "citizens", "labels", "products", "tokens", "pages", "scans", "streams"]
 
 
 def load_all():
