@@ -17,7 +17,7 @@ SAMPLE = [
     "scan_search_page", "merged_scan_feed", "claim_verification", "xp_running_balance", "submission_gate", "reviewed_scans",
     "assigned_scan_uids", "document_scans", "origin_inference", "label_verdicts", "label_gaps", "cross_validation", "listing_verdicts",
     "shelf_life", "consumption_forecast", "nutrient_table", "merged_sides", "heading_neighbours", "classified_fields", "listing_pages",
-    "page_images", "stream_daily_counts",
+    "page_images", "stream_daily_counts", "stream_balances", "stream_progress", "stream_store_and_forward", "label_scan_verdicts", "result_cards",
 ]
 
 
