@@ -123,3 +123,46 @@ met AS (
 SELECT page_id, host, fetched_at, coalesce(n_entries, 0) AS n_entries, coalesce(lists, '') AS lists, coalesce(n_entries, 0) > 0 AS blocked
 FROM named LEFT JOIN (SELECT page_id, count(DISTINCT (list, pattern)) AS n_entries, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM met GROUP BY page_id) USING (page_id)
 """
+
+
+# The checks below follow the contracts word by word, with joins that fit the check's small tables.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WHITE = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES["op2_benchmark_decontamination"] = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+tests AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS size FROM (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark) WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM tests, unnest(range(1, len(w) - size + 2)) AS t(i)),
+seen AS (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM docs, (SELECT DISTINCT size FROM wanted) AS sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, size, item FROM seen JOIN wanted USING (size, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""
+
+ORACLES["op3_substring_dedup"] = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WHITE}) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS win FROM docs, unnest(range(1, len(w) - 33)) AS t(i)),
+twice AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN twice USING (win)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS words FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op4_ngram_jaccard_join"] = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WHITE}) AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
