@@ -9,12 +9,17 @@ last, each by hash. Two sets that link share a token of their prefixes, and two
   frequent tokens) would have too many pairs and are met by single frequent tokens.
 
 Frequent are the tokens of at least one in ``HEAVY`` of all occurrences, so at most ``HEAVY`` are broadcast. Which
-order is taken never changes the result. A first pass counts prefix tokens (by 40 bits); only those met twice go
-on, by a Bloom filter of fixed size.
+order is taken never changes the result. A first pass counts prefix tokens (by 40 bits, sorted and packed by their
+top bits, so that they take few bytes); only those met twice go on, by a Bloom filter of fixed size.
 
 No group is expanded into all its pairs: each member is paired with the least of its group and verified exactly.
+Before whole sets are fetched, a pair must pass a bound from parity bitmaps: each differing bit needs a token that
+only one of the two sets has.
 Those links make components. Only members of one group that are in different components by then are paired with
-each other and verified as well, so no link between components is lost.
+each other and verified as well, so no link between components is lost. Pairs of one rare token are formed where
+its places in both prefixes leave room for enough shared tokens, as the places of the first shared token do; they
+travel as 64-bit references, packed by their first half and each once per task. A reference that two sets should
+share only adds pairs to verify.
 
 Cases: a null or empty text has an empty set, links with nothing and is its own component; fewer words than a
 shingle make one shingle of all of them; equal rows are in one component; a null id counts as no id (its
@@ -40,6 +45,8 @@ WIDTH, PERCENT = 5, 75
 HEAVY = 200_000
 MOST_FREQUENT = 24
 BITS = 1 << 27
+BITS_PER_TOKEN = 4  #: of a parity bitmap, about
+PACKED = 2_000_000  #: prefix tokens of a bucket of the counting pass, about
 NODE = "node binary, n int"
 
 
@@ -61,6 +68,21 @@ def node_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap in which every token turns one bit over; its length is a power of two that grows with the set."""
+    bits = 1 << max(8, (BITS_PER_TOKEN * len(tokens) - 1).bit_length())
+    turned = np.bincount(((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(turned.astype(bool)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the other's length."""
+    x, y = sorted((a, b), key=len)
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x))).tobytes()
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Tokens that a set of ``n`` shares with any set that it links with."""
     return -(-percent * n // 100)
@@ -108,55 +130,78 @@ class Join:
         width = self.width
 
         def rows(batch):
-            nodes, sizes, all_sets = [], [], []
+            nodes, sizes, all_sets, bitmaps = [], [], [], []
             for _, texts in chunks(column(batch, "text")):
                 for tokens in shingle_sets(texts, width):
                     nodes.append(node_of(tokens))
                     sizes.append(len(tokens))
+                    bitmaps.append(parity(tokens))
                     all_sets.append(tokens)
             none = pa.nulls(len(nodes), pa.int64())
-            names = ["key", "hash", "node", "n", "token", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), none, none], names)
+            names = ["key", "hash", "node", "n", "bitmap", "token", "times"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), none, none], names)
             tokens, times = np.unique(np.concatenate(all_sets), return_counts=True) if all_sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = times >= max(2, times.sum() // HEAVY)
             k = int(often.sum())
-            empty = [pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32())]
+            empty = [pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names)
 
         hashed = self.docs.select("key", "text", F.xxhash64("text").alias("hash"))
-        return write_shared(map_arrow(hashed, rows, f"key {self.kind}, hash long, {NODE}, token long, times long"), "sets")
+        return write_shared(map_arrow(hashed, rows, f"key {self.kind}, hash long, {NODE}, bitmap binary, token long, times long"), "sets")
 
-    def heavy_tokens(self, sets: DataFrame) -> np.ndarray:
-        total = sets.agg(F.sum("n")).first()[0] or 0
+    def heavy_tokens(self, sets: DataFrame, total: int) -> np.ndarray:
         often = sets.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(20, total // HEAVY))
         return np.sort(often.select("token").toArrow().column(0).to_numpy().view(np.uint64))  # at most HEAVY rows
 
-    def groups(self, heavy) -> DataFrame:
-        """Index rows: kind (0 rare token, 1 pair, 2 frequent token), token, node, n, big."""
+    def groups(self, heavy, total: int) -> DataFrame:
+        """Index rows: kind (0 rare token, 1 pair, 2 frequent token), token, node, n, pos (in the prefix), big."""
         percent = self.percent
         low = np.uint64((1 << 40) - 1)
 
-        def count(nodes, sets):
-            found = [prefix(t, heavy.value, percent)[0] & low for t in sets]
-            tokens, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(times.astype(np.int32))], ["token", "n"])
-
-        counted = self.each(count, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
-
-        def scramble(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["token"])
-
-        twice = send(self.docs.sparkSession, bloom.build(map_arrow(counted.select("token"), scramble, "token long"), BITS))
+        parts = 256
+        while parts * PACKED * 2 < total:
+            parts *= 2
+        width = np.uint64(40 - (parts.bit_length() - 1))
+
+        def pack(nodes, sets):
+            found = np.sort(np.concatenate([prefix(t, heavy.value, percent)[0] & low for t in sets])) if sets else np.zeros(0, np.uint64)
+            place = (found >> width).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+            # Byte by byte, so that the leading bytes of sorted tokens compress away.
+            planes = [part.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for part in np.split(found, first[1:])] if len(first) else []
+            yield pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int32)), pa.array(planes, pa.binary())], ["part", "planes"])
+
+        def count(batches):
+            held: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for place, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if place not in held:
+                        yield from twice_in(held)
+                        held = {place: []}
+                    wide = np.zeros((len(planes) // 5, 8), np.uint8)
+                    wide[:, 3:] = np.frombuffer(planes, np.uint8).reshape(5, -1).T
+                    held[place].append(wide.view(">u8").ravel().astype(np.uint64))
+            yield from twice_in(held)
+
+        def twice_in(held):
+            for parts_ in held.values():
+                tokens = np.sort(np.concatenate(parts_))
+                again = np.unique(tokens[1:][tokens[1:] == tokens[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(again).view(np.int64))], ["token"])
+
+        packed = self.each(pack, "part int, planes binary").repartition("part").sortWithinPartitions("part")
+        twice = send(self.docs.sparkSession, bloom.build(map_partition(packed, count, "token long"), BITS))
 
         def index(nodes, sets):
-            kinds, tokens, places, big = [], [], [], []
+            kinds, tokens, places, big, at = [], [], [], [], []
             for i, t in enumerate(sets):
                 rare, frequent, longer = prefix(t, heavy.value, percent)
-                if len(rare):
-                    rare = rare[bloom.contains(twice.value, mix(rare & low))]
+                again = np.flatnonzero(bloom.contains(twice.value, mix(rare & low))) if len(rare) else np.zeros(0, np.int64)
+                rare = rare[again]
                 many = len(longer) > MOST_FREQUENT
                 pairs = pair_keys(longer) if len(longer) > 1 and not many else np.zeros(0, np.uint64)
                 for kind, some in enumerate((rare, pairs, frequent)):
+                    at.append(again if kind == 0 else np.zeros(len(some), np.int64))
                     tokens.append(some)
                     kinds.append(np.full(len(some), kind, np.int8))
                     places.append(np.full(len(some), i))
@@ -166,11 +211,11 @@ class Join:
             place = pa.array(np.concatenate(places))
             n = pa.array([len(t) for t in sets], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary()).take(place), n.take(place), pa.array(np.concatenate(big))],
-                ["kind", "token", "node", "n", "big"],
+                [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary()).take(place), n.take(place), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(big))],
+                ["kind", "token", "node", "n", "pos", "big"],
             )
 
-        return write_shared(self.each(index, f"kind byte, token long, {NODE}, big boolean"), "index", compression="zstd")
+        return write_shared(self.each(index, f"kind byte, token long, {NODE}, pos int, big boolean"), "index", compression="zstd")
 
     def paired(self, index: DataFrame) -> DataFrame:
         """Index rows of groups of two nodes or more, each with the least node of its group (a big one, for frequent tokens)."""
@@ -197,21 +242,35 @@ class Join:
             several = np.array([nodes[a].as_py() != nodes[a + s - 1].as_py() if s > 1 else False for a, s in zip(start.tolist(), size.tolist())], bool)
             keep = np.flatnonzero(np.repeat(several, size))
             head = np.repeat(start, size)[keep]
-            out = table.take(pa.array(keep)).append_column("pivot", nodes.take(pa.array(head))).append_column("pivot_n", table.column("n").take(pa.array(head)))
+            first = pa.array(head)
+            out = table.take(pa.array(keep)).append_column("pivot", nodes.take(first))
+            out = out.append_column("pivot_n", table.column("n").take(first)).append_column("pivot_pos", table.column("pos").take(first))
             yield from out.combine_chunks().to_batches()
 
-        fields = f"kind byte, token long, {NODE}, big boolean, pivot binary, pivot_n int"
+        fields = f"kind byte, token long, {NODE}, pos int, big boolean, pivot binary, pivot_n int, pivot_pos int"
         first = map_partition(rare, shared, fields)
         often = index.filter("kind > 0")
         candidate = F.when((F.col("kind") == 1) | F.col("big"), F.struct("node", "n"))
         pivots = often.groupBy("kind", "token").agg(F.min(candidate).alias("_pivot"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_pivot is not null and _a <> _b")
-        second = often.join(pivots, ["kind", "token"]).select("kind", "token", "node", "n", "big", F.col("_pivot.node").alias("pivot"), F.col("_pivot.n").alias("pivot_n"))
+        second = often.join(pivots, ["kind", "token"]).select("kind", "token", "node", "n", "pos", "big", F.col("_pivot.node").alias("pivot"), F.col("_pivot.n").alias("pivot_n"), F.lit(0).alias("pivot_pos"))
         return write_shared(first.unionByName(second), "groups", compression="zstd")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (u, v), those that link, by their whole sets."""
-        pairs = write_shared(pairs, "pairs")
+    def verified(self, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+        """Of distinct pairs (u, v) of references, the pairs of nodes that link, by their whole sets; most others end at the bound from their bitmaps."""
         percent = self.percent
+        known = bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).withColumn("ref", F.xxhash64("node"))
+        left, right = known.toDF("left", "n", "a", "u"), known.toDF("right", "m", "b", "v")
+        near = pairs.join(left, "u").join(right, "v").filter("left <> right")
+        near = near.select(F.least("left", "right").alias("u"), F.greatest("left", "right").alias("v"), "n", "m", "a", "b")
+
+        def possible(batch):
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.array([differing(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            both = (n + m - apart) // 2
+            kept = batch.filter(pa.array(100 * both >= percent * (n + m - both), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
+
+        pairs = write_shared(map_arrow(near, possible, "u binary, v binary"), "pairs")
 
         def whole(some):
             def rows(nodes, sets):
@@ -226,7 +285,7 @@ class Join:
 
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         some = send(self.docs.sparkSession, bloom.build(map_arrow(wanted, reference, "ref long"), BITS))
-        sets = write_shared(self.each(whole(some), "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "whole-sets")
+        sets = self.each(whole(some), "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
         def compare(batch):
             keep = []
@@ -242,23 +301,101 @@ class Join:
         both = left.join(sets.toDF("v", "right"), "v").select("u", "v", "left", "right")
         return write_shared(map_arrow(both, compare, "u binary, v binary"), "links")
 
-    def may_link(self, a: str, b: str):
-        return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
+    def may_link(self, n: str, m: str, pos: str = "0", other: str = "0"):
+        """Can sets of these sizes link, if the first token they share stands at these places?"""
+        room = F.least(F.expr(f"{n} - {pos}"), F.expr(f"{m} - {other}"))
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (F.col(n) + F.col(m)))
+
+    def open_pairs(self, labelled: DataFrame) -> DataFrame:
+        """Pairs of references (u, v) of rare tokens' groups whose members are in different components, each once."""
+        percent = self.percent
 
-    def labels(self, heavy: np.ndarray) -> DataFrame:
+        def cross(batches):
+            left, found = None, []
+            for batch in batches:
+                table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+                token = table.column("token").to_numpy()
+                cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+                found.append(pairs_in(table.slice(0, cut)))
+                left = table.slice(cut)
+                if sum(map(len, found)) > 4_000_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    if len(found[0]) > 2_000_000:
+                        yield packed(found[0])
+                        found = []
+            if left is not None:
+                found.append(pairs_in(left))
+            if found:
+                yield packed(np.unique(np.concatenate(found), axis=0))
+
+        def pairs_in(table):
+            token = table.column("token").to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(token)))
+            ref, n, pos = (table.column(c).to_numpy() for c in ("ref", "n", "pos"))
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(token) else ref
+            out = [np.zeros((0, 2), np.int64)]
+            for a, s in zip(start.tolist(), size.tolist()):
+                # Row by row, so that a large group takes memory for one row of it.
+                for i in range(a, a + s - 1):
+                    others = slice(i + 1, a + s)
+                    m, total = n[others], n[others].astype(np.int64) + n[i]
+                    good = (label[others] != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
+                    good &= (100 + percent) * np.minimum(m - pos[others], n[i] - pos[i]) >= percent * total
+                    if good.any():
+                        v = ref[others][good]
+                        out.append(np.stack([np.minimum(v, ref[i]), np.maximum(v, ref[i])], 1))
+            return np.concatenate(out)
+
+        def packed(pairs):
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else np.zeros(0, np.int64)
+            ends = (np.append(first, len(pairs)) * 8).astype(np.int64)
+            many = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(pairs[:, 1]))])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), many.cast(pa.binary())], ["u", "many"])
+
+        def merge(batches):
+            at, held = None, []
+            for batch in batches:
+                for u, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if u != at and held:
+                        yield unpacked(at, held)
+                        held = []
+                    at = u
+                    held.append(many)
+            if held:
+                yield unpacked(at, held)
+
+        def unpacked(u, held):
+            v = np.unique(np.frombuffer(b"".join(held), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), u)), pa.array(v)], ["u", "v"])
+
+        rows = labelled.filter("kind = 0").select("token", "n", "pos", "label", F.xxhash64("node").alias("ref"))
+        lists = map_partition(rows.repartition("token").sortWithinPartitions("token"), cross, "u long, many binary")
+        return map_partition(lists.repartition("u").sortWithinPartitions("u"), merge, "u long, v long")
+
+    def labels(self, sets: DataFrame) -> DataFrame:
         """``node``, ``label`` of every node with a link to another one."""
-        groups = self.paired(self.groups(send(self.docs.sparkSession, heavy)))
-        star = groups.filter("node <> pivot").filter(self.may_link("n", "pivot_n")).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        heavy = self.heavy_tokens(sets, total)
+        bitmaps = sets.filter("node is not null").select("node", "n", "bitmap")
+        groups = self.paired(self.groups(send(self.docs.sparkSession, heavy), total))
+
+        def ordered(a: str, b: str) -> list:
+            return [F.least(F.xxhash64(a), F.xxhash64(b)).alias("u"), F.greatest(F.xxhash64(a), F.xxhash64(b)).alias("v")]
+
+        star = groups.filter("node <> pivot").filter(self.may_link("n", "pivot_n", "pos", "pivot_pos")).select(*ordered("node", "pivot")).distinct()
         star = write_shared(star, "star")
-        links = self.verified(star)
+        links = self.verified(star, bitmaps)
         labels = write_shared(connected_components(links), "labels")
-        labelled = groups.select("kind", "token", "node", "n", "big").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_groups = labelled.groupBy("kind", "token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("kind", "token")
-        rest = write_shared(labelled.join(open_groups, ["kind", "token"]), "open-groups")
+        labelled = groups.select("kind", "token", "node", "n", "pos", "big").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        often = labelled.filter("kind > 0")
+        open_groups = often.groupBy("kind", "token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("kind", "token")
+        rest = write_shared(often.join(open_groups, ["kind", "token"]), "open-groups")
         a, b = rest.alias("a"), rest.alias("b")
         apart = a.join(b, ["kind", "token"]).filter("a.node < b.node and a.label <> b.label and (kind < 2 or a.big or b.big)").filter(self.may_link("a.n", "b.n"))
-        more = apart.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-        found = self.verified(more)
+        more = self.open_pairs(labelled).union(apart.select(*ordered("a.node", "b.node")).distinct())
+        more = write_shared(more.distinct().join(star, ["u", "v"], "left_anti"), "open-pairs")
+        found = self.verified(more, bitmaps)
         return write_shared(connected_components(links.union(found)), "labels")
 
 
@@ -266,7 +403,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     """Per document: key, ``_hash`` (of its text), n_shingles, ``_label`` (of its class; null for empty sets), component_id."""
     join = Join(docs, key, text, width, percent)
     sets = join.sets()
-    labels = join.labels(join.heavy_tokens(sets))
+    labels = join.labels(sets)
     rows = sets.filter("token is null").select("key", "hash", "node", F.col("n").cast("long").alias("n_shingles"))
     worded = rows.filter("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = worded.groupBy("label").agg(F.min("key").alias("component_id"))
