@@ -52,7 +52,7 @@ NODE = "node binary, n int"
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = split(texts, WHITE, lower=True)
+    words = split(texts, WHITE, lower=True, named=False)
     hashes = words.hashes() if len(words.ids) else np.zeros(0, np.uint64)
     whole = runs(hashes, width)
     out = []

@@ -107,7 +107,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int, size: int,
 
     def count(batch):
         for _, texts in chunks(column(batch, "_text")):
-            minimisers, n = np.unique(minimiser_places(split(texts, WHITE), width, size), return_counts=True)
+            minimisers, n = np.unique(minimiser_places(split(texts, WHITE, named=False), width, size), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(minimisers.view(np.int64)), pa.array(n)], ["mini", "n"])
 
     counted = write_shared(map_arrow(picked.select("_text"), count, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter("n > 1"), "minimisers")

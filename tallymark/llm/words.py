@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from tallymark.llm.shipping import ship
@@ -32,6 +31,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Masks of the first bytes of a block.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 @dataclass
 class Words:
     """The words of some documents, one after the other."""
@@ -45,9 +48,17 @@ class Words:
     text: np.ndarray  #: of each document, its first byte in ``data``; one more entry for the end
 
     def hashes(self) -> np.ndarray:
-        """A strong 64-bit hash of every word; each distinct word is hashed once."""
-        known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names.to_pylist()), np.uint64, len(self.names))
-        return known[self.ids]
+        """A 64-bit hash of every word: its length and its blocks of eight bytes, scrambled one into the other."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        blocks = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from every byte on
+        out = mix(self.length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        active, done = np.arange(len(self.length)), 0
+        while len(active):
+            left = self.length[active] - done
+            block = blocks[self.begin[active] + done] & FIRST_BYTES[np.minimum(left, 8)]
+            out[active] = mix(out[active] ^ mix(block + np.uint64(0xD1B54A32D192ED03)))
+            active, done = active[left > 8], done + 8
+        return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -75,8 +86,11 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         at = end
 
 
-def split(texts: pa.Array, separators: np.ndarray, lower: bool = False) -> Words:
-    """The words between separators; a word never reaches from one document into the next."""
+def split(texts: pa.Array, separators: np.ndarray, lower: bool = False, named: bool = True) -> Words:
+    """The words between separators; a word never reaches from one document into the next.
+
+    Without ``named`` the distinct words are not sought: ``names`` is empty and ``ids`` only has the length.
+    """
     data, offsets = raw(texts)
     if lower:
         data = LOWER[data]
@@ -86,6 +100,11 @@ def split(texts: pa.Array, separators: np.ndarray, lower: bool = False) -> Words
     heads = offsets[:-1][np.diff(offsets) > 0]
     starts[heads] = inside[heads]
     begin = np.flatnonzero(starts)
+    if not named:
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | starts[1:]
+        length = np.flatnonzero(last) + 1 - begin
+        return Words(begin, np.searchsorted(begin, offsets), pa.array([], pa.large_binary()), begin, length, data, offsets)
     place = np.cumsum(inside, dtype=np.int64)
     bounds = np.append(place[begin] - 1, place[-1] if len(place) else 0)
     names = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[inside])])
