@@ -30,7 +30,9 @@ from tallymark.llm import pretokens
 from tallymark.llm.words import chunks, column, map_arrow
 
 LONG_WORD = 256
-REMEMBERED = 600_000
+REMEMBERED = 150_000
+#: Rows of one recursive query, about, and tokens of one decoding query: what keeps them within the database's memory.
+ROUND_ROWS, DECODED = 1_500_000, 400_000
 
 CONTRACT = """
 WITH RECURSIVE tokens(round, word, pos, id) AS (
@@ -75,7 +77,7 @@ class Codec:
         l, r, m = (pa.array(x, pa.int32()) for x in zip(*found))
         self.merged = {(a, b): c for a, b, c in found}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB"})
         merges = pa.table({"l": l, "r": r, "id": m})  # noqa: F841  read by its name
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM merges")
@@ -117,8 +119,12 @@ class Codec:
                 self.known[word] = self.heap(word)
             else:
                 rest.append(word)
-        for at in range(0, len(rest), 50_000):
-            some = rest[at : at + 50_000]
+        # A word of n bytes leaves at most n * (n + 1) / 2 rows over all rounds.
+        rows = np.cumsum([len(w) ** 2 for w in rest])
+        at = 0
+        while at < len(rest):
+            end = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + ROUND_ROWS, "right")))
+            some, at = rest[at:end], end
             size = np.array([len(w) for w in some])
             begin = np.cumsum(size) - size
             word = np.repeat(np.arange(len(some), dtype=np.int32), size)
@@ -148,11 +154,14 @@ class Codec:
         """The bytes of each run of ids."""
         count = np.diff(ends)
         out = [b""] * len(count)
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(count), dtype=np.int32), count), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
-        done = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("ids")
-        for doc, text in zip(done.column("doc").to_pylist(), done.column("hex").to_pylist()):
-            out[doc] = bytes.fromhex(text)
+        doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            self.db.register("ids", pa.table({"doc": doc[at : at + DECODED], "pos": np.arange(len(part), dtype=np.int32), "id": part}))
+            done = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("ids")
+            for d, text in zip(done.column("doc").to_pylist(), done.column("hex").to_pylist()):
+                out[d] += bytes.fromhex(text)
         return out
 
 
