@@ -1,10 +1,10 @@
 """Licence scan by a positional index of rare template words.
 
 The templates' words are posted with their positions, and weighted by their inverse document frequency over the
-whole corpus. For each document its highest-weighted licence words are looked up; every posting votes for a
-template and a relative position (place in the text less place in the template), and the best alignments are
-scored by the weight of all template words that stand where they should. A label needs ``MIN_SCORE`` and the
-template's mandatory key phrases. Places of three fixed phrases are always reported as base labels.
+whole corpus. All licence words of a document are looked up; every posting votes with its word's weight for a
+template and a relative position (place in the text less place in the template), so an alignment's votes are the
+weight of all template words that stand where they should, and their share is its score. A label needs
+``MIN_SCORE`` and the template's mandatory key phrases. Places of three fixed phrases are always reported as base labels.
 
 Cases: a null or empty text has no words, no labels and score 0; rows with the same id are scanned each by
 itself; equal scores of two alignments take the earlier one; an empty table gives an empty result; only key and
@@ -34,7 +34,6 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ["mozilla public license"]),
     ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", ["for any purpose with or without fee"]),
 ]
-LOOKED_UP = 16  #: licence words of a document that are looked up, by falling weight
 MIN_SCORE = 0.6
 
 
@@ -44,7 +43,6 @@ def normal(text: str) -> list[bytes]:
 
 PATTERNS = [(label, normal(text), [normal(p) for p in phrases]) for label, text, phrases in TEMPLATES]
 TERMS = sorted({w for _, words, _ in PATTERNS for w in words})
-POSTINGS = {t: [(k, q) for k, (_, words, _) in enumerate(PATTERNS) for q, w in enumerate(words) if w == t] for t in TERMS}
 
 
 def term_ids(words: Words) -> np.ndarray:
@@ -80,26 +78,25 @@ def has_phrase(words: list[bytes], phrase: list[bytes]) -> bool:
 def scan(terms: np.ndarray, weights: np.ndarray, words) -> tuple[set[str], float]:
     """Labels and best score of one document, from the term of each word (-1: none); ``words(a, b)`` gives the words of a span."""
     at = np.flatnonzero(terms >= 0)
-    order = sorted(set(terms[at].tolist()), key=lambda t: (-weights[t], t))[:LOOKED_UP]
-    votes: dict[tuple[int, int], float] = {}
-    for t in order:
-        for p in at[terms[at] == t].tolist():
-            for k, q in POSTINGS[TERMS[t]]:
-                votes[k, p - q] = votes.get((k, p - q), 0.0) + weights[t]
-    labels, best = set(), 0.0
+    places = {t: at[terms[at] == t] for t in set(terms[at].tolist())}
     known = {t: i for i, t in enumerate(TERMS)}
-    for (k, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0][1], x[0][0])):
-        label, template, phrases = PATTERNS[k]
+    labels, best = set(), 0.0
+    for label, template, phrases in PATTERNS:
         total = sum(weights[known[w]] for w in template)
-        if votes[k, shift] < 0.5 * MIN_SCORE * total:
-            continue
-        inside = [q for q, w in enumerate(template) if 0 <= shift + q < len(terms) and terms[shift + q] == known[w]]
-        score = min(1.0, sum(weights[known[template[q]]] for q in inside) / total)
-        if score >= MIN_SCORE and (score > best or label not in labels):
-            span = words(max(0, shift - 5), shift + len(template) + 5)
-            if all(has_phrase(span, p) for p in phrases):
+        # By relative position, which starts at 1 - len(template).
+        votes = np.zeros(len(terms) + len(template))
+        for q, w in enumerate(template):
+            if known[w] in places:
+                votes[places[known[w]] - q + len(template) - 1] += weights[known[w]]
+        scores = np.minimum(1.0, votes / total)
+        found = np.flatnonzero(scores >= MIN_SCORE)
+        for i in found[np.argsort(-scores[found], kind="stable")].tolist():
+            if label in labels and scores[i] <= best:
+                break
+            shift = i - len(template) + 1
+            if all(has_phrase(words(max(0, shift - 5), shift + len(template) + 5), p) for p in phrases):
                 labels.add(label)
-                best = max(best, score)
+                best = max(best, float(scores[i]))
     return labels, best
 
 

@@ -350,6 +350,19 @@ def test_license_templates(spark):
     assert [r["labels"] for r in found[-2:]] == ["", ""]
 
 
+def test_licenses_of_several_notices(spark):
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    every = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    others = " ".join(w.decode() for w in licenses.TERMS)
+    cases = {1: (" ".join(notices), every), 2: ("\nsome words between notices\n".join(notices[::-1]), every)}
+    for i, (label, text, _) in enumerate(licenses.TEMPLATES):
+        cases[10 + i] = (f"{others} plain words " * 20 + text + f" plain words {others}" * 20, label)
+    docs = [(d, text) for d, (text, _) in cases.items()] + [(100 + i, "of the terms and this is a plain text") for i in range(200)]
+    found = {r["doc_id"]: r for r in licenses.license_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [found[d]["labels"] for d in cases] == [labels for _, labels in cases.values()]
+    assert all(found[d]["score"] > 0.99 for d in cases)
+
+
 @pytest.fixture(scope="module")
 def bytes_encoding():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as lines:
