@@ -47,15 +47,17 @@ def none() -> Column:
 
 
 def matches(text: Column, pattern: str, guard: Column, kind: Callable[[Column], Column]) -> Column:
-    """Leftmost non-overlapping matches with their places. A match is the first occurrence of its string after the one before."""
-    values = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Leftmost non-overlapping matches with their places, which are told by the lengths of the pieces between them."""
+    values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # One piece more than there are matches.
+    each = F.filter(F.zip_with(values, pieces, lambda v, p: F.struct(v.alias("value"), p.alias("piece"))), lambda x: x["value"].isNotNull())
 
-    def placed(done: Column, value: Column) -> Column:
-        start = F.call_function("locate", value, text, done["next"])
-        span = F.struct(kind(value).alias("kind"), (start - 1).cast("int").alias("start"), (start - 1 + F.length(value)).cast("int").alias("end"), value.alias("value"))
-        return F.struct((start + F.length(value)).cast("int").alias("next"), F.concat(done["out"], F.array(span).cast(SPAN)).alias("out"))
+    def placed(done: Column, x: Column) -> Column:
+        value, start = x["value"], done["at"] + F.length(x["piece"])
+        span = F.struct(kind(value).alias("kind"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
+        return F.struct((start + F.length(value)).cast("int").alias("at"), F.concat(done["out"], F.array(span).cast(SPAN)).alias("out"))
 
-    return F.aggregate(values, F.struct(F.lit(1).alias("next"), none().alias("out")), placed)["out"]
+    return F.when(guard, F.aggregate(each, F.struct(F.lit(0).alias("at"), none().alias("out")), placed)["out"]).otherwise(none())
 
 
 def digits(value: Column) -> Column:

@@ -293,6 +293,26 @@ def test_pii_labelers_find_secrets(spark):
     assert all(r["spans"].count("secret:") == 4 for r in pii.span_report(docs).collect())
 
 
+def wide_spans(text):
+    return [(m.start(), m.end(), m.group()) for m in re.finditer(pii.WIDE.replace(r"\p{L}", r"[^\W\d_]"), text)]
+
+
+def test_pii_places_of_repeated_values(spark):
+    texts = [
+        "part A123-45-6789 ssn 123-45-6789",
+        "x1234567890123 acct 1234567890123",
+        "case 123-45-67890, ssn 123-45-6789",
+        "😀 A123-45-6789, B123-45-6789 ssn 123-45-6789 and 123-45-6789x then 123-45-6789",
+        "xDr. Jones and Dr. Jones",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["_text"]: [(s["start"], s["end"], s["value"]) for s in r["_wide"]] for r in pii.with_candidates(docs).collect()}
+    assert found == {t: wide_spans(t) for t in texts}
+    many = spark.createDataFrame([(i, t) for i in range(20) for t in texts[:1]], "doc_id long, text string")
+    assert {r["spans"] for r in pii.span_report(many).collect()} == {"id:22:33"}
+    assert {r["text"] for r in pii.redact(many).collect()} == {"part A123-45-6789 ssn <id>"}
+
+
 @pytest.fixture(scope="module")
 def word_ids():
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
