@@ -106,7 +106,8 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_text"))
     whole = F.col("_text")
     found = rows.select("_row", "_text", *(v.alias(f"_{k}") for k, v in base_spans(whole).items()))
-    guard = whole.rlike("[0-9]{3}|(?:Mr|Mrs|Ms|Dr)[. ]")
+    # Every alternative of the pattern holds one of these.
+    guard = whole.rlike("[0-9]{3}|(?:Mr|Mrs|Ms|Dr)[. ]|[0-9](?:[ -]?[0-9]){12}|[0-9A-Fa-f]{32}")
     found = found.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE))).withColumn("_all", matches(whole, WIDE, guard, wide_kind))
     clear = F.filter("_all", lambda w: ~F.exists("_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
     return found.withColumn("_wide", clear).drop("_all")

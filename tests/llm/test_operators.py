@@ -313,6 +313,21 @@ def test_pii_places_of_repeated_values(spark):
     assert {r["text"] for r in pii.redact(many).collect()} == {"part A123-45-6789 ssn <id>"}
 
 
+def test_pii_candidates_without_three_digits_in_a_row(spark):
+    texts = [
+        "token = a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6",
+        "key " + "abcdefAB" * 5,
+        "12 34 56 78 90 12 34",
+        "number 1-2-3-4-5-6-7-8-9-0-1-2-3 here",
+        "call Dr Jones",
+        "12 34 and no more",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["_text"]: [(s["start"], s["end"], s["value"]) for s in r["_wide"]] for r in pii.with_candidates(docs).collect()}
+    assert found == {t: wide_spans(t) for t in texts}
+    assert [len(found[t]) for t in texts] == [1, 1, 1, 1, 1, 0]
+
+
 @pytest.fixture(scope="module")
 def word_ids():
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
