@@ -1,8 +1,8 @@
 """Benchmark decontamination: a hash set of the normalised n-grams of the test items, looked up by every training window.
 
 DataFrame functions only. The distinct test windows are broadcast where their counted number is at most
-``BROADCAST_WINDOWS``; beyond it the same join is shuffled. A window of a document that meets a test window by
-its 64-bit hash is verified word by word. Spans of verified windows are merged, and cut from the texts or used to
+``BROADCAST_WINDOWS``; beyond it only places and hashes of windows are shuffled, and what they meet is joined back to
+the texts. A window of a document that meets a test window by its 64-bit hash is verified word by word. Spans of verified windows are merged, and cut from the texts or used to
 drop the documents.
 
 Cases: a null or empty text has no words and is clean; an item without words has no windows; an item without an
@@ -49,6 +49,21 @@ def test_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return each.groupBy("_window").agg(F.collect_set("_item").alias("_items")).select(F.xxhash64("_window").alias("_hash"), "_window", "_items")
 
 
+def merged(spans: Column | str) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+
+    def joined(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        return (
+            F.when(F.size(done) == 0, F.array(span).cast(SPANS))
+            .when(span["start"] <= last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown).cast(SPANS)))
+            .otherwise(F.concat(done, F.array(span).cast(SPANS)))
+        )
+
+    return F.aggregate(spans, F.array().cast(SPANS), joined)
+
+
 def span_report(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH
 ) -> DataFrame:
@@ -57,14 +72,14 @@ def span_report(
     # At most ``width`` rows: how many test windows there are of each length.
     counted = {r[0]: r[1] for r in tests.groupBy(F.size("_window")).count().collect()}
     widths = sorted(counted)
+    if sum(counted.values()) > BROADCAST_WINDOWS:
+        return _shuffled_report(docs, tests, widths, key, text)
     worded = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text_hash"), words_of(F.col(text)).alias("_words"))
     # The first entry stands for the document itself; then come the windows of each length.
     hashed = worded.withColumn("_all", F.concat(F.array(F.lit(None).cast("bigint")), *(windows_of(F.col("_words"), w) for w in widths)))
     # Outer, so that no filter on the array's size is inferred, which would hash every window again in the scan.
     looked = hashed.select("_key", "_text_hash", "_words", F.posexplode_outer("_all").alias("_at", "_hash"))
-    if sum(counted.values()) <= BROADCAST_WINDOWS:
-        tests = F.broadcast(tests)
-    met = looked.join(tests, "_hash", "left")
+    met = looked.join(F.broadcast(tests), "_hash", "left")
     n, long = F.size("_words"), F.size("_window")
     skipped, before = F.lit(1), F.lit(1)
     for w in widths:
@@ -86,19 +101,26 @@ def span_report(
         F.sort_array(F.collect_set("_span")).alias("_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"),
     )
+    repeated = by_doc.select("_key", "_text_hash", "n_words", merged("_spans").alias("spans"), "items", F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))))
+    return repeated.select(F.col("_key").alias(key), "_text_hash", "n_words", "spans", "items")
 
-    def joined(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return (
-            F.when(F.size(done) == 0, F.array(span).cast(SPANS))
-            .when(span["start"] <= last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown).cast(SPANS)))
-            .otherwise(F.concat(done, F.array(span).cast(SPANS)))
-        )
 
-    spans = F.aggregate("_spans", F.array().cast(SPANS), joined)
-    repeated = by_doc.select("_key", "_text_hash", "n_words", spans.alias("spans"), "items", F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int"))))
-    return repeated.select(F.col("_key").alias(key), "_text_hash", "n_words", "spans", "items")
+def _shuffled_report(docs: DataFrame, tests: DataFrame, widths: list[int], key: str, text: str) -> DataFrame:
+    """``span_report`` by a shuffled join. A reference that two documents should share only adds candidates to verify."""
+    reference = F.xxhash64(key, text).alias("_ref")
+    words = words_of(F.col(text))
+    each = F.concat(*(F.transform(windows_of(F.col("_words"), w), lambda h, i: F.struct(i.alias("start"), h.alias("hash"))) for w in widths))
+    # Outer, as in ``span_report``.
+    looked = docs.select(reference, words.alias("_words")).select("_ref", F.explode_outer(each).alias("_at"))
+    looked = looked.select("_ref", F.col("_at.start").alias("start"), F.col("_at.hash").alias("_hash"))
+    met = looked.join(tests, "_hash").groupBy("_ref").agg(F.collect_set(F.struct("start", F.col("_window").alias("window"), F.col("_items").alias("items"))).alias("_met"))
+    whole = docs.select(reference, F.col(key).alias("_key"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_text"))
+    found = whole.join(met, "_ref", "left").withColumn("_words", words_of(F.col("_text")))
+    same = F.filter("_met", lambda m: F.slice("_words", m["start"] + 1, F.size(m["window"])) == m["window"])
+    found = found.select("_key", "_text_hash", F.size("_words").cast("long").alias("n_words"), F.coalesce(same, F.array()).alias("_hits"))
+    spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.size(m["window"])).alias("end")))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.array_distinct(F.transform("_hits", lambda m: m["items"])))))
+    return found.select(F.col("_key").alias(key), "_text_hash", "n_words", merged(spans).alias("spans"), items.alias("items"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:

@@ -160,6 +160,19 @@ def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     assert decontamination.contamination_report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_shuffles_no_words_per_window(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "one two"), (3, "word7")], "item_id long, text string")
+    texts = [PASSAGE + " one two " + PASSAGE, " ".join(f"x{i}" for i in range(3000)) + " one two", "one", "two", None, "", "a b", PASSAGE]
+    docs = frame(spark, texts)
+    expected = decontamination.span_report(docs, bench).collect()
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    report = decontamination.span_report(docs, bench)
+    check(report, expected)
+    shown = report._jdf.queryExecution().explainString(report._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanged = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", shown)
+    assert exchanged and not any("_words" in columns for columns in exchanged)
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_substring_dedup(docs, hot):
     rows = [(d, re.findall(WHITE, t or "")) for d, t in pairs(docs)]
