@@ -264,7 +264,7 @@ class Join:
         near = near.select(F.least("left", "right").alias("u"), F.greatest("left", "right").alias("v"), "n", "m", "a", "b")
 
         def possible(batch):
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
             apart = np.array([differing(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
             both = (n + m - apart) // 2
             kept = batch.filter(pa.array(100 * both >= percent * (n + m - both), pa.bool_()))
@@ -303,8 +303,10 @@ class Join:
 
     def may_link(self, n: str, m: str, pos: str = "0", other: str = "0"):
         """Can sets of these sizes link, if the first token they share stands at these places?"""
-        room = F.least(F.expr(f"{n} - {pos}"), F.expr(f"{m} - {other}"))
-        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (F.col(n) + F.col(m)))
+        # Products of sizes pass 32 bits.
+        n, m, pos, other = (F.expr(x).cast("long") for x in (n, m, pos, other))
+        room = F.least(n - pos, m - other)
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (n + m))
 
     def open_pairs(self, labelled: DataFrame) -> DataFrame:
         """Pairs of references (u, v) of rare tokens' groups whose members are in different components, each once."""
@@ -332,14 +334,14 @@ class Join:
             token = table.column("token").to_numpy()
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(token)))
-            ref, n, pos = (table.column(c).to_numpy() for c in ("ref", "n", "pos"))
+            ref, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("ref", "n", "pos"))
             label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(token) else ref
             out = [np.zeros((0, 2), np.int64)]
             for a, s in zip(start.tolist(), size.tolist()):
                 # Row by row, so that a large group takes memory for one row of it.
                 for i in range(a, a + s - 1):
                     others = slice(i + 1, a + s)
-                    m, total = n[others], n[others].astype(np.int64) + n[i]
+                    m, total = n[others], n[others] + n[i]
                     good = (label[others] != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
                     good &= (100 + percent) * np.minimum(m - pos[others], n[i] - pos[i]) >= percent * total
                     if good.any():

@@ -241,6 +241,16 @@ def test_jaccard_join_cases(docs):
     assert kept.count() == len(classes) + sum(n == 0 for _, n, _ in expected)
 
 
+@pytest.mark.parametrize("n", [1_000, 13_000_000, 30_000_000])
+def test_jaccard_bounds_of_large_sets(spark, n):
+    join = combination_join.Join(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 5, 75)
+    rows = [(0, 1, b"a", n, 0, b"a"), (0, 1, b"b", n - n // 10, 5, b"b"), (0, 1, b"c", n // 2, 0, b"c"), (0, 1, b"d", n, n // 2, b"d")]
+    labelled = spark.createDataFrame(rows, "kind int, token long, node binary, n int, pos int, label binary")
+    assert join.open_pairs(labelled).count() == 1
+    sizes = spark.createDataFrame([(n, n - n // 10, 0, 5), (n, n // 2, 0, 0), (n, n, 0, n // 2)], "n int, m int, pos int, other int")
+    assert [r[0] for r in sizes.select(join.may_link("n", "m", "pos", "other")).collect()] == [True, False, False]
+
+
 def test_url_lists(spark):
     entries = spark.sql("""SELECT * FROM VALUES ('bad', 'example.com', true, timestamp'2024-01-02 00:00:00'), ('bad', 'example.com', false, timestamp'2024-01-09 00:00:00'),
         ('bad', 'example.com', true, timestamp'2024-01-09 00:00:00'), ('bad', 'a.example.com', true, timestamp'2024-02-01 00:00:00'), ('ads', 'x.org/p/', true, timestamp'2024-01-01 00:00:00'),
