@@ -92,8 +92,8 @@ def stream_progress(t: Tables) -> DataFrame:
     watched = feeds.with_progress(event_stream(t), "watched", F.col("compliance_status") == "non_compliant")
     running = feeds.store_append(watched.select("scan_id"), folder)
     running.awaitTermination()
-    seen = [p.observedMetrics["watched"] for p in running.recentProgress if "watched" in p.observedMetrics]
-    rows = [(sum(s["rows"] for s in seen), sum(s["failed"] for s in seen))]
+    seen = feeds.observed(running, "watched")
+    rows = [(seen.get("rows", 0), seen.get("failed", 0))]
     return t.spark.createDataFrame(rows, "scans long, failed long")
 
 

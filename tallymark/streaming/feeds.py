@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from tallymark.functions.trust import XP_START
@@ -38,9 +42,59 @@ def daily(scans: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
+class Totals(StreamingQueryListener):
+    """Sums over all progress reports of every run, of which a query itself keeps only the last: late rows, and observed numbers by name."""
+
+    def __init__(self):
+        self.late, self.observed, self.ended = Counter(), {}, {}
+
+    def onQueryStarted(self, event):
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event):
+        run = str(event.progress.runId)
+        self.late[run] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        for name, row in event.progress.observedMetrics.items():
+            self.observed.setdefault((run, name), Counter()).update(row.asDict())
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended[str(event.runId)].set()
+
+
+TOTALS: WeakKeyDictionary[SparkSession, Totals] = WeakKeyDictionary()
+
+
+def listened(stream: DataFrame) -> DataFrame:
+    """The stream, of whose session's queries all reports are summed from now on."""
+    spark = stream.sparkSession
+    if spark not in TOTALS:
+        TOTALS[spark] = Totals()
+        spark.streams.addListener(TOTALS[spark])
+    return stream
+
+
+def totals_of(query: StreamingQuery) -> Totals:
+    """Sums that hold the query; reports come a little later than batches, so those of an ended query are awaited."""
+    run = str(query.runId)
+    for totals in TOTALS.values():
+        if run in totals.ended:
+            if not query.isActive and not totals.ended[run].wait(60):
+                raise TimeoutError(f"reports of run {run} are not complete")
+            return totals
+    raise LookupError(f"run {run} was started without listened()")
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped so far, from the query's progress reports."""
-    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+    """Rows that the watermark has dropped so far, from all progress reports of a query that this module started."""
+    return totals_of(query).late[str(query.runId)]
+
+
+def observed(query: StreamingQuery, name: str) -> dict[str, int]:
+    """Sums of what ``with_progress`` counted under ``name``, over all progress reports."""
+    return dict(totals_of(query).observed.get((str(query.runId), name), {}))
 
 
 def balances_of(spark: SparkSession, folder: str, batch: int) -> DataFrame:
@@ -86,7 +140,7 @@ def store_latest(stream: DataFrame, folder: str, key: str, trigger: dict | None
         rows.unpersist()
         delete_superseded(spark, folder, "rows", batch)
 
-    writer = stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
+    writer = listened(stream).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -97,12 +151,12 @@ def latest_rows(spark: SparkSession, folder: str, key: str, schema: StructType,
 
 def store_append(stream: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
     """Append-mode file sink with its own progress log."""
-    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/progress")
+    writer = listened(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/progress")
     return writer.option("path", f"{folder}/rows").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def with_progress(df: DataFrame, name: str, failed: Column) -> DataFrame:
-    """Counts rows and failures as they pass; read them from the query's progress under ``name``."""
+    """Counts rows and failures as they pass; read them by ``observed`` under ``name``."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("failed"))
 
 

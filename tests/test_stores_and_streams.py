@@ -1,6 +1,7 @@
 """Stores, rule packs, pages and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,27 @@ def test_progress_counts_rows_and_failures(spark, tables, tmp_path):
     total = tables.read("events").count()
     assert sum(m["rows"] for m in seen) == total
     assert 0 < sum(m["failed"] for m in seen) < total
+
+
+def test_totals_go_beyond_the_reports_that_a_query_keeps(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    # The second to fifth file are a month late.
+    for i in range(6):
+        day = "2024-03-01" if i == 0 else "2024-02-01" if i < 5 else "2024-03-02"
+        (source / f"{i}.json").write_text(f'{{"scan_id": {i}, "created_at": "{day} 00:00:00"}}\n')
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        stream = spark.readStream.schema("scan_id long, created_at timestamp").option("maxFilesPerTrigger", 1).json(str(source))
+        watched = feeds.with_progress(stream, "run", F.col("scan_id") > 2)
+        running = feeds.store_append(feeds.deduplicate(watched), str(tmp_path / "out"))
+        running.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert len(running.recentProgress) <= 2
+    # Ids are distinct, so rows that are not written were late (a row of the batch after the first one is not yet).
+    written = spark.read.parquet(str(tmp_path / "out" / "rows")).count()
+    assert written == 3 and feeds.late_rows(running) == 6 - written
+    assert feeds.observed(running, "run") == {"rows": 6, "failed": 3}
