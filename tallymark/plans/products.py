@@ -611,7 +611,7 @@ DECLARED_VIEWS = {
           'Country of Origin: ' || coalesce(CASE WHEN stated IS NOT NULL THEN coalesce(split_part(g1, '|', 1), trim(stated)) END, split_part(g2, '|', 1), split_part(g3, '|', 1), split_part(g4, '|', 1), split_part(g5, '|', 1), 'India')]) AS web
       FROM v_listings l JOIN e_judged USING (product_id)""",
     "e_declared6": """SELECT w.product_id, w.field_name, CASE WHEN b.extracted_value IS NULL THEN web
-          WHEN w.field_name = 'manufacturer_name_address' AND regexp_matches(lower(b.extracted_value), 'pvt|ltd') AND regexp_matches(lower(b.extracted_value), 'road|street|crossing|mumbai|estate|industrial|nagar|400057') THEN b.extracted_value
+          WHEN w.field_name = 'manufacturer_name_address' AND regexp_matches(lower(b.extracted_value), 'pvt|ltd') AND regexp_matches(lower(b.extracted_value), 'road|street|estate|industrial|nagar|\b[1-9][0-9]{5}\b') THEN b.extracted_value
           ELSE coalesce(web, b.extracted_value) END AS extracted_value, b.extracted_value AS packaging_value,
         CASE WHEN b.extracted_value IS NOT NULL THEN b.extraction_method WHEN web IS NULL THEN 'not_found' WHEN w.field_name = 'manufacture_date' THEN 'ecommerce_rule_6_10' ELSE 'webpage_extracted' END AS extraction_method,
         CASE WHEN b.extracted_value IS NULL THEN CASE WHEN web IS NULL THEN 0.0 ELSE 0.95 END WHEN web IS NOT NULL OR w.field_name = 'manufacturer_name_address' THEN greatest(0.95, coalesce(nullif(b.confidence, 0), 0.5)) ELSE b.confidence END AS confidence
@@ -632,7 +632,7 @@ def completed_declarations(t: Tables) -> DataFrame:
 
 @query(
     "maker_addresses",
-    """SELECT product_id, CASE WHEN regexp_matches(lower(d.extracted_value), 'pvt|ltd|crossing|mumbai') AND (l.manufacturer_address IS NULL OR length(d.extracted_value) > length(l.manufacturer_address))
+    """SELECT product_id, CASE WHEN regexp_matches(lower(d.extracted_value), 'pvt|ltd') AND (l.manufacturer_address IS NULL OR length(d.extracted_value) > length(l.manufacturer_address))
       THEN d.extracted_value ELSE l.manufacturer_address END AS manufacturer_address FROM v_listings l LEFT JOIN (SELECT * FROM e_declared6 WHERE field_name = 'manufacturer_name_address') d USING (product_id)""",
     DECLARED_VIEWS,
 )

@@ -1,7 +1,7 @@
 """Registered queries against their SQL on the smallest tables.
 
-A sample of every plan runs by default; TALLYMARK_ALL=1 runs all. tools/check_queries.py does the
-same at any scale.
+All queries of the engine run by default, TALLYMARK_SAMPLE=1 runs a sample of every plan. The optional
+training-data queries are tested beside their operators. tools/check_queries.py does the same at any scale.
 """
 
 import os
@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import DATA
+from tallymark.plans import load_all
 from tools.check_queries import compare, duck
 
 SAMPLE = [
@@ -27,7 +28,10 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    sqls = entry_module.oracle_sql()
+    assert set(sqls) <= set(entry_module.queries())
+    # What SQL cannot express is held against brute-force versions, for which see tests/llm.
+    assert set(load_all()) <= set(sqls)
 
 
 def test_entry_runs(spark):
@@ -36,7 +40,7 @@ def test_entry_runs(spark):
     assert "current_verdict" in frame.columns
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()) if os.environ.get("TALLYMARK_ALL") else SAMPLE)
+@pytest.mark.parametrize("name", SAMPLE if os.environ.get("TALLYMARK_SAMPLE") else list(load_all()))
 def test_query_matches_sql(spark, con, name):
     ok, message = compare(spark, con, DATA, name, entry_module.queries()[name], entry_module.oracle_sql()[name])
     assert ok, message
