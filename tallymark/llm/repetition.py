@@ -6,8 +6,8 @@ The union of the spans of all repeats of at least ``min_repeat`` words, and the
 
 Cases: a null or empty text has no words and fails the base rule; a text of one word over and over repeats in
 all but nothing; copies of a row are judged alike, each by itself; extra columns are passed on by ``filter_rows``
-whatever they are called; an empty table gives an empty result. A document is worked on in one task: memory
-follows the longest single document.
+whatever they are called; an empty table gives an empty result. A document is worked on in one task: memory is in proportion to the chunk or
+the longest single document (about 400 bytes a word), however much of it repeats.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from tallymark.llm.words import WHITE, Words, chunks, column, map_arrow, split
 
 WINDOW = 8  #: words of a window of the base rule
 SYMBOLS = b"#*$%&|<>"
+CHUNK = 2 << 20  #: bytes of texts at a time, about
 
 
 @dataclass(frozen=True)
@@ -90,32 +91,52 @@ def suffixes(words: Words) -> Repeats:
     return Repeats(order, np.append(length, 0))
 
 
-def maximal_repeats(words: Words, found: Repeats, least: int) -> list[tuple[int, int, list[int]]]:
-    """Maximal repeated substrings: (words, occurrences, places) of each LCP interval that also differs to its left."""
-    first = set(words.first.tolist())
-    before = [-1 - p if p in first else int(words.ids[p - 1]) for p in found.order.tolist()]
-    turns = np.concatenate([[0], np.cumsum(np.diff(before) != 0)]) if len(before) else np.zeros(0, np.int64)
-    out: list[tuple[int, int, list[int]]] = []
+@dataclass
+class Intervals:
+    """LCP intervals that also differ to their left: maximal repeated substrings."""
+
+    length: np.ndarray  #: words
+    first: np.ndarray  #: the interval's first place in the suffix order
+    last: np.ndarray
+    at: np.ndarray  #: of each suffix, the longest of these repeats that starts there, or 0
+
+
+def maximal_repeats(words: Words, found: Repeats, least: int) -> Intervals:
+    """Maximal repeats of at least ``least`` words, by one pass with a stack of open intervals; none of them lists its places.
+
+    Intervals are nested, so a suffix takes its longest repeat from the first of them that closes over it.
+    """
+    first = np.zeros(len(words.ids) + 1, bool)
+    first[words.first] = True
+    before = np.where(first[found.order], -1 - found.order, words.ids[found.order - 1] if len(found.order) else 0)
+    turns = np.concatenate([[0], np.cumsum(np.diff(before) != 0)]).tolist() if len(before) else []
+    at = np.zeros(len(found.order), np.int64)
+    out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int]] = []
+    waiting: list[int] = []  # suffixes of open intervals that no closed one holds, in order
     for i, lcp in enumerate(found.lcp.tolist()):
         start = i
+        if stack:
+            waiting.append(i)
         while stack and stack[-1][0] > lcp:
             value, start = stack.pop()
             if turns[i] > turns[start]:
-                out.append((value, i - start + 1, found.order[start : i + 1].tolist()))
-        if lcp >= least and (not stack or stack[-1][0] < lcp):
+                out.append((value, start, i))
+                while waiting and waiting[-1] >= start:
+                    at[waiting.pop()] = value
+        if lcp < least:
+            waiting.clear()
+        elif not stack or stack[-1][0] < lcp:
+            if start == i and not stack:
+                waiting = [i]
             stack.append((lcp, start))
-    return out
-
+    length, begin, end = np.array(out, np.int64).reshape(-1, 3).T
+    return Intervals(length, begin, end, at)
 
-def longest_at(found: Repeats) -> np.ndarray:
-    """Of each suffix, the longest repeat that starts there."""
-    return np.maximum(found.lcp, np.concatenate([[0], found.lcp[:-1]])) if len(found.lcp) else found.lcp
 
-
-def covered(words: Words, found: Repeats, least: int) -> np.ndarray:
-    """Words of each document in the union of the spans of its repeats of at least ``least`` words."""
-    n, longest = len(words.ids), longest_at(found)
+def covered(words: Words, found: Repeats, longest: np.ndarray, least: int) -> np.ndarray:
+    """Words of each document in the union of the spans of repeats of at least ``least`` words; ``longest`` starts at each suffix."""
+    n = len(words.ids)
     take = longest >= least
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, found.order[take], 1)
@@ -124,16 +145,36 @@ def covered(words: Words, found: Repeats, least: int) -> np.ndarray:
     return inside[words.first[1:]] - inside[words.first[:-1]]
 
 
-def report(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
-    words = split(texts, WHITE)
+@dataclass
+class Verdict:
+    count: np.ndarray
+    windows: np.ndarray
+    spans: np.ndarray
+    longest: np.ndarray
+    repeats: np.ndarray
+    failed: np.ndarray
+    kept: np.ndarray
+
+
+def judge(words: Words, limits: Limits) -> Verdict:
+    """The base rule and the method's, from one suffix array."""
     found = suffixes(words)
     count = np.diff(words.first)
+    every = maximal_repeats(words, found, min(WINDOW, limits.min_repeat))
+    windows = covered(words, found, every.at, WINDOW)
+    spans = covered(words, found, every.at, limits.min_repeat)
+    long = every.length >= limits.min_repeat
+    document = np.searchsorted(words.first, found.order[every.first[long]], "right") - 1
     longest = np.zeros(len(count), np.int64)
-    document = np.searchsorted(words.first, found.order, "right") - 1
-    np.maximum.at(longest, document, np.where(found.lcp >= limits.min_repeat, found.lcp, 0))
-    repeats = np.zeros(len(count), np.int64)
-    for _, _, places in maximal_repeats(words, found, limits.min_repeat):
-        repeats[np.searchsorted(words.first, places[0], "right") - 1] += 1
+    np.maximum.at(longest, document, every.length[long])
+    failed = (count < limits.min_words) | (100 * windows > limits.max_window_percent * count)
+    good = (spans <= limits.max_covered * count) & (longest <= limits.max_longest)
+    return Verdict(count, windows, spans, longest, np.bincount(document, minlength=len(count)), failed, ~failed & good)
+
+
+def report(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
+    words = split(texts, WHITE)
+    found = judge(words, limits)
     data, at = words.data, words.text
     # A code point is its first byte.
     points = np.concatenate([[0], np.cumsum(~WHITE[data] & ((data & 0xC0) != 0x80))])
@@ -142,21 +183,17 @@ def report(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
     for text in texts.to_pylist():
         kept = [line for line in text.split("\n") if line.strip(" \t\n\v\f\r")]
         lines.append(len(kept) - len(set(kept)))
-    windows = covered(words, found, WINDOW)
-    spans = covered(words, found, limits.min_repeat)
-    failed = (count < limits.min_words) | (100 * windows > limits.max_window_percent * count)
-    good = (spans <= limits.max_covered * count) & (longest <= limits.max_longest)
     return {
-        "n_words": count,
+        "n_words": found.count,
         "word_chars": points[at[1:]] - points[at[:-1]],
         "n_symbols": symbols[at[1:]] - symbols[at[:-1]],
         "n_dup_lines": np.array(lines, np.int64),
-        "n_repeat_words": windows,
-        "base_failed": failed,
-        "kept": ~failed & good,
-        "n_covered_words": spans,
-        "longest_repeat": longest,
-        "n_maximal_repeats": repeats,
+        "n_repeat_words": found.windows,
+        "base_failed": found.failed,
+        "kept": found.kept,
+        "n_covered_words": found.spans,
+        "longest_repeat": found.longest,
+        "n_maximal_repeats": found.repeats,
     }
 
 
@@ -171,7 +208,7 @@ def repetition_report(docs: DataFrame, limits: Limits = Limits(), key: str = "do
 
     def rows(batch):
         keys = batch.column(batch.schema.get_field_index(key))
-        for at, texts in chunks(column(batch, text)):
+        for at, texts in chunks(column(batch, text), CHUNK):
             found = report(texts, limits)
             yield pa.RecordBatch.from_arrays([keys.slice(at, len(texts)), *map(pa.array, found.values())], [key, *found])
 
@@ -183,7 +220,7 @@ def filter_rows(docs: DataFrame, limits: Limits = Limits(), text: str = "text")
     """The documents that pass, with all their columns."""
 
     def rows(batch):
-        for at, texts in chunks(column(batch, text)):
-            yield batch.slice(at, len(texts)).filter(pa.array(report(texts, limits)["kept"]))
+        for at, texts in chunks(column(batch, text), CHUNK):
+            yield batch.slice(at, len(texts)).filter(pa.array(judge(split(texts, WHITE), limits).kept))
 
     return map_arrow(docs, rows, docs.schema)

@@ -116,7 +116,30 @@ def test_longest_and_maximal_repeats():
             right = {words[i + len(sub)] if i + len(sub) < len(words) else -i for i in at}
             if (len(left) > 1 or None in left) and len(right) > 1:
                 expected.add((len(sub), tuple(at)))
-        assert {(n, tuple(sorted(p))) for n, _, p in repetition.maximal_repeats(got, found, 8)} == expected
+        every = repetition.maximal_repeats(got, found, 8)
+        assert {(n, tuple(sorted(found.order[a : b + 1].tolist()))) for n, a, b in zip(every.length.tolist(), every.first, every.last)} == expected
+        # The verdict, from all substrings of the least length or more that occur twice.
+        twice = [(sub, at) for sub, at in places.items() if len(at) > 1 and len(sub) >= 16]
+        spans = {j for sub, at in twice for i in at for j in range(i, i + len(sub))}
+        longest = max((len(sub) for sub, _ in twice), default=0)
+        own = repetition.judge(got, repetition.Limits())
+        assert (own.spans[0], own.longest[0]) == (len(spans), longest)
+        assert own.kept[0] == (not own.failed[0] and len(spans) <= 0.2 * len(words) and longest <= 200)
+
+
+@pytest.mark.parametrize("text", ["a " * 200_000, "the same line here and more\n" * 20_000], ids=["one word", "one line"])
+def test_repetition_of_one_long_text(text):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tracemalloc.start()
+    found = repetition.report(pa.array([text], pa.large_string()), repetition.Limits())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = found["n_words"][0]
+    assert found["n_covered_words"][0] == n and found["longest_repeat"][0] > n * 0.99 and not found["kept"][0]
+    assert peak < 500 << 20
 
 
 def alnum_words(text):
