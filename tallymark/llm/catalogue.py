@@ -84,6 +84,17 @@ def op6_weakly_supervised_pii(spark: SparkSession, folder: str) -> DataFrame:
     return span_report(table(spark, folder, "documents"))
 
 
+@op
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallymark.llm.prefix_trie import conversation_trie
+
+    base = F.col("conv") - F.col("conv") % 100
+    kept = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return conversation_trie(table(spark, folder, "conversations"), base, kept, 5)
+
+
 @op
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
@@ -193,3 +204,32 @@ FROM positives JOIN scored USING (anchor_id)
 WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10
 """
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+ORACLES["op11_conversation_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+whole AS (
+    SELECT c.conv_id, 0 AS part, p, said FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p <= h
+    UNION ALL SELECT conv_id, 1, p, said FROM convs JOIN turns USING (conv_id) WHERE p > h
+),
+lists AS (SELECT conv_id, coalesce(list(said ORDER BY part, p) FILTER (said IS NOT NULL), []) AS l FROM convs LEFT JOIN whole USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, d, l[1:d] AS prefix, d = len(l) AS ends FROM lists, unnest(range(0, len(l) + 1)) AS t(d)),
+nodes AS (
+    SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE length(prefix[d].text) END) AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY prefix, d
+),
+children AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+    SELECT prefix[1:a] AS prefix, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (coalesce(n, 0) = 0) AS n_leaves
+    FROM nodes LEFT JOIN children USING (prefix), unnest(range(0, d + 1)) AS t(a) GROUP BY 1
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n, 0) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM nodes v JOIN below USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN nodes u ON v.d > 0 AND u.prefix = v.prefix[1:v.d - 1]
+"""
