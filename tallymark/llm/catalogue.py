@@ -105,6 +105,13 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=label)
 
 
+@op
+def op13_chunk_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from tallymark.llm.chunk_bpe import round_trip
+
+    return round_trip(table(spark, folder, "documents"))
+
+
 #: Capture times and dated lists, made from the given tables in the words of both engines.
 CAPTURES = "SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * ((page_id * 7919) % 2592000) AS fetched_at FROM pages"
 LIST_LOG = """
