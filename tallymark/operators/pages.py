@@ -13,22 +13,13 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.amounts import positive_price
 from tallymark.functions.text import clean_text, inner_text, unescape, visible_text
+from tallymark.operators import markup
 
 # Markup shapes.
 LD_JSON = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-TABLE_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-ROW_CELL = r"(?is)<(?:th|td)[^>]*>(.*?)</(?:th|td)>"
-TERM = r"(?is)<dt[^>]*>(.*?)</dt>"
-DEFINITION = r"(?is)<dd[^>]*>(.*?)</dd>"
-# Anything but the edge of a block, and a block's inside with two levels of blocks in it.
-NO_EDGE = r"(?:(?!</?div)[\s\S])*+"
-NESTED = rf"{NO_EDGE}(?:<div[^>]*>{NO_EDGE}(?:<div[^>]*>{NO_EDGE}</div>{NO_EDGE})*+</div>{NO_EDGE})*+"
-SPEC_BLOCK = (
-    r"(?is)<div[^>]*(?:id=[\"']detailBullets_feature_div[\"']|class=[\"'][^\"']*(?:spec|attribute)[^\"']*[\"'])[^>]*>"
-    rf"({NESTED})</div>"
-)
-BULLET = r"(?is)<li[^>]*>(.*?)</li>"
+SPEC_TAG = r"(?is)^<div\s[^>]*(?:id=[\"']detailBullets_feature_div[\"']|class=[\"'][^\"']*(?:spec|attribute)[^\"']*[\"'])"
+STRUCTURED = r"(?i)<(?:table|dl|div)[\s>]"
 SHOP_SUFFIX = r"(?i)\s*[:|\-]\s*(?:Amazon|Flipkart|BigBasket|Blinkit|Zepto|JioMart).*$"
 DEFAULT_NAME = "Packaged Commodity Product"
 HEADINGS = ["country of origin", "country/region of origin", "origin", "country"]
@@ -204,28 +195,16 @@ def spec_entries(html: Column) -> Column:
     def entry(key: Column, value: Column) -> Column:
         return F.struct(F.lower(key).alias("key"), value.alias("value"))
 
-    rows = F.transform(
-        F.regexp_extract_all(html, F.lit(TABLE_ROW), F.lit(1)),
-        lambda r: F.transform(F.regexp_extract_all(r, F.lit(ROW_CELL), F.lit(1)), inner_text),
-    )
-    tables = F.transform(F.filter(rows, lambda c: F.size(c) >= 2), lambda c: entry(c[0], c[1]))
-    terms = F.transform(F.regexp_extract_all(html, F.lit(TERM), F.lit(1)), inner_text)
-    meanings = F.transform(F.regexp_extract_all(html, F.lit(DEFINITION), F.lit(1)), inner_text)
-    definitions = F.zip_with(terms, meanings, entry)
-    lines = F.flatten(
-        F.transform(
-            F.regexp_extract_all(html, F.lit(SPEC_BLOCK), F.lit(1)),
-            lambda b: F.transform(F.regexp_extract_all(b, F.lit(BULLET), F.lit(1)), inner_text),
-        )
-    )
-    bullets = F.transform(
-        F.filter(lines, lambda t: F.contains(t, F.lit(":"))),
-        lambda t: entry(clean_text(F.regexp_extract(t, r"^([^:]*):(.*)$", 1)), clean_text(F.regexp_extract(t, r"^([^:]*):(.*)$", 2))),
-    )
-    return F.filter(
-        F.concat(tables, definitions, bullets),
-        lambda e: (e.key != "") & (e.value != ""),
-    )
+    def line(text: Column) -> Column:
+        return entry(clean_text(F.regexp_extract(text, r"^([^:]*):(.*)$", 1)), clean_text(F.regexp_extract(text, r"^([^:]*):(.*)$", 2)))
+
+    def found(page: markup.Markup) -> Column:
+        pairs = F.transform(F.concat(markup.table_pairs(page), markup.term_pairs(page)), lambda p: entry(p["key"], p["value"]))
+        lines = F.filter(markup.marked_lines(page), lambda t: F.contains(t, F.lit(":")))
+        return F.filter(F.concat(pairs, F.transform(lines, line)), lambda e: (e.key != "") & (e.value != ""))
+
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return F.when(F.rlike(html, F.lit(STRUCTURED)), markup.indexed(html, SPEC_TAG, found)).otherwise(none)
 
 
 def spec_column(key: Column) -> Column:

@@ -86,6 +86,15 @@ def page_specifications(t: Tables) -> DataFrame:
     return P.specs_of(t.listing_html).select("page_id", "key", "value")
 
 
+@query(
+    "nested_specifications",
+    """SELECT * FROM (SELECT product_id AS page_id, unnest(['shelf life', 'brand', 'packer', 'level']) AS key,
+      unnest([CAST(product_id % 24 AS VARCHAR) || ' months', brand, 'Metro ' || product_name, 'Packer Metro ' || product_name]) AS value FROM v_listings) WHERE value IS NOT NULL""",
+)
+def nested_specifications(t: Tables) -> DataFrame:
+    return P.specs_of(t.nested_html).select("page_id", "key", "value")
+
+
 @query(
     "result_cards",
     """SELECT product_id AS page_id, 0 AS position, product_name || ' & co' AS title, 'https://www.amazon.in/n/dp/B0' || lpad(CAST(product_id AS VARCHAR), CAST(greatest(8, length(CAST(product_id AS VARCHAR))) AS INT), '0') AS product_url,

@@ -245,6 +245,12 @@ HTML = {
       '<img src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), 'aB._SX38_.jpg" alt="front"/><img data-src="https://m.media-amazon.com/images/I/', CAST(product_id % 7 AS STRING), 'zz._SL500_.jpg" src="s.gif" alt="Nutrition facts panel"/>',
       '<img src="https://m.media-amazon.com/images/I/', CAST(product_id AS STRING), 'aB.jpg"/><!-- MRP 9 --></body></html>')""",
 }
+# Specifications within nested blocks and nested tables, 1 to 20 deep.
+NESTED_HTML = {
+    "page_id": "product_id",
+    "html": """concat('<body><div class="tech-spec">', repeat('<div class="n">', CAST(product_id % 20 + 1 AS INT)), '<ul><li>Shelf Life: ', CAST(product_id % 24 AS STRING), ' months<li>none</ul>', repeat('</div><div>x</div>', CAST(product_id % 20 + 1 AS INT)), '<ul><li>Brand : ', brand, '</li></ul></div>',
+      repeat('<table><tr><th>Level</th><td>', CAST(product_id % 20 + 1 AS INT)), '<table><TR><td>Packer<td>Metro ', product_name, '</table>', repeat('</td></tr></table>', CAST(product_id % 20 + 1 AS INT)), '<ul><li>not: listed</li></ul></body>')""",
+}
 SEARCH_HTML = {
     "page_id": "product_id",
     "html": """concat('<div class="r"><div data-component-type="s-search-result" class="c"><h2 class="t"><span>', product_name, ' &amp; co</span></h2><a class="l" href="/n/dp/B0', lpad(CAST(product_id AS STRING), CAST(greatest(8, length(CAST(product_id AS STRING))) AS INT), '0'), '/ref=sr_1_', CAST(product_id % 9 AS STRING),
@@ -279,6 +285,7 @@ VIEW_SQL = {
         for engine, (i, x, y, w, h) in BLOCKS.items()
     ),
     "v_html": f"SELECT {_items(HTML)} FROM v_listings",
+    "v_nested": f"SELECT {_items(NESTED_HTML)} FROM v_listings",
     "v_search": f"SELECT {_items(SEARCH_HTML)} FROM v_listings",
     "v_codes": f"SELECT {_items(CODES)} FROM part",
     "v_camera": f"SELECT {_items(CAMERA)} FROM part",
@@ -391,6 +398,10 @@ class Tables:
     def listing_html(self) -> DataFrame:
         return project(self.listings, HTML)
 
+    @property
+    def nested_html(self) -> DataFrame:
+        return project(self.listings, NESTED_HTML)
+
     @property
     def search_html(self) -> DataFrame:
         return project(self.listings, SEARCH_HTML)
