@@ -9,7 +9,8 @@ trained on the resulting posteriors. It decides on the candidates that are not b
 
 Cases: a null or empty text has no spans; of spans that overlap, base ones win; equal rows are judged alike; with
 no candidates at all the classifier accepts nothing; other columns are passed on by ``redact`` whatever they are
-called. Offsets are code points, ends exclusive. A document is one row.
+called. Offsets are code points, ends exclusive. A document is one row; its time and memory are in proportion to its
+length and to the number of its matches.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.arrays import let, running
+
 # The strict patterns. `\\G` and the look-behind skip starts inside a run that cannot match better;
 # possessive repeats only spare backtracking where nothing follows.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,22 +45,69 @@ LABELERS = 6
 ROUNDS = 25
 
 
+PIECE = 1000  #: code points of a piece of ``cut_up``
+
+
 def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def greatest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def cut_up(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, as finding a place in a long string takes time in proportion to the place."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+
+
+def text_at(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` out of its pieces (a lambda's variable)."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.floor((end - 1) / PIECE).cast("int") - first + 1
+    return F.when(end > start, F.substr(F.array_join(F.slice(pieces, first + 1, count), ""), start % PIECE + 1, end - start)).otherwise("")
+
+
 def matches(text: Column, pattern: str, guard: Column, kind: Callable[[Column], Column]) -> Column:
     """Leftmost non-overlapping matches with their places, which are told by the lengths of the pieces between them."""
     values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     # One piece more than there are matches.
     each = F.filter(F.zip_with(values, pieces, lambda v, p: F.struct(v.alias("value"), p.alias("piece"))), lambda x: x["value"].isNotNull())
 
-    def placed(done: Column, x: Column) -> Column:
-        value, start = x["value"], done["at"] + F.length(x["piece"])
-        span = F.struct(kind(value).alias("kind"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"))
-        return F.struct((start + F.length(value)).cast("int").alias("at"), F.concat(done["out"], F.array(span).cast(SPAN)).alias("out"))
+    def placed(found: Column) -> Column:
+        sizes = F.transform(found, lambda x: F.length(x["piece"]) + F.length(x["value"]))
+        ends = let(sizes, lambda n: running(n, F.lit(0), lambda a, b: a + b))
+        return F.zip_with(
+            found,
+            ends,
+            lambda x, end: F.struct(kind(x["value"]).alias("kind"), (end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value")),
+        )
 
-    return F.when(guard, F.aggregate(each, F.struct(F.lit(0).alias("at"), none().alias("out")), placed)["out"]).otherwise(none())
+    return F.when(guard, let(each, placed).cast(SPAN)).otherwise(none())
+
+
+def clear_of(wide: Column, base: Column) -> Column:
+    """The spans of ``wide`` (apart from each other) that touch none of ``base``, by one pass over both in order each way."""
+    far = F.lit(2**31 - 1)
+
+    def event(order: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("wide"), s["end"].alias("end"), s.alias("span"))
+
+    def kept(events: Column) -> Column:
+        ends = F.transform(events, lambda e: F.when(e["wide"] == 0, e["end"]).otherwise(-1))
+        starts = F.reverse(F.transform(events, lambda e: F.when(e["wide"] == 0, e["start"]).otherwise(far)))
+        reach = let(ends, lambda x: running(x, F.lit(-1), greatest))
+        ahead = F.reverse(let(starts, lambda x: running(x, far, least)))
+        return let(
+            reach, lambda r: let(ahead, lambda h: F.filter(events, lambda e, i: (e["wide"] == 1) & (F.get(r, i) <= e["start"]) & (F.get(h, i) >= e["end"])))
+        )
+
+    ordered = F.array_sort(F.concat(F.transform(base, event(0)), F.transform(wide, event(1))))
+    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(F.transform(let(ordered, kept), lambda e: e["span"]))
 
 
 def digits(value: Column) -> Column:
@@ -109,15 +159,17 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     # Every alternative of the pattern holds one of these.
     guard = whole.rlike("[0-9]{3}|(?:Mr|Mrs|Ms|Dr)[. ]|[0-9](?:[ -]?[0-9]){12}|[0-9A-Fa-f]{32}")
     found = found.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE))).withColumn("_all", matches(whole, WIDE, guard, wide_kind))
-    clear = F.filter("_all", lambda w: ~F.exists("_base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    return found.withColumn("_wide", clear).drop("_all")
+    return found.withColumn("_wide", clear_of(F.col("_all"), F.col("_base"))).drop("_all")
+
 
+def before_of(pieces: Column, span: Column) -> Column:
+    return text_at(pieces, F.greatest(span["start"] - 24, F.lit(0)), span["start"])
 
-def votes(text: Column, span: Column) -> list[Column]:
+
+def votes(pieces: Column, span: Column) -> list[Column]:
     """The labelers' votes on a span."""
-    kind, value = span["kind"], span["value"]
-    before = F.substr(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
-    after = F.substr(text, span["end"] + 1, F.lit(1))
+    kind, value, before = span["kind"], span["value"], before_of(pieces, span)
+    after = text_at(pieces, span["end"], span["end"] + 1)
     number = kind.isin("card", "number")
 
     def vote(yes: Column, no: Column) -> Column:
@@ -133,9 +185,9 @@ def votes(text: Column, span: Column) -> list[Column]:
     ]
 
 
-def features(text: Column, span: Column) -> list[Column]:
+def features(pieces: Column, span: Column) -> list[Column]:
     """Kind, length band, and whether context stands before the span."""
-    before = F.substr(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
+    before = before_of(pieces, span)
     size = F.length(span["value"])
     band = F.when(size < 12, 0).when(size < 17, 1).when(size < 32, 2).otherwise(3)
     return [span["kind"], band.cast("string"), before.rlike(CONTEXT).cast("string"), luhn(span["value"]).cast("string")]
@@ -171,10 +223,10 @@ class Model:
             no = {v: sum((1 - p) * n for p, (_, fs, n) in zip(posterior, counted) if fs[j] == v) for v in values}
             self.odds.append({v: math.log((yes[v] + 1) / (mass + len(values))) - math.log((no[v] + 1) / (total - mass + len(values))) for v in sorted(values)})
 
-    def accepts(self, text: Column, span: Column) -> Column:
+    def accepts(self, pieces: Column, span: Column) -> Column:
         """The classifier's verdict on a span."""
         score = F.lit(self.bias)
-        for feature, odds in zip(features(text, span), self.odds):
+        for feature, odds in zip(features(pieces, span), self.odds):
             weight = F.lit(0.0)
             for value, w in odds.items():
                 weight = F.when(feature == value, F.lit(w)).otherwise(weight)
@@ -184,17 +236,21 @@ class Model:
 
 def fit(candidates: DataFrame) -> Model:
     """Votes and features of all candidates, counted; only the counts reach the driver."""
-    each = candidates.select("_text", F.explode(F.concat("_base", "_wide")).alias("_span"))
-    text, span = F.col("_text"), F.col("_span")
-    counted = each.groupBy(F.array(*votes(text, span)).alias("votes"), F.array(*features(text, span)).alias("features")).count()
-    return Model([(r[0], r[1], r[2]) for r in counted.collect()])
+    spans = F.concat("_base", "_wide")
+
+    def judged_spans(pieces: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(F.array(*votes(pieces, s)).alias("votes"), F.array(*features(pieces, s)).alias("features")))
+
+    each = candidates.filter(F.size("_base") + F.size("_wide") > 0).select(F.inline(let(cut_up(F.col("_text")), judged_spans)))
+    return Model([(r[0], r[1], r[2]) for r in each.groupBy("votes", "features").count().collect()])
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``with_candidates`` and ``_more``: the candidates that the classifier accepts."""
     candidates = with_candidates(docs, text)
     model = fit(candidates)
-    return candidates.withColumn("_more", F.filter("_wide", lambda s: model.accepts(F.col("_text"), s)))
+    accepted = let(cut_up(F.col("_text")), lambda pieces: F.filter("_wide", lambda s: model.accepts(pieces, s)))
+    return candidates.withColumn("_more", F.when(F.size("_wide") > 0, accepted).otherwise(none()))
 
 
 def listed(spans: Column) -> Column:
@@ -222,10 +278,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = judged(docs, text).withColumn("_spans", F.array_sort(F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     whole = F.col("_text")
 
-    def cut(done: Column, s: Column) -> Column:
-        shown = F.when(s["start"] >= done["at"], F.concat(done["out"], F.substr(whole, done["at"] + 1, s["start"] - done["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), shown.alias("out"))
+    def replaced(pieces: Column, spans: Column, ends: Column) -> Column:
+        def shown(s: Column, i: Column) -> Column:
+            done = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.when(s["start"] >= done, F.concat(text_at(pieces, done, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+        rest = text_at(pieces, F.get(ends, F.size(ends) - 1), F.length(whole))
+        return F.concat(F.array_join(F.transform(spans, shown), ""), rest)
+
+    def cut(spans: Column) -> Column:
+        ends = let(F.transform(spans, lambda s: s["end"]), lambda x: running(x, F.lit(0), greatest))
+        return let(ends, lambda e: let(cut_up(whole), lambda pieces: replaced(pieces, spans, e)))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda d: F.concat(d["out"], F.substr(whole, d["at"] + 1, F.length(whole))))
-    redacted = F.when(F.size("_spans") > 0, done).otherwise(F.col("_row")[text])
+    redacted = F.when(F.size("_spans") > 0, let(F.col("_spans"), cut)).otherwise(F.col("_row")[text])
     return found.select(F.col("_row").withField(text, redacted).alias("_row")).select("_row.*")

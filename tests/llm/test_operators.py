@@ -333,6 +333,27 @@ def test_pii(docs):
         assert not re.search(BASE[0][1], t or "")
 
 
+def test_pii_of_one_long_text(spark):
+    """Thousands of matches in one text, some of the wide pattern within, before and after base spans."""
+    parts = [f"u{i}@h{i % 7}.org" if i % 3 else f"+1 (234) 555-{i:04d} 123-45-6789 4111 1111 1111 1111 Dr. Jones{i}@x.io é😀" for i in range(6000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    emails = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    row = pii.with_candidates(docs).first()
+    assert [(s["start"], s["end"]) for s in row["_email"]] == emails
+    base = [(s["start"], s["end"]) for s in row["_base"]]
+    touched = {i for a, b in base for i in range(a, b)}
+    clear = [(a, b, v) for a, b, v in wide_spans(text) if touched.isdisjoint(range(a, b))]
+    assert [(s["start"], s["end"], s["value"]) for s in row["_wide"]] == clear
+    out, at = [], 0
+    spans = sorted((int(a), int(b), kind) for kind, a, b in (s.split(":") for s in pii.span_report(docs).first()["spans"].split(",")))
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+        at = max(at, b)
+    assert pii.redact(docs).first()["text"] == "".join(out) + text[at:]
+
+
 def test_pii_labelers_find_secrets(spark):
     text = " ".join(f'token = "{sha(str(i))[:40]}" and more words here, mail m{i}@example.com' for i in range(4))
     docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(20)], "doc_id long, text string")
