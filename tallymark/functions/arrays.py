@@ -38,7 +38,7 @@ def running(values: Column, zero: Column, merge: Callable[[Column, Column], Colu
         ends = let(totals, lambda t: running(t, zero, merge, levels - 1))
         return let(F.concat(F.array(zero), ends), lambda starts: F.flatten(F.transform(parts, lambda p, i: within(p, F.get(starts, i)))))
 
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).when(F.size(values) <= BLOCK, within(values, zero)).otherwise(let(blocks, joined))
+    return let(blocks, joined)
 
 
 def running_sum(values: Column) -> Column:

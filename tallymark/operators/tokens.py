@@ -138,46 +138,100 @@ def merge_engines(blocks: DataFrame, cell_size: int = 200) -> DataFrame:
     )
 
 
-def anchor_match(upper: Column, anchors: list[str]) -> Column:
-    """Best heading for a text: 1.0 when either contains the other, else edit similarity; first wins ties.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    Containment is tested once for the whole list. The list is only walked to name the heading found,
-    or for a text that could still resemble one: short, mostly not digits, and of similar length.
+
+def letters_of(text: Column) -> Column:
+    """One bit for each letter that a text holds."""
+    bits = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        bits = bits.bitwiseOR(F.when(F.contains(text, F.lit(letter)), F.lit(1 << i)).otherwise(0))
+    return bits
+
+
+class HeadingIndex:
+    """All headings by length, each with the letters it holds, as constant arrays.
+
+    A text within the ratio of a heading has a length in a range, which is a slice of the index, and neither holds
+    more letters that the other lacks than edits are allowed. Only headings that pass both are compared by edit distance.
     """
+
+    def __init__(self, anchors: dict[str, list[str]]):
+        rows = [(len(a), f, i, a, sum(1 << k for k, c in enumerate(LETTERS) if c in a)) for f, words in enumerate(anchors.values()) for i, a in enumerate(words)]
+        self.rows = sorted(rows)
+        self.longest = self.rows[-1][0]
+        #: Texts beyond this length resemble no heading.
+        self.reach = int(self.longest / ANCHOR_RATIO)
+        sizes = [r[0] for r in self.rows]
+        fits = lambda n, m: abs(n - m) <= max(n, m) * (1.0 - ANCHOR_RATIO) + 1e-9
+        spans = [[k for k, n in enumerate(sizes) if fits(n, m)] for m in range(self.reach + 1)]
+        self.first = self.constant([s[0] if s else 0 for s in spans], "int")
+        self.count = self.constant([len(s) for s in spans], "int")
+
+    @staticmethod
+    def constant(values: list, kind: str) -> Column:
+        """Folded to one array when the plan is made, and built by one call."""
+        return F.split(F.lit("|".join(map(str, values))), "[|]").cast(f"array<{kind}>")
+
+    def column(self, n: int, kind: str) -> Column:
+        return self.constant([r[n] for r in self.rows], kind)
+
+    def resembling(self, upper: Column, letters: Column) -> Column:
+        """Headings within the ratio of a text, as (field, ratio, minus_order, anchor)."""
+        size, sizes, held = F.length(upper), self.column(0, "int"), self.column(4, "long")
+        near = F.slice(self.constant(list(range(len(self.rows))), "int"), F.get(self.first, size) + 1, F.get(self.count, size))
+
+        def possible(k: Column) -> Column:
+            allowed = F.greatest(size, F.get(sizes, k)) * (1.0 - ANCHOR_RATIO) + 1e-9
+            missing = F.bit_count(F.get(held, k).bitwiseAND(F.bitwise_not(letters))) <= allowed
+            return missing & (F.bit_count(letters.bitwiseAND(F.bitwise_not(F.get(held, k)))) <= allowed)
+
+        # No pair within the ratio is further apart than this; a distance given up on is -1.
+        furthest = int(self.longest / ANCHOR_RATIO * (1.0 - ANCHOR_RATIO)) + 1
+        field, order, anchor = self.column(1, "int"), self.column(2, "int"), self.column(3, "string")
+
+        def compared(k: Column) -> Column:
+            distance_ = F.nullif(F.levenshtein(upper, F.get(anchor, k), furthest), F.lit(-1))
+            ratio = distance_ / -F.greatest(size, F.get(sizes, k)) + 1.0
+            return F.struct(F.get(field, k).alias("field"), ratio.alias("ratio"), (-F.get(order, k)).alias("minus_order"), F.get(anchor, k).alias("anchor"))
+
+        alike = F.filter(F.transform(F.filter(near, possible), compared), lambda r: r["ratio"] >= ANCHOR_RATIO)
+        none = F.array().cast("array<struct<field:int,ratio:double,minus_order:int,anchor:string>>")
+        # Headings hold no digits, so each digit of a text costs an edit.
+        wordy = F.length(F.translate(upper, "0123456789", "")) >= size * ANCHOR_RATIO
+        return F.when((size <= self.reach) & wordy, alike).otherwise(none)
+
+
+def held_heading(upper: Column, anchors: list[str]) -> Column:
+    """First heading that holds the text or is held by it."""
     listed = "|".join(anchors)
-    words = F.split(F.lit(listed), "[|]")
     exact = F.rlike(upper, F.lit("|".join(re.escape(a) for a in anchors))) | F.contains(F.lit(listed), upper)
-    longest = max(len(a) for a in anchors)
-    wordy = F.length(F.regexp_replace(upper, "[0-9]", "")) >= F.length(upper) * ANCHOR_RATIO
-    plausible = (F.length(upper) * ANCHOR_RATIO <= longest) & wordy
-    size = F.length(upper)
-
-    def entry(ratio: Column, order: Column, anchor: Column) -> Column:
-        return F.struct(ratio.alias("ratio"), (-order).alias("minus_order"), anchor.alias("anchor"))
-
+    words = F.split(F.lit(listed), "[|]")
     held = F.transform(
-        words, lambda a, i: F.when(F.contains(upper, a) | F.contains(a, upper), entry(F.lit(1.0), i, a))
+        words,
+        lambda a, i: F.when(
+            F.contains(upper, a) | F.contains(a, upper), F.struct(F.lit(1.0).alias("ratio"), (-i).alias("minus_order"), a.alias("anchor"))
+        ),
     )
-    # No pair within the ratio is further apart than this; a distance given up on is -1.
-    furthest = int(longest / ANCHOR_RATIO * (1.0 - ANCHOR_RATIO)) + 1
-
-    def resembling(a: Column, i: Column) -> Column:
-        most = F.greatest(size, F.length(a))
-        return F.when(
-            F.abs(size - F.length(a)) <= most * (1.0 - ANCHOR_RATIO),
-            entry(F.nullif(F.levenshtein(upper, a, furthest), F.lit(-1)) / -most + 1.0, i, a),
-        )
-
-    alike = F.transform(words, resembling)
-    return F.when(exact, F.coalesce(F.array_max(held), F.array_max(alike))).when(plausible, F.array_max(alike))
+    return F.when(exact, F.array_max(held))
 
 
 def find_anchors(tokens: DataFrame) -> DataFrame:
-    """Blocks that read like a heading, per field: scan_id, token_id, field_name, anchor, ratio, anchor_order."""
+    """Blocks that read like a heading, per field: scan_id, token_id, field_name, anchor, ratio, anchor_order.
+
+    A heading that holds the text, or that the text holds, counts as equal; else the most alike by edit distance.
+    The first one wins ties.
+    """
+    index = HeadingIndex(ANCHORS)
     upper = F.upper(F.trim("text"))
+
+    def best(number: int, words: list[str]) -> Column:
+        alike = F.transform(F.filter("_alike", lambda r: r["field"] == number), lambda r: F.struct(r["ratio"].alias("ratio"), r["minus_order"].alias("minus_order"), r["anchor"].alias("anchor")))
+        return F.coalesce(held_heading(F.col("_upper"), words), F.array_max(alike))
+
     found = [
-        F.struct(F.lit(field).alias("field_name"), F.lit(1).alias("anchor_order"), anchor_match(F.col("_upper"), words).alias("m"))
-        for field, words in ANCHORS.items()
+        F.struct(F.lit(field).alias("field_name"), F.lit(1).alias("anchor_order"), best(number, words).alias("m"))
+        for number, (field, words) in enumerate(ANCHORS.items())
     ]
     promo = F.when(
         F.rlike(F.col("_upper"), F.lit(PROMO_QUANTITY)),
@@ -187,11 +241,14 @@ def find_anchors(tokens: DataFrame) -> DataFrame:
             F.struct(F.lit(1.0).alias("ratio"), F.lit(0).alias("minus_order"), F.lit("FOR").alias("anchor")).alias("m"),
         ),
     )
-    candidates = F.array_compact(F.array(promo, *found))
     return (
         tokens.withColumn("_upper", upper)
         .where(F.length("_upper") >= MIN_ANCHOR_CHARS)
-        .withColumn("_a", F.explode_outer(F.filter(candidates, lambda c: c.m.ratio >= ANCHOR_RATIO)))
+        .withColumn("_letters", letters_of(F.col("_upper")))
+        .withColumn("_alike", index.resembling(F.col("_upper"), F.col("_letters")))
+        # On their own, so that the patterns stay compiled; the filter's lambda is not.
+        .withColumn("_found", F.array(promo, *found))
+        .withColumn("_a", F.explode_outer(F.filter("_found", lambda c: c.m.ratio >= ANCHOR_RATIO)))
         .where(F.col("_a").isNotNull())
         .withColumns(
             {
@@ -201,7 +258,7 @@ def find_anchors(tokens: DataFrame) -> DataFrame:
                 "ratio": F.col("_a.m.ratio"),
             }
         )
-        .drop("_upper", "_a")
+        .drop("_upper", "_letters", "_alike", "_found", "_a")
     )
 
 
