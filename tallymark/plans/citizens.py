@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from tallymark.operators.conflicts import rolling_state, with_conflict
 from tallymark.operators.search import citizen_queue
 from tallymark.plans.check_sql import ROLLING_VIEWS
 from tallymark.plans.registry import query
-from tallymark.sources import documents, stores
+from tallymark.session import shared_folder
+from tallymark.sources import documents, evidence, stores
 from tallymark.sources.fixtures import Tables
 
 CLAIM_VIEWS = {
@@ -123,6 +126,50 @@ def tamper_audit(t: Tables) -> DataFrame:
     return citizens.tamper_audit(manifest, pages, F.col("html"))
 
 
+# Evidence files: the pages as files of a store; what was sent is known from the pages, what lies there is altered for some of them.
+FILE_VIEWS = {
+    "e_files": """SELECT page_id AS file_id, html || CASE WHEN page_id % 11 = 4 THEN '<!-- changed -->' ELSE '' END || chr(10) AS body FROM pages WHERE page_id % 13 <> 5""",
+    "e_manifest": """SELECT page_id AS file_id, strlen(html) + 1 AS announced_bytes, CASE WHEN page_id % 7 <> 3 THEN sha256(html || chr(10)) END AS client_sha256 FROM pages WHERE page_id % 17 <> 6""",
+}
+
+
+def evidence_files(t: Tables) -> DataFrame:
+    """The pages written as files and read back as bytes."""
+    folder = f"{shared_folder(t.spark)}/evidence-{uuid.uuid4().hex}"
+    pages = t.pages.where("page_id % 13 <> 5")
+    changed = F.concat("html", F.when(F.col("page_id") % 11 == 4, "<!-- changed -->").otherwise(""))
+    evidence.write_files(pages, folder, "page_id", changed)
+    return evidence.read_files(t.spark, folder)
+
+
+@query(
+    "evidence_audit",
+    """SELECT file_id, announced_bytes, strlen(body) AS n_bytes, client_sha256, sha256(body) AS server_sha256,
+      CASE WHEN m.file_id IS NULL THEN 'unlisted' WHEN body IS NULL THEN 'missing' WHEN client_sha256 IS NULL THEN 'unchecked' WHEN client_sha256 = sha256(body) THEN 'verified' ELSE 'tampered' END AS integrity
+    FROM e_files f FULL JOIN e_manifest m USING (file_id)""",
+    FILE_VIEWS,
+)
+def evidence_audit(t: Tables) -> DataFrame:
+    sent = F.concat("html", F.lit("\n"))
+    announced = t.pages.where("page_id % 17 <> 6").select(
+        F.col("page_id").alias("file_id"),
+        F.octet_length(sent).cast("long").alias("n_bytes"),
+        F.when(F.col("page_id") % 7 == 3, " ").otherwise(F.concat(F.lit(" "), F.upper(F.sha2(sent, 256)))).alias("client_sha256"),
+    )
+    return evidence.audit(announced, evidence_files(t))
+
+
+@query(
+    "repeated_evidence",
+    "SELECT sha256(body) AS sha256, count(*) AS n_files, min(file_id) AS first_file_id FROM (SELECT file_id % 9 AS k, file_id, body FROM e_files UNION ALL SELECT file_id % 9, file_id + 1000000, body FROM e_files WHERE file_id % 9 = 2) GROUP BY 1 HAVING count(*) > 1",
+    FILE_VIEWS,
+)
+def repeated_evidence(t: Tables) -> DataFrame:
+    files = evidence_files(t)
+    again = files.where("file_id % 9 = 2").withColumn("file_id", F.col("file_id") + 1_000_000)
+    return evidence.repeated_content(files.unionByName(again))
+
+
 # Reviews: every part-order line of a scan is read as one inspector review of it.
 REVIEW_VIEWS = {
     "e_reviews": """SELECT o_orderkey AS review_id, o_custkey AS scan_id, concat('inspector ', o_orderpriority) AS inspector, o_orderdate AS reviewed_at,
