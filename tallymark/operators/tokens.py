@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.codes import batch_code
 from tallymark.functions.geometry import box, cell, distance, iou
+from tallymark.operators.matching import choose_in_turn
 from tallymark.rules.lexicon import ANCHORS, PROMO_QUANTITY
 
 RADIUS = 350
@@ -76,21 +77,26 @@ def text_pools(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("scan_id").agg(F.array_join(F.transform(ordered, lambda o: o.text), "\n").alias("text_pool"))
 
 
-def covering_cells(start: Column, length: Column, size: int) -> Column:
-    return F.sequence(cell(start, size), cell(start + length, size))
+def covering_cells(start: Column, length: Column, size: Column) -> Column:
+    return F.sequence(F.floor(start / size).cast("long"), F.floor((start + length) / size).cast("long"))
 
 
-def merge_engines(blocks: DataFrame, cell_size: int = 200) -> DataFrame:
+def merge_engines(blocks: DataFrame, cell_size: int = 200, most_cells: int = 64) -> DataFrame:
     """One block where two engines read the same region; the more confident reading is kept.
 
     Second-engine blocks choose in block order, each the best overlapping free block of the first
-    engine (``engine`` is 'tesseract' or 'easyocr'). Candidate pairs come from shared grid cells; the
-    choice is a fold over the few candidate pairs of one label.
+    engine (``engine`` is 'tesseract' or 'easyocr'). Candidate pairs come from shared grid cells, which are
+    larger on a label of larger coordinates, so that a box covers at most ``most_cells`` of them either way. The choice
+    is made for all labels at once in a few rounds; no list of a label is built.
     """
-    placed = blocks.withColumn("_box", box(*[F.col(c) for c in "xywh"]))
+    # A box without a place or a size overlaps nothing.
+    reach = F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs(F.col("x") + F.col("w")), F.abs(F.col("y") + F.col("h"))))
+    sized = blocks.withColumn("_size", F.greatest(F.lit(float(cell_size)), reach.over(Window.partitionBy("scan_id")) / (most_cells // 2)))
     celled = (
-        placed.withColumn("_cx", F.explode(covering_cells(F.col("x"), F.col("w"), cell_size)))
-        .withColumn("_cy", F.explode(covering_cells(F.col("y"), F.col("h"), cell_size)))
+        sized.where((F.col("w") > 0) & (F.col("h") > 0))
+        .withColumn("_box", box(*[F.col(c) for c in "xywh"]))
+        .withColumn("_cx", F.explode(covering_cells(F.col("x"), F.col("w"), F.col("_size"))))
+        .withColumn("_cy", F.explode(covering_cells(F.col("y"), F.col("h"), F.col("_size"))))
         .select("scan_id", "token_id", "engine", "confidence", "_box", "_cx", "_cy")
     )
     easy = celled.where(F.col("engine") == "easyocr").select(
@@ -99,37 +105,16 @@ def merge_engines(blocks: DataFrame, cell_size: int = 200) -> DataFrame:
     tess = celled.where(F.col("engine") != "easyocr").select(
         "scan_id", "_cx", "_cy", F.col("token_id").alias("t"), F.col("_box").alias("tb"), F.col("confidence").alias("tc")
     )
-    overlap = iou(F.col("eb"), F.col("tb"))
     pairs = (
         easy.join(tess, ["scan_id", "_cx", "_cy"])
-        .withColumn("iou", overlap)
-        .where(F.col("iou") >= MATCH_IOU)
-        .select("scan_id", "e", "t", "iou", (F.col("ec") >= F.col("tc")).alias("easy_wins"))
+        .withColumn("minus_iou", -iou(F.col("eb"), F.col("tb")))
+        .where(F.col("minus_iou") <= -MATCH_IOU)
+        .select("scan_id", "e", "t", "minus_iou", (F.col("ec") >= F.col("tc")).alias("easy_wins"))
         .distinct()
     )
-    ranked = F.array_sort(F.collect_list(F.struct("e", (-F.col("iou")).alias("minus_iou"), "t", "easy_wins")))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("es"),
-        F.array().cast("array<bigint>").alias("ts"),
-        F.array().cast("array<bigint>").alias("losers"),
-    )
-
-    def take(state: Column, pair: Column) -> Column:
-        free = ~F.array_contains(state.es, pair.e) & ~F.array_contains(state.ts, pair.t)
-        loser = F.when(pair.easy_wins, pair.t).otherwise(pair.e)
-        return F.when(
-            free,
-            F.struct(
-                F.array_append(state.es, pair.e).alias("es"),
-                F.array_append(state.ts, pair.t).alias("ts"),
-                F.array_append(state.losers, loser).alias("losers"),
-            ),
-        ).otherwise(state)
-
-    matched = pairs.groupBy("scan_id").agg(F.reduce(ranked, start, take).alias("m"))
-    taken = matched.select(
-        "scan_id", F.explode(F.array_union("m.es", "m.ts")).alias("token_id"), F.col("m.losers").alias("_losers")
-    ).select("scan_id", "token_id", F.array_contains("_losers", F.col("token_id")).alias("_lost"))
+    matched = choose_in_turn(pairs, "scan_id", "e", "t", "minus_iou")
+    wins = F.col("easy_wins")
+    taken = matched.select("scan_id", F.inline(F.array(F.struct(F.col("e").alias("token_id"), (~wins).alias("_lost")), F.struct(F.col("t").alias("token_id"), wins.alias("_lost")))))
     return (
         blocks.join(taken, ["scan_id", "token_id"], "left")
         .where(~F.coalesce("_lost", F.lit(False)))
