@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from tallymark.operators.fonts import height_mm, pixel_scale, required_height
 from tallymark.plans.check_sql import half_even
 from tallymark.plans.registry import query
 from tallymark.rules import gazetteer as G
-from tallymark.rules.packs import LABEL_RULES
+from tallymark.rules.packs import LABEL_RULES, Rule
+from tallymark.session import shared_folder
 from tallymark.sources.fixtures import Tables
-from tallymark.sources.rule_packs import list_rules, load_rules, rules_table
+from tallymark.sources.rule_packs import list_rules, load_rules, rules_table, store_rules
 
 
 def quoted(text: str) -> str:
@@ -249,6 +252,30 @@ def verdict_mix(t: Tables) -> DataFrame:
     return evaluated(t).groupBy("calibration_tier", "compliance_status").agg(F.count(F.lit(1)).alias("label_count"))
 
 
+# A rule pack of a shop of its own, stored as a file and read back.
+SHOP_PACK = [
+    Rule("mrp", "medium", "Shop rule 1", r"[0-9]"),
+    Rule("net_quantity", "low", "Shop rule 2", r"\bkg\b", mandatory=False),
+    Rule("consumer_care_details", "high", "Shop rule 3", None),
+    Rule("expiry_date", "medium", "Shop rule 4", r"20[0-9]{2}"),
+]
+
+
+@query(
+    "pack_file_violations",
+    f"""WITH found AS (SELECT c.scan_id, r.*, coalesce(f.extracted_value, '') AS val FROM v_camera c
+        CROSS JOIN ({" UNION ALL ".join(f"SELECT {quoted(r.field_name)} AS field_name, {quoted(r.severity_if_missing)} AS sev, {quoted(r.rule_reference)} AS ref, {r.mandatory} AS must, {quoted('(?i)' + (r.format_pattern or ''))} AS pat" for r in SHOP_PACK)}) r
+        LEFT JOIN v_fields f ON f.scan_id = c.scan_id AND f.field_name = r.field_name)
+    SELECT scan_id, field_name, 'missing' AS violation_type, sev AS severity, ref AS rule_reference FROM found WHERE must AND trim(val) = ''
+    UNION ALL SELECT scan_id, field_name, 'incorrect_format', CASE WHEN field_name IN ('mrp', 'manufacture_date') THEN 'high' ELSE 'medium' END, ref FROM found WHERE trim(val) <> '' AND NOT regexp_matches(val, pat)""",
+)
+def pack_file_violations(t: Tables) -> DataFrame:
+    path = f"{shared_folder(t.spark)}/pack-{uuid.uuid4().hex}"
+    store_rules(t.spark, path, SHOP_PACK)
+    checked = rules.evaluate(scaled(t), t.fields, load_rules(t.spark, path))
+    return rules.violations_of(checked).where("violation_type <> 'undersized_font'")
+
+
 @query(
     "font_heights",
     f"""SELECT f.scan_id, f.field_name, {half_even('CAST(f.h AS DOUBLE) / c.px_per_mm', 2)} AS measured_mm, CAST({NEED_SQL} AS DOUBLE) AS required_mm

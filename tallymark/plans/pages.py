@@ -119,9 +119,17 @@ def page_images(t: Tables) -> DataFrame:
 
 @query(
     "page_url_facts",
-    """SELECT page_id, 'B0' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(8, length(CAST(page_id AS VARCHAR))) AS INT), '0') AS item_code, false AS is_image FROM v_html
-    UNION ALL SELECT page_id, NULL, false FROM pages""",
+    """SELECT page_id, 'B0' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(8, length(CAST(page_id AS VARCHAR))) AS INT), '0') AS item_code, false AS is_image, NULL AS plain_image FROM v_html
+    UNION ALL SELECT page_id, NULL, false, NULL FROM pages
+    UNION ALL SELECT product_id, NULL, true, 'https://m.media-amazon.com/images/I/' || CAST(product_id AS VARCHAR) || 'aB.jpg' FROM v_listings
+    UNION ALL SELECT product_id, NULL, product_id % 2 = 0, 'https://r/image/1664/1664/a' || CAST(product_id AS VARCHAR) || CASE WHEN product_id % 2 = 0 THEN '.WEBP?q=1' ELSE '.svg' END FROM v_listings""",
 )
 def page_url_facts(t: Tables) -> DataFrame:
-    urls = t.listing_html.select("page_id", "url").unionByName(t.pages.select("page_id", "url"))
-    return urls.select("page_id", P.item_code(F.col("url")).alias("item_code"), P.is_image_url(F.col("url")).alias("is_image"))
+    number = F.col("product_id").cast("string")
+    photo = t.listings.select(F.col("product_id").alias("page_id"), F.concat(F.lit("https://m.media-amazon.com/images/I/"), number, F.lit("aB._SX38_.jpg")).alias("url"))
+    ending = F.when(F.col("product_id") % 2 == 0, ".WEBP?q=1").otherwise(".svg")
+    sized = t.listings.select(F.col("product_id").alias("page_id"), F.concat(F.lit("https://r/image/312/312/a"), number, ending).alias("url"))
+    pages = t.listing_html.select("page_id", "url").unionByName(t.pages.select("page_id", "url")).withColumn("picture", F.lit(False))
+    urls = pages.unionByName(photo.unionByName(sized).withColumn("picture", F.lit(True)))
+    url = F.col("url")
+    return urls.select("page_id", P.item_code(url).alias("item_code"), P.is_image_url(url).alias("is_image"), F.when(F.col("picture"), P.canonical_image(url)).alias("plain_image"))

@@ -36,6 +36,14 @@ def _rows(spark: SparkSession, path: str, schema: str, column: str) -> list:
     return rows
 
 
+def store_rules(spark: SparkSession, path: str, rules: list[Rule]) -> None:
+    """Write a pack as JSON, in the form that ``load_rules`` reads."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"a rule pack holds at most {MAX_RULES} rows")
+    rows = [(r.field_name, r.mandatory, r.severity_if_missing, r.format_pattern, r.rule_reference, r.category) for r in rules]
+    spark.createDataFrame([(rows,)], RULE_SCHEMA).coalesce(1).write.json(path)
+
+
 def load_rules(spark: SparkSession, path: str | None = None) -> list[Rule]:
     rows = [r for r in _rows(spark, path, RULE_SCHEMA, "mandatory_declarations") if r.field_name] if path else []
     return [
