@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import ENTITIES, visible_text
+from tallymark.operators import listings
 from tallymark.operators import pages as P
 from tallymark.plans.labels import quoted
-from tallymark.plans.registry import query
+from tallymark.plans.products import LISTING_VIEWS, judged_listings
+from tallymark.plans.registry import REGISTRY, query
 from tallymark.sources.fixtures import Tables
 
 
@@ -86,6 +88,28 @@ def page_specifications(t: Tables) -> DataFrame:
     return P.specs_of(t.listing_html).select("page_id", "key", "value")
 
 
+# A scan of a listing from its page to the verdict: what the page says, where the product is from, what the pack says, the rules.
+PAGE_LISTING_VIEWS = {
+    **{name: sql.replace("v_listings", "e_shown") for name, sql in LISTING_VIEWS.items()},
+    **PAGE_VIEWS,
+    "e_shown": "SELECT page_id AS product_id, * EXCLUDE (page_id), NULL::VARCHAR AS manufacture_date, NULL::VARCHAR AS spec_origin FROM e_html",
+}
+
+
+def page_listings(t: Tables) -> DataFrame:
+    return P.listings_of(t.listing_html).withColumnRenamed("page_id", "product_id").withColumn("spec_origin", F.lit(None).cast("string"))
+
+
+@query("page_listing_verdicts", REGISTRY["listing_verdicts"].check, PAGE_LISTING_VIEWS)
+def page_listing_verdicts(t: Tables) -> DataFrame:
+    return listings.listing_metrics(judged_listings(t, page_listings(t)))
+
+
+@query("page_listing_checks", "SELECT * FROM e_lchecks", PAGE_LISTING_VIEWS)
+def page_listing_checks(t: Tables) -> DataFrame:
+    return listings.listing_checks(judged_listings(t, page_listings(t))).select("product_id", "rule_id", "status", "severity")
+
+
 @query(
     "nested_specifications",
     """SELECT * FROM (SELECT product_id AS page_id, unnest(['shelf life', 'brand', 'packer', 'level']) AS key,

@@ -501,13 +501,14 @@ LISTING_VIEWS = {
 }
 
 
-def judged_listings(t: Tables) -> DataFrame:
-    """Listings beside their pack: every input is one row per product before it is joined."""
+def judged_listings(t: Tables, shown: DataFrame | None = None) -> DataFrame:
+    """Listings (``shown``, or the stored ones) beside their pack: every input is one row per product before it is joined."""
     fields = pack_fields(t)
+    shown = t.listings if shown is None else shown
     panel = t.labels.select("product_id", F.col("address_text").alias("panel_address"))
-    origin = geo.resolve_origin(t.listings.join(panel, "product_id", "left")).withColumnRenamed("origin_country", "geo_country")
+    origin = geo.resolve_origin(shown.join(panel, "product_id", "left")).withColumnRenamed("origin_country", "geo_country")
     compared = crosscheck.with_comparison(
-        crosscheck.web_side(t.listings).join(crosscheck.pack_side(fields), "product_id", "left")
+        crosscheck.web_side(shown).join(crosscheck.pack_side(fields), "product_id", "left")
     ).select("product_id", "cv_net_quantity")
     quality = panels.best_side(t.side_fields).select("product_id", "ocr_avg_conf")
     joined = (
