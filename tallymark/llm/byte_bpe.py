@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallymark.llm import pretokens
-from tallymark.llm.words import chunks, column, map_arrow
+from tallymark.llm.words import chunks, column, give_back, map_partition
 
 LONG_WORD = 256
-REMEMBERED = 150_000
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64  #: words beside those of the chunk at hand, and bytes of one
 #: Rows of one recursive query, about, and tokens of one decoding query: what keeps them within the database's memory.
 ROUND_ROWS, DECODED = 1_500_000, 400_000
 
@@ -60,12 +60,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Codec:
-    """The rank file of one worker, its database, and the words it remembers."""
+class Ranks:
+    """The rank file of one worker: tokens, and the pairs that make one."""
 
     def __init__(self, path: str):
-        import duckdb
-
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         found = []
@@ -77,12 +75,28 @@ class Codec:
         l, r, m = (pa.array(x, pa.int32()) for x in zip(*found))
         self.merged = {(a, b): c for a, b, c in found}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.merges = pa.table({"l": l, "r": r, "id": m})
+        self.vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        self.known: dict[bytes, bytes] = {}  #: ids of words, as bytes of 32-bit numbers
+
+
+class Codec:
+    """The database of one partition; it goes when the partition ends, so that a reused worker holds only the words it remembers."""
+
+    def __init__(self, path: str):
+        import duckdb
+
+        own = ranks(path)
+        self.ranks, self.merged, self.byte_ids = own.ranks, own.merged, own.byte_ids
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB"})
-        merges = pa.table({"l": l, "r": r, "id": m})  # noqa: F841  read by its name
-        vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
+        merges, vocab = own.merges, own.vocab  # noqa: F841  read by their names
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocab AS FROM vocab")
-        self.known: dict[bytes, list[int]] = {}
+        self.known = own.known
+
+    def close(self) -> None:
+        self.db.close()
+        give_back()
 
     def heap(self, word: bytes) -> list[int]:
         """The same contraction for one long word: pairs in a heap by rank and position, neighbours linked."""
@@ -107,16 +121,13 @@ class Codec:
     def encode_words(self, words: list[bytes]) -> None:
         """Remember the ids of words that are not known yet."""
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = words
         rest = []
         for word in fresh:
             whole = self.ranks.get(word)
             if whole is not None:
-                self.known[word] = [whole]
+                self.known[word] = whole.to_bytes(4, "little")
             elif len(word) > LONG_WORD:
-                self.known[word] = self.heap(word)
+                self.known[word] = np.array(self.heap(word), np.int32).tobytes()
             else:
                 rest.append(word)
         # A word of n bytes leaves at most n * (n + 1) / 2 rows over all rounds.
@@ -132,19 +143,28 @@ class Codec:
             self.db.register("start", start)
             done = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("start")
-            ids = done.column("id").to_pylist()
-            ends = np.searchsorted(done.column("word").to_numpy(), np.arange(len(some) + 1)).tolist()
+            ids = done.column("id").to_numpy().astype(np.int32).tobytes()
+            ends = (4 * np.searchsorted(done.column("word").to_numpy(), np.arange(len(some) + 1))).tolist()
             for w, name in enumerate(some):
                 self.known[name] = ids[ends[w] : ends[w + 1]]
 
+    def forget(self, names: list[bytes], words) -> None:
+        """Beyond the bound, of the words of the last chunk only short ones that stand there twice stay remembered."""
+        if len(self.known) > REMEMBERED:
+            often = np.flatnonzero(np.bincount(words.ids, minlength=len(names)) > 1).tolist()[:REMEMBERED]
+            kept = {names[i]: self.known[names[i]] for i in often if len(names[i]) <= LONGEST_REMEMBERED}
+            self.known.clear()
+            self.known.update(kept)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text ends."""
         words = pretokens.split(texts, "byte")
         names = words.names.to_pylist()
         self.encode_words(names)
         lists = [self.known[w] for w in names]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), np.int32)
+        self.forget(names, words)
         begin = np.cumsum(size) - size
         per = size[words.ids]
         ends = np.concatenate([[0], np.cumsum(per)])
@@ -166,8 +186,22 @@ class Codec:
 
 
 @lru_cache(1)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def ranks(path: str) -> Ranks:
+    return Ranks(path)
+
+
+def with_codec(df: DataFrame, path: str, rows, schema: str) -> DataFrame:
+    """``rows(codec, batch)`` over every batch, with one codec a partition."""
+
+    def partition(batches):
+        own = Codec(path)
+        try:
+            for batch in batches:
+                yield from rows(own, batch)
+        finally:
+            own.close()
+
+    return map_partition(df, partition, schema)
 
 
 def _keyed(docs: DataFrame, key: str, text: str):
@@ -179,31 +213,31 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Per document: key, ids."""
     path = path or default_path()
 
-    def rows(batch):
+    def rows(codec, batch):
         for at, texts in chunks(column(batch, text)):
-            ids, ends = codec(path).encode(texts)
+            ids, ends = codec.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], [key, "ids"])
 
     picked, first = _keyed(docs, key, text)
-    return map_arrow(picked, rows, f"{first}, ids array<int>")
+    return with_codec(picked, path, rows, f"{first}, ids array<int>")
 
 
 def decode(coded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """Per document: key, content (its bytes); null ids decode to no bytes."""
     path = path or default_path()
 
-    def rows(batch):
+    def rows(codec, batch):
         lists = batch.column(1).cast(pa.list_(pa.int32())).fill_null([])
         for at in range(0, len(lists), 500):
             some = lists.slice(at, 500)
             ends = some.offsets.to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, 500), pa.array(codec(path).decode(some.flatten().to_numpy(), ends - ends[0]), pa.binary())], [key, "content"]
+                [batch.column(0).slice(at, 500), pa.array(codec.decode(some.flatten().to_numpy(), ends - ends[0]), pa.binary())], [key, "content"]
             )
 
     picked, first = _keyed(coded, key, ids)
-    return map_arrow(picked, rows, f"{first}, content binary")
+    return with_codec(picked, path, rows, f"{first}, content binary")
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -213,19 +247,19 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def sha(values: list[bytes]) -> pa.Array:
         return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
-    def rows(batch):
+    def rows(codec, batch):
         for at, texts in chunks(column(batch, text)):
-            ids, ends = codec(path).encode(texts)
+            ids, ends = codec.encode(texts)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pc.cast(pa.array(ids), pa.large_string()))
             columns = {
                 key: batch.column(0).slice(at, len(texts)),
                 "n_tokens": pa.array(np.diff(ends)),
                 "ids_sha256": sha(pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()),
-                "decoded_sha256": sha(codec(path).decode(ids, ends)),
+                "decoded_sha256": sha(codec.decode(ids, ends)),
             }
             if with_ids:
                 columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     picked, first = _keyed(docs, key, text)
-    return map_arrow(picked, rows, f"{first}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return with_codec(picked, path, rows, f"{first}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -6,6 +6,8 @@ chunk (or the longest single document), not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -128,6 +130,16 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Free memory goes back from a worker that will be reused to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not glibc; its allocator decides
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Every Arrow batch of a partition through ``rows``."""
 
