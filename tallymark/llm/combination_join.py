@@ -1,25 +1,27 @@
 """Jaccard self-join of documents on word shingles, by prefixes with token combinations for frequent tokens.
 
-Documents with equal shingle sets are one node. Tokens (shingle hashes) are ordered rare ones first, frequent ones
-last, each by hash. Two sets that link share a token of their prefixes, and two if the prefixes are one longer:
+Documents with equal shingle sets are one node. Tokens (shingle hashes) are ordered by class, each class by hash: those
+met in one set first, then rare ones, then frequent ones (met in ``FREQUENT`` sets or more). So a set with enough tokens
+of its own has no others in its prefix, and indexes nothing. Two sets that link share a token of their prefixes, and two
+if the prefixes are one longer:
 
 - if their first shared token is rare, both index it singly;
 - if not, all shared tokens are frequent, and they share a pair of frequent tokens of their extended prefixes. Sets
   with at most ``MOST_FREQUENT`` frequent tokens there index pairs; the few with more (sets that consist of
-  frequent tokens) would have too many pairs and are met by single frequent tokens.
+  frequent tokens, as those of large groups of copies do) would have too many pairs and are met by single ones.
 
-Frequent are the tokens of at least one in ``HEAVY`` of all occurrences, so at most ``HEAVY`` are broadcast. Which
-order is taken never changes the result. A first pass counts prefix tokens (by 40 bits, sorted and packed by their
-top bits, so that they take few bytes); only those met twice go on, by a Bloom filter of fixed size.
+A first pass counts all tokens (by 40 bits, sorted and packed by their top bits, so that they take few bytes); each
+class is told by a Bloom filter of fixed size. What a filter lets through by mistake is of a higher class for every set
+alike, so the order stays one and the result exact.
 
 No group is expanded into all its pairs: each member is paired with the least of its group and verified exactly.
 Before whole sets are fetched, a pair must pass a bound from parity bitmaps: each differing bit needs a token that
 only one of the two sets has.
-Those links make components. Only members of one group that are in different components by then are paired with
-each other and verified as well, so no link between components is lost. Pairs of one rare token are formed where
-its places in both prefixes leave room for enough shared tokens, as the places of the first shared token do; they
-travel as 64-bit references, packed by their first half and each once per task. A reference that two sets should
-share only adds pairs to verify.
+Those links make components. Groups whose members are in one component are done. In the others, members of different
+components are compared inside the task by sizes, places and bitmaps of a bit a token, which travel with
+them; only pairs that pass all three bounds are written (as 64-bit references, packed by their first half and each
+once per task) and verified. A large group is cut into blocks of ``SIDE`` members, and each pair of blocks is a unit
+of work of its own. A reference that two sets should share only adds pairs to verify.
 
 Cases: a null or empty text has an empty set, links with nothing and is its own component; fewer words than a
 shingle make one shingle of all of them; equal rows are in one component; a null id counts as no id (its
@@ -42,8 +44,9 @@ from tallymark.llm.vocabulary import send, write_shared
 from tallymark.llm.words import LOWER, WHITE, chunks, column, map_arrow, map_partition, mix, runs, split
 
 WIDTH, PERCENT = 5, 75
-HEAVY = 200_000
+FREQUENT = 16  #: sets that a frequent token is met in, at least
 MOST_FREQUENT = 24
+SIDE = 2000  #: members of a block of a large group
 BITS = 1 << 27
 BITS_PER_TOKEN = 4  #: of a parity bitmap, about
 PACKED = 2_000_000  #: prefix tokens of a bucket of the counting pass, about
@@ -88,13 +91,33 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rare tokens of the prefix, frequent tokens of the prefix, frequent tokens of the prefix longer by one."""
-    at = np.minimum(np.searchsorted(heavy, tokens), max(0, len(heavy) - 1))
-    often = heavy[at] == tokens if len(heavy) else np.zeros(len(tokens), bool)
-    rare, frequent = tokens[~often], tokens[often]
+LOW = np.uint64((1 << 40) - 1)
+
+
+def prefix(tokens: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rare tokens of the prefix and their places, frequent tokens of the prefix, frequent tokens of the prefix longer by one.
+
+    ``kinds``: 0 for tokens met in one set, which are left out, 1 for rare and 2 for frequent ones.
+    """
+    order = np.argsort(kinds, kind="stable")
     size = len(tokens) - least_overlap(len(tokens), percent) + 1
-    return rare[:size], frequent[: max(0, size - len(rare))], frequent[: max(0, size + 1 - len(rare))]
+    first, longer = order[:size], order[: size + 1]
+    places = np.flatnonzero(kinds[first] == 1)
+    return tokens[first[places]], places, tokens[first[kinds[first] == 2]], tokens[longer[kinds[longer] == 2]]
+
+
+def fold(bitmap: bytes, n: int) -> bytes:
+    """A bitmap brought down to about a bit for each of ``n`` tokens."""
+    size = 1 << max(5, (n - 1).bit_length() - 3)
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size)).tobytes() if len(bitmap) > size else bitmap
+
+
+def bits_apart(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which one bitmap (of a power of two of bytes) differs from each of others, those folded to their common length."""
+    width = min(len(one), others.shape[1])
+    a = np.bitwise_xor.reduce(one.reshape(-1, width)) if len(one) > width else one
+    b = np.bitwise_xor.reduce(others.reshape(len(others), -1, width), axis=1) if others.shape[1] > width else others
+    return np.bitwise_count(b ^ a).sum(1, dtype=np.int64)
 
 
 def pair_keys(frequent: np.ndarray) -> np.ndarray:
@@ -126,45 +149,31 @@ class Join:
         return map_arrow(self.docs.select("text"), batchwise, schema)
 
     def sets(self) -> DataFrame:
-        """Document rows (key, hash, node, n) and, in the same table, tokens that are frequent within a batch (token, times)."""
+        """key, hash (of the text), node, n and bitmap of every document."""
         width = self.width
 
         def rows(batch):
-            nodes, sizes, all_sets, bitmaps = [], [], [], []
+            nodes, sizes, bitmaps = [], [], []
             for _, texts in chunks(column(batch, "text")):
                 for tokens in shingle_sets(texts, width):
                     nodes.append(node_of(tokens))
                     sizes.append(len(tokens))
                     bitmaps.append(parity(tokens))
-                    all_sets.append(tokens)
-            none = pa.nulls(len(nodes), pa.int64())
-            names = ["key", "hash", "node", "n", "bitmap", "token", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), none, none], names)
-            tokens, times = np.unique(np.concatenate(all_sets), return_counts=True) if all_sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times >= max(2, times.sum() // HEAVY)
-            k = int(often.sum())
-            empty = [pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names)
+            names = ["key", "hash", "node", "n", "bitmap"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary())], names)
 
         hashed = self.docs.select("key", "text", F.xxhash64("text").alias("hash"))
-        return write_shared(map_arrow(hashed, rows, f"key {self.kind}, hash long, {NODE}, bitmap binary, token long, times long"), "sets")
-
-    def heavy_tokens(self, sets: DataFrame, total: int) -> np.ndarray:
-        often = sets.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(20, total // HEAVY))
-        return np.sort(often.select("token").toArrow().column(0).to_numpy().view(np.uint64))  # at most HEAVY rows
-
-    def groups(self, heavy, total: int) -> DataFrame:
-        """Index rows: kind (0 rare token, 1 pair, 2 frequent token), token, node, n, pos (in the prefix), big."""
-        percent = self.percent
-        low = np.uint64((1 << 40) - 1)
+        return write_shared(map_arrow(hashed, rows, f"key {self.kind}, hash long, {NODE}, bitmap binary"), "sets")
 
+    def classes(self, total: int):
+        """Filters over the tokens met in two sets or more, and in ``FREQUENT`` or more."""
         parts = 256
-        while parts * PACKED * 2 < total:
+        while parts * PACKED < total:
             parts *= 2
         width = np.uint64(40 - (parts.bit_length() - 1))
 
         def pack(nodes, sets):
-            found = np.sort(np.concatenate([prefix(t, heavy.value, percent)[0] & low for t in sets])) if sets else np.zeros(0, np.uint64)
+            found = np.sort(np.concatenate([t & LOW for t in sets])) if sets else np.zeros(0, np.uint64)
             place = (found >> width).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
             # Byte by byte, so that the leading bytes of sorted tokens compress away.
@@ -176,32 +185,41 @@ class Join:
             for batch in batches:
                 for place, planes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if place not in held:
-                        yield from twice_in(held)
+                        yield from again_in(held)
                         held = {place: []}
                     wide = np.zeros((len(planes) // 5, 8), np.uint8)
                     wide[:, 3:] = np.frombuffer(planes, np.uint8).reshape(5, -1).T
                     held[place].append(wide.view(">u8").ravel().astype(np.uint64))
-            yield from twice_in(held)
+            yield from again_in(held)
 
-        def twice_in(held):
+        def again_in(held):
             for parts_ in held.values():
-                tokens = np.sort(np.concatenate(parts_))
-                again = np.unique(tokens[1:][tokens[1:] == tokens[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(mix(again).view(np.int64))], ["token"])
+                tokens, times = np.unique(np.concatenate(parts_), return_counts=True)
+                again = times > 1
+                yield pa.RecordBatch.from_arrays([pa.array(mix(tokens[again]).view(np.int64)), pa.array(times[again] >= FREQUENT)], ["token", "frequent"])
 
         packed = self.each(pack, "part int, planes binary").repartition("part").sortWithinPartitions("part")
-        twice = send(self.docs.sparkSession, bloom.build(map_partition(packed, count, "token long"), BITS))
+        again = write_shared(map_partition(packed, count, "token long, frequent boolean"), "tokens")
+        spark = self.docs.sparkSession
+        return send(spark, bloom.build(again.select("token"), BITS)), send(spark, bloom.build(again.filter("frequent").select("token"), BITS))
+
+    def groups(self, again, often) -> DataFrame:
+        """Index rows: kind (0 rare token, 1 pair, 2 frequent token), token, node, n, pos (in the prefix), big."""
+        percent = self.percent
 
         def index(nodes, sets):
             kinds, tokens, places, big, at = [], [], [], [], []
+            hashed = mix(np.concatenate(sets) & LOW) if sets else np.zeros(0, np.uint64)
+            met = bloom.contains(again.value, hashed)
+            every = met.astype(np.int8)
+            every[met] += bloom.contains(often.value, hashed[met])
+            ends = np.cumsum([len(t) for t in sets])
             for i, t in enumerate(sets):
-                rare, frequent, longer = prefix(t, heavy.value, percent)
-                again = np.flatnonzero(bloom.contains(twice.value, mix(rare & low))) if len(rare) else np.zeros(0, np.int64)
-                rare = rare[again]
+                rare, placed, frequent, longer = prefix(t, every[ends[i] - len(t) : ends[i]], percent)
                 many = len(longer) > MOST_FREQUENT
                 pairs = pair_keys(longer) if len(longer) > 1 and not many else np.zeros(0, np.uint64)
                 for kind, some in enumerate((rare, pairs, frequent)):
-                    at.append(again if kind == 0 else np.zeros(len(some), np.int64))
+                    at.append(placed if kind == 0 else np.zeros(len(some), np.int64))
                     tokens.append(some)
                     kinds.append(np.full(len(some), kind, np.int8))
                     places.append(np.full(len(some), i))
@@ -221,7 +239,6 @@ class Join:
         """Index rows of groups of two nodes or more, each with the least node of its group (a big one, for frequent tokens)."""
         rare = index.filter("kind = 0").repartition("token").sortWithinPartitions("token", "node")
 
-        # A rare token's group is at most one in HEAVY of all occurrences.
         def shared(batches):
             left = None
             for batch in batches:
@@ -308,47 +325,84 @@ class Join:
         room = F.least(n - pos, m - other)
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (n + m))
 
-    def open_pairs(self, labelled: DataFrame) -> DataFrame:
-        """Pairs of references (u, v) of rare tokens' groups whose members are in different components, each once."""
+    def open_pairs(self, labelled: DataFrame, bitmaps: DataFrame) -> DataFrame:
+        """Pairs of references (u, v) of groups whose members are in different components, those that no bound excludes, each once."""
         percent = self.percent
+        keys = ["kind", "token"]
+        open_groups = labelled.groupBy(*keys).agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("members")).filter("_a <> _b")
+        one = bitmaps.groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+        rows = labelled.join(open_groups.select(*keys, "members"), keys).join(one, "node")
+        # Members fall into blocks; every pair of blocks, a block with itself included, is worked through by one task.
+        blocks = F.ceil(F.col("members") / SIDE).cast("int")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select(
+            *keys,
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            "block", "n", "pos", "big", F.xxhash64("label").alias("label"), F.xxhash64("node").alias("ref"), "bitmap",
+        )
+
+        unit = [*keys, "low", "high"]
+
+        def starts(table) -> np.ndarray:
+            """Where units begin."""
+            new = np.zeros(max(0, len(table) - 1), bool)
+            for c in unit:
+                column_ = table.column(c).to_numpy()
+                new |= column_[1:] != column_[:-1]
+            return np.flatnonzero(np.concatenate([[True], new])) if len(table) else np.zeros(0, np.int64)
 
         def cross(batches):
             left, found = None, []
             for batch in batches:
                 table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
-                token = table.column("token").to_numpy()
-                cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+                cut = int(starts(table)[-1]) if len(table) else 0
                 found.append(pairs_in(table.slice(0, cut)))
                 left = table.slice(cut)
-                if sum(map(len, found)) > 4_000_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if len(found[0]) > 2_000_000:
-                        yield packed(found[0])
-                        found = []
+                if sum(map(len, found)) > 1_000_000:
+                    yield packed(np.unique(np.concatenate(found), axis=0))
+                    found = []
             if left is not None:
                 found.append(pairs_in(left))
             if found:
                 yield packed(np.unique(np.concatenate(found), axis=0))
 
         def pairs_in(table):
-            token = table.column("token").to_numpy()
-            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(token)))
-            ref, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("ref", "n", "pos"))
-            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(token) else ref
+            start = starts(table)
             out = [np.zeros((0, 2), np.int64)]
-            for a, s in zip(start.tolist(), size.tolist()):
-                # Row by row, so that a large group takes memory for one row of it.
-                for i in range(a, a + s - 1):
-                    others = slice(i + 1, a + s)
-                    m, total = n[others], n[others] + n[i]
-                    good = (label[others] != label[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
-                    good &= (100 + percent) * np.minimum(m - pos[others], n[i] - pos[i]) >= percent * total
-                    if good.any():
-                        v = ref[others][good]
-                        out.append(np.stack([np.minimum(v, ref[i]), np.maximum(v, ref[i])], 1))
+            for a, s in zip(start.tolist(), np.diff(np.append(start, len(table))).tolist()):
+                if s > 1:
+                    out += pairs_of(table.slice(a, s))
             return np.concatenate(out)
 
+        def pairs_of(part):
+            """Of the members of one unit, the pairs across components that every bound allows; sets of one bitmap length at a time."""
+            n, pos, label, ref, block = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "label", "ref", "block"))
+            big = part.column("big").to_numpy().astype(bool)
+            kind, low, high = (part.column(c)[0].as_py() for c in ("kind", "low", "high"))
+            maps = [np.frombuffer(fold(m, k), np.uint8) for m, k in zip(part.column("bitmap").to_pylist(), n.tolist())]
+            width = np.array([len(m) for m in maps])
+            by_width = {w: (np.flatnonzero(width == w), np.stack([maps[i] for i in np.flatnonzero(width == w)])) for w in np.unique(width).tolist()}
+            out = []
+            for i in range(len(n)):
+                if block[i] != low:
+                    continue  # of two blocks, those of the first against those of the second
+                for w, (others, stacked) in by_width.items():
+                    good = (label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+                    good &= (100 + percent) * np.minimum(n[others] - pos[others], n[i] - pos[i]) >= percent * (n[others] + n[i])
+                    good &= others > i if low == high else block[others] == high
+                    if kind == 2 and not big[i]:
+                        good &= big[others]  # the others meet by pairs of tokens
+                    some = np.flatnonzero(good)
+                    if not len(some):
+                        continue
+                    total = n[others[some]] + n[i]
+                    both = (total - bits_apart(maps[i], stacked[some])) // 2
+                    v = ref[others[some[100 * both >= percent * (total - both)]]]
+                    if len(v):
+                        out.append(np.stack([np.minimum(v, ref[i]), np.maximum(v, ref[i])], 1))
+            return out
+
         def packed(pairs):
             first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])) if len(pairs) else np.zeros(0, np.int64)
             ends = (np.append(first, len(pairs)) * 8).astype(np.int64)
@@ -371,16 +425,14 @@ class Join:
             v = np.unique(np.frombuffer(b"".join(held), np.int64))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), u)), pa.array(v)], ["u", "v"])
 
-        rows = labelled.filter("kind = 0").select("token", "n", "pos", "label", F.xxhash64("node").alias("ref"))
-        lists = map_partition(rows.repartition("token").sortWithinPartitions("token"), cross, "u long, many binary")
+        lists = map_partition(rows.repartition(*unit).sortWithinPartitions(*unit), cross, "u long, many binary")
         return map_partition(lists.repartition("u").sortWithinPartitions("u"), merge, "u long, v long")
 
     def labels(self, sets: DataFrame) -> DataFrame:
         """``node``, ``label`` of every node with a link to another one."""
         total = sets.agg(F.sum("n")).first()[0] or 0
-        heavy = self.heavy_tokens(sets, total)
         bitmaps = sets.filter("node is not null").select("node", "n", "bitmap")
-        groups = self.paired(self.groups(send(self.docs.sparkSession, heavy), total))
+        groups = self.paired(self.groups(*self.classes(total)))
 
         def ordered(a: str, b: str) -> list:
             return [F.least(F.xxhash64(a), F.xxhash64(b)).alias("u"), F.greatest(F.xxhash64(a), F.xxhash64(b)).alias("v")]
@@ -390,13 +442,7 @@ class Join:
         links = self.verified(star, bitmaps)
         labels = write_shared(connected_components(links), "labels")
         labelled = groups.select("kind", "token", "node", "n", "pos", "big").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        often = labelled.filter("kind > 0")
-        open_groups = often.groupBy("kind", "token").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("kind", "token")
-        rest = write_shared(often.join(open_groups, ["kind", "token"]), "open-groups")
-        a, b = rest.alias("a"), rest.alias("b")
-        apart = a.join(b, ["kind", "token"]).filter("a.node < b.node and a.label <> b.label and (kind < 2 or a.big or b.big)").filter(self.may_link("a.n", "b.n"))
-        more = self.open_pairs(labelled).union(apart.select(*ordered("a.node", "b.node")).distinct())
-        more = write_shared(more.distinct().join(star, ["u", "v"], "left_anti"), "open-pairs")
+        more = write_shared(self.open_pairs(labelled, bitmaps).join(star, ["u", "v"], "left_anti"), "open-pairs")
         found = self.verified(more, bitmaps)
         return write_shared(connected_components(links.union(found)), "labels")
 
@@ -406,7 +452,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     join = Join(docs, key, text, width, percent)
     sets = join.sets()
     labels = join.labels(sets)
-    rows = sets.filter("token is null").select("key", "hash", "node", F.col("n").cast("long").alias("n_shingles"))
+    rows = sets.select("key", "hash", "node", F.col("n").cast("long").alias("n_shingles"))
     worded = rows.filter("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = worded.groupBy("label").agg(F.min("key").alias("component_id"))
     joined = worded.join(least, "label").select("key", "hash", "n_shingles", "label", "component_id")
