@@ -20,7 +20,8 @@ only one of the two sets has.
 Those links make components. Groups whose members are in one component are done. In the others, members of different
 components are compared inside the task by sizes, places and bitmaps of a bit a token, which travel with
 them; only pairs that pass all three bounds are written (as 64-bit references, packed by their first half and each
-once per task) and verified. A large group is cut into blocks of ``SIDE`` members, and each pair of blocks is a unit
+once per task) and verified: first the few that would join a group's members, then, with the new components, all that
+are left between components. A large group is cut into blocks of ``SIDE`` members, and each pair of blocks is a unit
 of work of its own. A reference that two sets should share only adds pairs to verify.
 
 Cases: a null or empty text has an empty set, links with nothing and is its own component; fewer words than a
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import bloom
 from tallymark.llm.components import connected_components
-from tallymark.llm.vocabulary import send, write_shared
+from tallymark.llm.vocabulary import Scratch, send, write_shared
 from tallymark.llm.words import LOWER, WHITE, chunks, column, map_arrow, map_partition, mix, runs, split
 
 WIDTH, PERCENT = 5, 75
@@ -132,6 +133,7 @@ class Join:
     def __init__(self, docs: DataFrame, key: str, text: str, width: int, percent: int):
         self.docs, self.width, self.percent = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), width, percent
         self.kind = self.docs.schema["key"].dataType.simpleString()
+        self.scratch = Scratch(docs.sparkSession)
 
     def each(self, rows, schema: str) -> DataFrame:
         """``rows(nodes, sets)`` over the distinct sets of every batch."""
@@ -199,7 +201,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(mix(tokens[again]).view(np.int64)), pa.array(times[again] >= FREQUENT)], ["token", "frequent"])
 
         packed = self.each(pack, "part int, planes binary").repartition("part").sortWithinPartitions("part")
-        again = write_shared(map_partition(packed, count, "token long, frequent boolean"), "tokens")
+        again = self.scratch.write(map_partition(packed, count, "token long, frequent boolean"), "tokens")
         spark = self.docs.sparkSession
         return send(spark, bloom.build(again.select("token"), BITS)), send(spark, bloom.build(again.filter("frequent").select("token"), BITS))
 
@@ -233,7 +235,7 @@ class Join:
                 ["kind", "token", "node", "n", "pos", "big"],
             )
 
-        return write_shared(self.each(index, f"kind byte, token long, {NODE}, pos int, big boolean"), "index", compression="zstd")
+        return self.scratch.write(self.each(index, f"kind byte, token long, {NODE}, pos int, big boolean"), "index", compression="zstd")
 
     def paired(self, index: DataFrame) -> DataFrame:
         """Index rows of groups of two nodes or more, each with the least node of its group (a big one, for frequent tokens)."""
@@ -270,10 +272,13 @@ class Join:
         candidate = F.when((F.col("kind") == 1) | F.col("big"), F.struct("node", "n"))
         pivots = often.groupBy("kind", "token").agg(F.min(candidate).alias("_pivot"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_pivot is not null and _a <> _b")
         second = often.join(pivots, ["kind", "token"]).select("kind", "token", "node", "n", "pos", "big", F.col("_pivot.node").alias("pivot"), F.col("_pivot.n").alias("pivot_n"), F.lit(0).alias("pivot_pos"))
-        return write_shared(first.unionByName(second), "groups", compression="zstd")
+        return self.scratch.write(first.unionByName(second), "groups", compression="zstd")
 
     def verified(self, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-        """Of distinct pairs (u, v) of references, the pairs of nodes that link, by their whole sets; most others end at the bound from their bitmaps."""
+        """Of distinct pairs (u, v) of references, the pairs of nodes that link, by their whole sets; most others end at the bound from their bitmaps.
+
+        One text of each node in question is split into words again; a filter over the texts' hashes spares the others.
+        """
         percent = self.percent
         known = bitmaps.groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).withColumn("ref", F.xxhash64("node"))
         left, right = known.toDF("left", "n", "a", "u"), known.toDF("right", "m", "b", "v")
@@ -287,22 +292,23 @@ class Join:
             kept = batch.filter(pa.array(100 * both >= percent * (n + m - both), pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["u", "v"])
 
-        pairs = write_shared(map_arrow(near, possible, "u binary, v binary"), "pairs")
+        pairs = self.scratch.write(map_arrow(near, possible, "u binary, v binary"), "pairs")
 
-        def whole(some):
-            def rows(nodes, sets):
-                ref = np.array([int.from_bytes(x[:8], "little") for x in nodes], np.uint64)
-                keep = np.flatnonzero(bloom.contains(some.value, ref)).tolist() if nodes else []
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "tokens"])
+        width = self.width
 
-            return rows
+        def whole(batch):
+            for _, part in chunks_of(batch, bloom.contains(some.value, batch.column(1).to_numpy().view(np.uint64))):
+                sets = shingle_sets(part, width)
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"])
 
-        def reference(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in batch.column(0).to_pylist()], pa.int64())], ["ref"])
+        def chunks_of(batch, keep):
+            return chunks(column(batch.filter(pa.array(keep, pa.bool_())), "text"))
 
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        some = send(self.docs.sparkSession, bloom.build(map_arrow(wanted, reference, "ref long"), BITS))
-        sets = self.each(whole(some), "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        texts = wanted.join(bitmaps.select("node", "hash"), "node").groupBy("node").agg(F.min("hash").alias("hash")).select("hash")
+        some = send(self.docs.sparkSession, bloom.build(texts, BITS))
+        hashed = self.docs.select("text", F.xxhash64("text").alias("hash"))
+        sets = map_arrow(hashed, whole, "node binary, tokens binary").filter("node is not null").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
         def compare(batch):
             keep = []
@@ -316,7 +322,7 @@ class Join:
 
         left = pairs.join(sets.toDF("u", "left"), "u")
         both = left.join(sets.toDF("v", "right"), "v").select("u", "v", "left", "right")
-        return write_shared(map_arrow(both, compare, "u binary, v binary"), "links")
+        return self.scratch.write(map_arrow(both, compare, "u binary, v binary"), "links")
 
     def may_link(self, n: str, m: str, pos: str = "0", other: str = "0"):
         """Can sets of these sizes link, if the first token they share stands at these places?"""
@@ -325,8 +331,11 @@ class Join:
         room = F.least(n - pos, m - other)
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (n + m))
 
-    def open_pairs(self, labelled: DataFrame, bitmaps: DataFrame) -> DataFrame:
-        """Pairs of references (u, v) of groups whose members are in different components, those that no bound excludes, each once."""
+    def open_pairs(self, labelled: DataFrame, bitmaps: DataFrame, spanning: bool = False) -> DataFrame:
+        """Pairs of references (u, v) of groups whose members are in different components, those that no bound excludes, each once.
+
+        With ``spanning`` only as many of them as would join a unit's members if all linked, the most alike ones first.
+        """
         percent = self.percent
         keys = ["kind", "token"]
         open_groups = labelled.groupBy(*keys).agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("members")).filter("_a <> _b")
@@ -383,7 +392,7 @@ class Join:
             maps = [np.frombuffer(fold(m, k), np.uint8) for m, k in zip(part.column("bitmap").to_pylist(), n.tolist())]
             width = np.array([len(m) for m in maps])
             by_width = {w: (np.flatnonzero(width == w), np.stack([maps[i] for i in np.flatnonzero(width == w)])) for w in np.unique(width).tolist()}
-            out = []
+            out, joined = [], label.copy()
             for i in range(len(n)):
                 if block[i] != low:
                     continue  # of two blocks, those of the first against those of the second
@@ -396,9 +405,19 @@ class Join:
                     some = np.flatnonzero(good)
                     if not len(some):
                         continue
+                    if spanning:
+                        some = some[joined[others[some]] != joined[i]]
                     total = n[others[some]] + n[i]
                     both = (total - bits_apart(maps[i], stacked[some])) // 2
-                    v = ref[others[some[100 * both >= percent * (total - both)]]]
+                    fits = 100 * both >= percent * (total - both)
+                    partners = others[some[fits]]
+                    if spanning and len(partners):
+                        # One partner for each other component, the most alike; they count as joined from here on.
+                        by_likeness = np.argsort(-(both[fits] / (total[fits] - both[fits])), kind="stable")
+                        partners = partners[by_likeness]
+                        partners = partners[np.sort(np.unique(joined[partners], return_index=True)[1])]
+                        joined[np.isin(joined, joined[partners])] = joined[i]
+                    v = ref[partners]
                     if len(v):
                         out.append(np.stack([np.minimum(v, ref[i]), np.maximum(v, ref[i])], 1))
             return out
@@ -431,20 +450,28 @@ class Join:
     def labels(self, sets: DataFrame) -> DataFrame:
         """``node``, ``label`` of every node with a link to another one."""
         total = sets.agg(F.sum("n")).first()[0] or 0
-        bitmaps = sets.filter("node is not null").select("node", "n", "bitmap")
+        bitmaps = sets.filter("node is not null").select("node", "n", "bitmap", "hash")
         groups = self.paired(self.groups(*self.classes(total)))
 
         def ordered(a: str, b: str) -> list:
             return [F.least(F.xxhash64(a), F.xxhash64(b)).alias("u"), F.greatest(F.xxhash64(a), F.xxhash64(b)).alias("v")]
 
         star = groups.filter("node <> pivot").filter(self.may_link("n", "pivot_n", "pos", "pivot_pos")).select(*ordered("node", "pivot")).distinct()
-        star = write_shared(star, "star")
+        star = self.scratch.write(star, "star")
         links = self.verified(star, bitmaps)
-        labels = write_shared(connected_components(links), "labels")
-        labelled = groups.select("kind", "token", "node", "n", "pos", "big").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = write_shared(self.open_pairs(labelled, bitmaps).join(star, ["u", "v"], "left_anti"), "open-pairs")
-        found = self.verified(more, bitmaps)
-        return write_shared(connected_components(links.union(found)), "labels")
+        labels = self.scratch.write(connected_components(links, self.scratch.write), "labels")
+        tried = star
+        # Pairs that would join the members of open groups, then all that are left between components.
+        for spanning in (True, False):
+            labelled = groups.select("kind", "token", "node", "n", "pos", "big").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            more = self.scratch.write(self.open_pairs(labelled, bitmaps, spanning).join(tried, ["u", "v"], "left_anti"), "open-pairs")
+            found = self.verified(more, bitmaps)
+            known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            labels = connected_components(known.union(found), self.scratch.write)
+            labels = self.scratch.write(labels, "labels") if spanning else write_shared(labels, "labels")
+            tried = tried.union(more)
+        self.scratch.drop()
+        return labels
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

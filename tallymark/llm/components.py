@@ -14,19 +14,19 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, write=write_shared) -> DataFrame:
     """``node``, ``label`` (the least node of its component) for every node of the edges ``u``, ``v``.
 
-    The number of rounds grows with the logarithm of the longest path; hubs are joins that Spark can split.
+    ``write`` stores the table of each round. The number of rounds grows with the logarithm of the longest path; hubs are joins that Spark can split.
     """
-    stars = write_shared(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    stars = write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     seen = None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = _least_neighbour(large)
         small = down.select("v", "m").union(down.select("u", "m")).toDF("u", "v").filter("u <> v").distinct()
-        stars = write_shared(small, "stars")
+        stars = write(small, "stars")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

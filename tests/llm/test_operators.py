@@ -246,9 +246,10 @@ def near_copies(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("heavy, most", [(200_000, 24), (60, 24), (60, 0), (200, 400)])
-def test_jaccard_join(spark, heavy, most, monkeypatch):
-    monkeypatch.setattr(combination_join, "HEAVY", heavy)
+@pytest.mark.parametrize("frequent, most, side", [(16, 24, 2000), (2, 24, 3), (2, 0, 2), (3, 400, 5)])
+def test_jaccard_join(spark, frequent, most, side, monkeypatch):
+    monkeypatch.setattr(combination_join, "FREQUENT", frequent)
+    monkeypatch.setattr(combination_join, "SIDE", side)
     monkeypatch.setattr(combination_join, "MOST_FREQUENT", most)
     docs = near_copies(spark)
     check(combination_join.near_duplicate_classes(docs).select("doc_id", "n_shingles", "component_id"), brute_classes(pairs(docs)))
@@ -268,8 +269,9 @@ def test_jaccard_join_cases(docs):
 def test_jaccard_bounds_of_large_sets(spark, n):
     join = combination_join.Join(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 5, 75)
     rows = [(0, 1, b"a", n, 0, b"a"), (0, 1, b"b", n - n // 10, 5, b"b"), (0, 1, b"c", n // 2, 0, b"c"), (0, 1, b"d", n, n // 2, b"d")]
-    labelled = spark.createDataFrame(rows, "kind int, token long, node binary, n int, pos int, label binary")
-    assert join.open_pairs(labelled).count() == 1
+    labelled = spark.createDataFrame([(*r, False) for r in rows], "kind int, token long, node binary, n int, pos int, label binary, big boolean")
+    bitmaps = spark.createDataFrame([(r[2], r[3], bytes(64)) for r in rows], "node binary, n int, bitmap binary")
+    assert join.open_pairs(labelled, bitmaps).count() == 1
     sizes = spark.createDataFrame([(n, n - n // 10, 0, 5), (n, n // 2, 0, 0), (n, n, 0, n // 2)], "n int, m int, pos int, other int")
     assert [r[0] for r in sizes.select(join.may_link("n", "m", "pos", "other")).collect()] == [True, False, False]
 
