@@ -407,6 +407,8 @@ class Join:
                         continue
                     if spanning:
                         some = some[joined[others[some]] != joined[i]]
+                        if not len(some):
+                            continue
                     total = n[others[some]] + n[i]
                     both = (total - bits_apart(maps[i], stacked[some])) // 2
                     fits = 100 * both >= percent * (total - both)
