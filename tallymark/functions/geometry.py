@@ -25,3 +25,15 @@ def iou(a: Column, b: Column) -> Column:
 
 def cell(value: Column, size: int) -> Column:
     return F.floor(value / size).cast("long")
+
+
+def edges(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A box by its edges, so that boxes unite by least and greatest."""
+    return F.struct(x.alias("x"), y.alias("y"), (x + w).alias("x2"), (y + h).alias("y2"))
+
+
+def union_of(a: Column, b: Column) -> Column:
+    """The least box, by edges, that holds both."""
+    return F.struct(
+        F.least(a.x, b.x).alias("x"), F.least(a.y, b.y).alias("y"), F.greatest(a.x2, b.x2).alias("x2"), F.greatest(a.y2, b.y2).alias("y2")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.geometry import edges, union_of
 from tallymark.operators.geo import declaration, infer_country, let
 from tallymark.operators.rules import SLASHED_DATE
 from tallymark.operators.tokens import CHAIN, SINGLES, find_anchors, near_tokens, text_pools
@@ -14,6 +15,7 @@ ACCEPT = 0.80
 KEEP = 0.30
 MERGE_FLOOR = 0.60
 INFERRED_FLOOR = 0.92
+BOX = "struct<x:double,y:double,x2:double,y2:double>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -87,30 +89,32 @@ def anchored_values(tokens: DataFrame) -> DataFrame:
     """Best value per heading: its own text when that is good enough, else text near it.
 
     Tried in order: heading with each of the five nearest blocks, each of those alone, then the
-    heading with the four nearest joined. A later try must score higher to win.
+    heading with the four nearest joined. A later try must score higher to win. ``box`` is the least box around
+    the blocks that the winning text is made of.
     """
     keys = ["scan_id", "token_id", "field_name", "anchor_order"]
     near = near_tokens(find_anchors(tokens), tokens, SINGLES, "left")
-    neighbour = F.when(F.col("near_id").isNotNull(), F.struct("near_rank", F.col("near_text").alias("text")))
+    neighbour = F.when(F.col("near_id").isNotNull(), F.struct("near_rank", F.col("near_text").alias("text"), F.col("near_box").alias("box")))
     joined = near.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(neighbour)).alias("_near"), F.first("text").alias("text"), F.first("ratio").alias("ratio")
+        F.array_sort(F.collect_list(neighbour)).alias("_near"), F.first("text").alias("text"), F.first("ratio").alias("ratio"), F.first("own_box").alias("box")
     )
-    own = F.col("text")
+    own, own_box = F.col("text"), F.col("box")
     tries = F.flatten(
         F.transform(
             "_near",
             lambda n: F.array(
-                F.struct((n.near_rank * 2 - 1).alias("step"), F.trim(F.concat_ws(" ", own, n.text)).alias("text")),
-                F.struct((n.near_rank * 2).alias("step"), n.text.alias("text")),
+                F.struct((n.near_rank * 2 - 1).alias("step"), F.trim(F.concat_ws(" ", own, n.text)).alias("text"), union_of(own_box, n.box).alias("box")),
+                F.struct((n.near_rank * 2).alias("step"), n.text.alias("text"), n.box.alias("box")),
             ),
         )
     )
     chained = F.array_join(F.transform(F.slice("_near", 1, CHAIN), lambda n: n.text), " ")
+    around = F.aggregate(F.slice("_near", 1, CHAIN), own_box, lambda a, n: union_of(a, n.box))
     chain = F.when(
         F.size("_near") > 0,
-        F.array(F.struct(F.lit(2 * SINGLES + 1).alias("step"), F.trim(F.concat_ws(" ", own, chained)).alias("text"))),
-    ).otherwise(F.array().cast("array<struct<step:int,text:string>>"))
-    start = F.array(F.struct(F.lit(0).alias("step"), own.alias("text")))
+        F.array(F.struct(F.lit(2 * SINGLES + 1).alias("step"), F.trim(F.concat_ws(" ", own, chained)).alias("text"), around.alias("box"))),
+    ).otherwise(F.array().cast(f"array<struct<step:int,text:string,box:{BOX}>>"))
+    start = F.array(F.struct(F.lit(0).alias("step"), own.alias("text"), own_box.alias("box")))
     options = joined.withColumn("_option", F.explode_outer(F.concat(start, tries, chain)))
     scored = options.withColumn(
         "_score", by_field(F.col("field_name"), lambda f: score(f, F.col("_option.text")))
@@ -118,8 +122,9 @@ def anchored_values(tokens: DataFrame) -> DataFrame:
     inline = F.col("_option.step") == 0
     best = scored.groupBy(*keys).agg(
         F.max(F.when(inline, F.col("_score"))).alias("_inline"),
-        F.max(F.struct(F.col("_score"), (-F.col("_option.step")).alias("minus_step"), F.col("_option.text").alias("text"))).alias("_best"),
+        F.max(F.struct(F.col("_score"), (-F.col("_option.step")).alias("minus_step"), F.col("_option.text").alias("text"), F.col("_option.box").alias("box"))).alias("_best"),
         F.first("text").alias("_own"),
+        F.first("box").alias("_own_box"),
         F.first("ratio").alias("ratio"),
     )
     settled = F.col("_inline") >= ACCEPT
@@ -128,6 +133,7 @@ def anchored_values(tokens: DataFrame) -> DataFrame:
     return best.select(
         *keys,
         value.alias("value_text"),
+        F.when(settled, F.col("_own_box")).otherwise(F.col("_best.box")).alias("box"),
         F.round(F.least(F.lit(1.0), confidence * (0.85 + 0.15 * F.col("ratio"))), 9).alias("conf"),
     ).where(F.col("conf") > 0)
 
@@ -139,15 +145,15 @@ def _field_rows(tokens: DataFrame) -> DataFrame:
     are enough to find the best free one: the trim is exact.
     """
     keys = ["scan_id", "field_name"]
-    order = F.struct(F.col("conf"), (-F.col("token_id")).alias("minus_token"), (-F.col("anchor_order")).alias("minus_order"), "value_text")
+    order = F.struct(F.col("conf"), (-F.col("token_id")).alias("minus_token"), (-F.col("anchor_order")).alias("minus_order"), "value_text", "box")
     anchored = anchored_values(tokens).groupBy(*keys).agg(F.max(order).alias("a"))
     window = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "token_id")
     ranked = (
-        score_tokens(tokens.select("scan_id", "token_id", "text"))
+        score_tokens(tokens.select("scan_id", "token_id", "text", edges(*[F.col(c) for c in "xywh"]).alias("box")))
         .withColumn("rank", F.row_number().over(window))
         .where(F.col("rank") <= len(L.FIELDS))
     )
-    fallback = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "token_id", "text"))).alias("c"))
+    fallback = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "score", "token_id", "text", "box"))).alias("c"))
     return anchored.join(fallback, keys, "full").select(*keys, F.struct("a", "c").alias("r"))
 
 
@@ -165,12 +171,12 @@ def _picked(tokens: DataFrame) -> DataFrame:
         row, claimed = F.col(f"r_{field}"), F.col("claimed")
         anchored = F.when(
             row.a.isNotNull(),
-            F.struct(row.a.conf.alias("conf"), row.a.value_text.alias("text"), (-row.a.minus_token).alias("token_id")),
+            F.struct(row.a.conf.alias("conf"), row.a.value_text.alias("text"), (-row.a.minus_token).alias("token_id"), row.a.box.alias("box")),
         )
         free = F.try_element_at(F.filter(row.c, lambda c: ~F.array_contains(claimed, c.token_id)), F.lit(1))
         fallback = F.when(
             (F.coalesce(row.a.conf, F.lit(0.0)) < ACCEPT) & (free.score > F.coalesce(row.a.conf, F.lit(0.0))),
-            F.struct(free.score.alias("conf"), free.text.alias("text"), free.token_id.alias("token_id")),
+            F.struct(free.score.alias("conf"), free.text.alias("text"), free.token_id.alias("token_id"), free.box.alias("box")),
         )
         wide = wide.withColumn(f"p_{field}", F.coalesce(fallback, anchored))
         picked = F.col(f"p_{field}")
@@ -185,6 +191,7 @@ def _picked(tokens: DataFrame) -> DataFrame:
             F.round(picked.conf, 4).alias("confidence"),
             picked.token_id.alias("token_id"),
             (picked.conf >= ACCEPT).alias("accepted"),
+            picked.box.alias("box"),
         )
         return F.when(F.round(picked.conf, 4) >= KEEP, kept)
 
@@ -199,7 +206,7 @@ def _picked(tokens: DataFrame) -> DataFrame:
 
 
 def _rows(wide: DataFrame) -> DataFrame:
-    parts = ("extracted_value", "confidence", "token_id", "accepted")
+    parts = ("extracted_value", "confidence", "token_id", "accepted", "box")
     listed = F.array(
         *[F.struct(F.lit(f).alias("field_name"), *[F.col(f"v_{f}.{p}").alias(p) for p in parts]) for f in L.FIELDS]
     )
@@ -207,7 +214,7 @@ def _rows(wide: DataFrame) -> DataFrame:
 
 
 def classify(tokens: DataFrame) -> DataFrame:
-    """Long result: scan_id, field_name, extracted_value, confidence, token_id, accepted."""
+    """Long result: scan_id, field_name, extracted_value, confidence, token_id, accepted, box."""
     return _rows(_picked(tokens))
 
 
@@ -229,6 +236,7 @@ def settled_labels(tokens: DataFrame) -> DataFrame:
                 F.greatest(F.lit(INFERRED_FLOOR), g.confidence).alias("confidence"),
                 F.lit(None).cast("long").alias("token_id"),
                 F.lit(True).alias("accepted"),
+                F.lit(None).cast(BOX).alias("box"),
             ),
         ),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.codes import batch_code
-from tallymark.functions.geometry import box, cell, distance, iou
+from tallymark.functions.geometry import box, cell, distance, edges, iou
 from tallymark.operators.matching import choose_in_turn
 from tallymark.rules.lexicon import ANCHORS, PROMO_QUANTITY
 
@@ -254,8 +254,9 @@ def near_tokens(anchors: DataFrame, tokens: DataFrame, keep: int = SINGLES, how:
     ``how='left'`` headings without neighbours stay, with near_id null.
     """
     around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    box_of = edges(*[F.col(c) for c in "xywh"])
     left = (
-        anchors.select("scan_id", "token_id", "field_name", "anchor_order", "ratio", "text", "cx", "cy", "w", "h", "confidence")
+        anchors.select("scan_id", "token_id", "field_name", "anchor_order", "ratio", "text", "cx", "cy", "w", "h", "confidence", box_of.alias("own_box"))
         .withColumn("_gx", F.explode(F.transform(around, lambda d: cell(F.col("cx"), RADIUS) + d)))
         .withColumn("_gy", F.explode(F.transform(around, lambda d: cell(F.col("cy"), RADIUS) + d)))
         .alias("l")
@@ -264,6 +265,7 @@ def near_tokens(anchors: DataFrame, tokens: DataFrame, keep: int = SINGLES, how:
         "scan_id",
         F.col("token_id").alias("near_id"),
         F.col("text").alias("near_text"),
+        box_of.alias("near_box"),
         F.col("cx").alias("_nx"),
         F.col("cy").alias("_ny"),
         cell(F.col("cx"), RADIUS).alias("_gx"),
@@ -278,9 +280,10 @@ def near_tokens(anchors: DataFrame, tokens: DataFrame, keep: int = SINGLES, how:
     pairs = (
         left.join(right, [*same_cell, close], how)
         .select(
-            *[F.col(f"l.{c}").alias(c) for c in ("scan_id", "token_id", "field_name", "anchor_order", "ratio", "text", "confidence")],
+            *[F.col(f"l.{c}").alias(c) for c in ("scan_id", "token_id", "field_name", "anchor_order", "ratio", "text", "confidence", "own_box")],
             "near_id",
             "near_text",
+            "near_box",
             F.round(F.when(to_right, far).otherwise(far * 1.25), 6).alias("eff_dist"),
             F.when(to_right, "right").when(F.col("near_id").isNotNull(), "below").alias("direction"),
         )

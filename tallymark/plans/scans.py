@@ -15,8 +15,8 @@ from tallymark.sources.fixtures import Tables
 
 OWN_VIEWS = {
     **CLASS_VIEWS,
-    "e_read": """SELECT d.scan_id, d.field_name, trim(d.extracted_value) AS extracted_value, 'ocr_proximity' AS extraction_method, CAST(d.confidence AS DOUBLE) AS confidence, k.h
-      FROM e_final d LEFT JOIN e_tokens k ON k.scan_id = d.scan_id AND k.token_id = d.token_id WHERE d.accepted""",
+    "e_read": """SELECT d.scan_id, d.field_name, trim(d.extracted_value) AS extracted_value, 'ocr_proximity' AS extraction_method, CAST(d.confidence AS DOUBLE) AS confidence, CAST(d.y2 - d.y AS DOUBLE) AS h
+      FROM e_final d WHERE d.accepted""",
 }
 # The label views once more, over the fields that were read; the origin is settled already.
 READ_VIEWS = {f"{name}3": re.sub(r"\b(e_\w+)\b", r"\g<1>3", body).replace("v_fields", "e_read") for name, body in LABEL_VIEWS.items() if name not in ("e_place", "e_origin", "e_val")}
@@ -27,11 +27,16 @@ SCAN_VIEWS = {**OWN_VIEWS, **READ_VIEWS}
 
 
 def read_fields(t: Tables) -> DataFrame:
-    """Accepted fields of every label with the height of the block that each was read from."""
-    blocks = tokens(t)
-    found = classify.classify_labels(blocks).where("accepted").select("scan_id", "field_name", "token_id", F.trim("extracted_value").alias("extracted_value"), "confidence")
-    heights = blocks.select("scan_id", "token_id", "h")
-    return found.join(heights, ["scan_id", "token_id"], "left").withColumn("extraction_method", F.lit("ocr_proximity")).drop("token_id")
+    """Accepted fields of every label with the height of the box around the blocks that each was read from."""
+    found = classify.classify_labels(tokens(t)).where("accepted")
+    return found.select(
+        "scan_id",
+        "field_name",
+        F.trim("extracted_value").alias("extracted_value"),
+        "confidence",
+        (F.col("box.y2") - F.col("box.y")).alias("h"),
+        F.lit("ocr_proximity").alias("extraction_method"),
+    )
 
 
 def scanned(t: Tables) -> DataFrame:

@@ -111,7 +111,7 @@ ANCHOR_VIEWS = {
         QUALIFY row_number() OVER (PARTITION BY scan_id, token_id, field_name ORDER BY ratio DESC, i) = 1
       UNION ALL SELECT scan_id, token_id, 'net_quantity', 0, 'FOR', 1.0 FROM e_tokens WHERE regexp_matches(upper(text), {quoted(L.PROMO_QUANTITY)})""",
     "e_near": """SELECT *, row_number() OVER (PARTITION BY scan_id, token_id, field_name, anchor_order ORDER BY eff_dist, near_id) AS near_rank FROM (
-        SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, n.token_id AS near_id, n.text AS near_text,
+        SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, n.token_id AS near_id, n.text AS near_text, n.x AS nx, n.y AS ny, n.x + n.w AS nx2, n.y + n.h AS ny2,
           round(CASE WHEN n.cx > t.cx AND abs(n.cy - t.cy) <= greatest(1.3 * t.h, 30) THEN 1.0 ELSE 1.25 END * sqrt((n.cx - t.cx) ** 2 + (n.cy - t.cy) ** 2), 6) AS eff_dist,
           CASE WHEN n.cx > t.cx AND abs(n.cy - t.cy) <= greatest(1.3 * t.h, 30) THEN 'right' ELSE 'below' END AS direction
         FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id) JOIN e_tokens n ON n.scan_id = a.scan_id AND n.token_id <> a.token_id
@@ -239,16 +239,17 @@ def by_field(build) -> str:
 CLASS_VIEWS = {
     **ANCHOR_VIEWS,
     "e_tscore": "SELECT * FROM ("
-    + " UNION ALL ".join(f"SELECT scan_id, token_id, text, '{f}' AS field_name, {score_sql(f, 'text')} AS score FROM e_tokens" for f in L.FIELDS)
+    + " UNION ALL ".join(f"SELECT scan_id, token_id, text, '{f}' AS field_name, {score_sql(f, 'text')} AS score, x, y, x + w AS x2, y + h AS y2 FROM e_tokens" for f in L.FIELDS)
     + ") WHERE score > 0",
-    "e_options": """SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, 0 AS step, t.text FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id)
-      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, n.near_rank * 2 - 1, t.text || ' ' || n.near_text FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id)
-        JOIN e_near n USING (scan_id, token_id, field_name, anchor_order) WHERE n.near_rank <= 5
-      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, n.near_rank * 2, n.near_text FROM e_anchor a JOIN e_near n USING (scan_id, token_id, field_name, anchor_order) WHERE n.near_rank <= 5
-      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, 11, t.text || ' ' || c.chained FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id)
-        JOIN (SELECT scan_id, token_id, field_name, anchor_order, string_agg(near_text, ' ' ORDER BY near_rank) AS chained FROM e_near WHERE near_rank <= 4 GROUP BY 1, 2, 3, 4) c USING (scan_id, token_id, field_name, anchor_order)""",
+    "e_options": """SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, 0 AS step, t.text, t.x, t.y, t.x + t.w AS x2, t.y + t.h AS y2 FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id)
+      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, n.near_rank * 2 - 1, t.text || ' ' || n.near_text, least(t.x, nx), least(t.y, ny), greatest(t.x + t.w, nx2), greatest(t.y + t.h, ny2)
+        FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id) JOIN e_near n USING (scan_id, token_id, field_name, anchor_order) WHERE n.near_rank <= 5
+      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, n.near_rank * 2, n.near_text, nx, ny, nx2, ny2 FROM e_anchor a JOIN e_near n USING (scan_id, token_id, field_name, anchor_order) WHERE n.near_rank <= 5
+      UNION ALL SELECT a.scan_id, a.token_id, a.field_name, a.anchor_order, a.ratio, 11, t.text || ' ' || c.chained, least(t.x, c.nx), least(t.y, c.ny), greatest(t.x + t.w, c.nx2), greatest(t.y + t.h, c.ny2) FROM e_anchor a JOIN e_tokens t USING (scan_id, token_id)
+        JOIN (SELECT scan_id, token_id, field_name, anchor_order, string_agg(near_text, ' ' ORDER BY near_rank) AS chained, min(nx) AS nx, min(ny) AS ny, max(nx2) AS nx2, max(ny2) AS ny2
+          FROM e_near WHERE near_rank <= 4 GROUP BY 1, 2, 3, 4) c USING (scan_id, token_id, field_name, anchor_order)""",
     "e_oscore": f"SELECT *, {by_field(lambda f: score_sql(f, 'text'))} AS score FROM e_options",
-    "e_avalue": """SELECT scan_id, token_id, field_name, anchor_order, text, round(least(1.0, score * (0.85 + 0.15 * ratio)), 9) AS conf FROM e_oscore
+    "e_avalue": """SELECT scan_id, token_id, field_name, anchor_order, text, x, y, x2, y2, round(least(1.0, score * (0.85 + 0.15 * ratio)), 9) AS conf FROM e_oscore
       QUALIFY row_number() OVER (PARTITION BY scan_id, token_id, field_name, anchor_order ORDER BY (step = 0 AND score >= 0.80) DESC, score DESC, step) = 1""",
     "e_abest": "SELECT * FROM e_avalue WHERE conf > 0 QUALIFY row_number() OVER (PARTITION BY scan_id, field_name ORDER BY conf DESC, token_id, anchor_order) = 1",
     "e_ids": "SELECT DISTINCT scan_id FROM e_tokens",
@@ -261,14 +262,14 @@ for _i, _f in enumerate(L.FIELDS):
     _use = "coalesce(a.conf, 0) < 0.80 AND f.score > coalesce(a.conf, 0)"
     CLASS_VIEWS[f"e_pick{_i}"] = (
         f"SELECT i.scan_id, '{_f}' AS field_name, CASE WHEN {_use} THEN f.score ELSE a.conf END AS conf, CASE WHEN {_use} THEN f.text ELSE a.text END AS text, "
-        f"CASE WHEN {_use} THEN f.token_id ELSE a.token_id END AS token_id FROM e_ids i LEFT JOIN (SELECT * FROM e_abest WHERE field_name = '{_f}') a USING (scan_id) LEFT JOIN e_free{_i} f USING (scan_id)"
+        f"CASE WHEN {_use} THEN f.token_id ELSE a.token_id END AS token_id, " + ", ".join(f"CASE WHEN {_use} THEN f.{c} ELSE a.{c} END AS {c}" for c in ("x", "y", "x2", "y2")) + f" FROM e_ids i LEFT JOIN (SELECT * FROM e_abest WHERE field_name = '{_f}') a USING (scan_id) LEFT JOIN e_free{_i} f USING (scan_id)"
     )
     CLASS_VIEWS[f"e_claim{_i}"] = f"SELECT scan_id, token_id FROM e_pick{_i} WHERE conf >= 0.80" + (
         f" UNION ALL SELECT scan_id, token_id FROM e_claim{_i - 1}" if _i else ""
     )
 CLASS_VIEWS["e_picked"] = " UNION ALL ".join(f"SELECT * FROM e_pick{i}" for i in range(len(L.FIELDS)))
 CLASS_VIEWS["e_class"] = (
-    f"SELECT scan_id, field_name, token_id, round(conf, 4) AS confidence, conf >= 0.80 AS accepted, {by_field(lambda f: clean_sql(f, 'text'))} AS extracted_value "
+    f"SELECT scan_id, field_name, token_id, round(conf, 4) AS confidence, conf >= 0.80 AS accepted, {by_field(lambda f: clean_sql(f, 'text'))} AS extracted_value, x, y, x2, y2 "
     "FROM e_picked WHERE round(conf, 4) >= 0.30"
 )
 _DAY = r"nullif(regexp_extract(extracted_value, '(\d{1,2}[/\.-]\d{1,2}[/\.-]\d{2,4})', 1), '')"
@@ -277,9 +278,19 @@ CLASS_VIEWS["e_dated"] = f"""SELECT * FROM e_class c WHERE NOT (field_name = 'ex
 CLASS_VIEWS["e_lack"] = """SELECT scan_id, string_agg(text, chr(10) ORDER BY token_id) AS pool, (SELECT max(extracted_value) FROM e_dated d WHERE d.scan_id = t.scan_id AND d.field_name = 'manufacturer_name_address' AND d.accepted) AS maker
     FROM e_tokens t WHERE NOT EXISTS (SELECT 1 FROM e_dated d WHERE d.scan_id = t.scan_id AND d.field_name = 'country_of_origin' AND d.accepted) GROUP BY 1"""
 CLASS_VIEWS["e_inferred"] = f"SELECT scan_id, coalesce({origin_sql('maker')}, {origin_sql('pool')}) AS g FROM e_lack"
-CLASS_VIEWS["e_final"] = """SELECT scan_id, field_name, token_id, confidence, accepted, extracted_value FROM e_dated d WHERE NOT (field_name = 'country_of_origin' AND NOT accepted
+CLASS_VIEWS["e_final"] = """SELECT scan_id, field_name, token_id, confidence, accepted, extracted_value, x, y, x2, y2 FROM e_dated d WHERE NOT (field_name = 'country_of_origin' AND NOT accepted
       AND EXISTS (SELECT 1 FROM e_inferred i WHERE i.scan_id = d.scan_id AND g IS NOT NULL))
-    UNION ALL SELECT scan_id, 'country_of_origin', NULL, greatest(0.92, CAST(split_part(g, '|', 3) AS DOUBLE)), true, 'Country of Origin: ' || split_part(g, '|', 1) FROM e_inferred WHERE g IS NOT NULL"""
+    UNION ALL SELECT scan_id, 'country_of_origin', NULL, greatest(0.92, CAST(split_part(g, '|', 3) AS DOUBLE)), true, 'Country of Origin: ' || split_part(g, '|', 1), NULL, NULL, NULL, NULL FROM e_inferred WHERE g IS NOT NULL"""
+
+
+@query(
+    "value_boxes",
+    """SELECT scan_id, field_name, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(x2 - x AS DOUBLE) AS w, CAST(y2 - y AS DOUBLE) AS h FROM e_final WHERE accepted""",
+    CLASS_VIEWS,
+)
+def value_boxes(t: Tables) -> DataFrame:
+    done = C.classify_labels(tokens(t)).where("accepted")
+    return done.select("scan_id", "field_name", "box.x", "box.y", (F.col("box.x2") - F.col("box.x")).alias("w"), (F.col("box.y2") - F.col("box.y")).alias("h"))
 
 
 @query("token_scores", "SELECT scan_id, token_id, field_name, score FROM e_tscore", CLASS_VIEWS)
@@ -303,7 +314,7 @@ def token_clean_values(t: Tables) -> DataFrame:
     CLASS_VIEWS,
 )
 def classified_fields(t: Tables) -> DataFrame:
-    return C.classify(tokens(t))
+    return C.classify(tokens(t)).drop("box")
 
 
 @query(

@@ -39,6 +39,20 @@ def classified(spark, *blocks):
     return got
 
 
+def test_value_box_holds_the_blocks_of_the_value(spark):
+    inline = [("MRP Rs. 45.00", 10, 10, 90, 21), ("w", 400, 400, 9, 9)]
+    two = [("MRP", 10, 10, 40, 20), ("45.00 incl.", 60, 4, 80, 30), ("far 1.00", 900, 900, 9, 9)]
+    alone = [("Net Wt", 10, 10, 60, 20), ("500 g", 80, 12, 50, 16)]
+    below = [("MRP", 10, 10, 40, 20), ("Rs. 45.00", 12, 45, 80, 18)]
+    free = [("made of 1 thing", 5, 5, 50, 12), ("www.brand.in", 7, 300, 70, 13)]
+    got = {(r.scan_id, r.field_name): (r.extracted_value, tuple(r.box)) for r in C.classify(labels(spark, inline, two, alone, below, free)).collect() if r.accepted}
+    assert got[0, "mrp"][1] == (10.0, 10.0, 100.0, 31.0)
+    assert got[1, "mrp"][1] == (10.0, 4.0, 140.0, 34.0)  # heading and value
+    assert got[2, "net_quantity"][1] in ((10.0, 10.0, 130.0, 30.0), (80.0, 12.0, 130.0, 28.0))
+    assert got[3, "mrp"][1][3] == 63.0
+    assert got[4, "consumer_care_details"][1] == (7.0, 300.0, 77.0, 313.0)  # no heading
+
+
 def test_samples_score_best_for_their_field(spark):
     df = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(SAMPLES)], "i long, f string, text string")
     scored = df.select("i", "f", "text", *[C.score(f, F.col("text")).alias(f) for f in FIELDS]).collect()
