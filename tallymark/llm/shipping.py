@@ -21,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(tallymark.__file__)))
     with tempfile.TemporaryDirectory() as folder:
         shutil.copytree(os.path.join(root, "tallymark"), os.path.join(folder, "source", "tallymark"), ignore=shutil.ignore_patterns("__pycache__"))
-        # Spark keeps a copy of its own of what it is handed.
-        context.addPyFile(shutil.make_archive(os.path.join(folder, "tallymark"), "zip", os.path.join(folder, "source")))
+        # The driver serves the file from here as long as the application runs.
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tallymark"), "zip", os.path.join(folder, "source"))
+    context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
