@@ -203,7 +203,9 @@ class Join:
         packed = self.each(pack, "part int, planes binary").repartition("part").sortWithinPartitions("part")
         again = self.scratch.write(map_partition(packed, count, "token long, frequent boolean"), "tokens")
         spark = self.docs.sparkSession
-        return send(spark, bloom.build(again.select("token"), BITS)), send(spark, bloom.build(again.filter("frequent").select("token"), BITS))
+        filters = [send(spark, bloom.build(some.select("token"), BITS)) for some in (again, again.filter("frequent"))]
+        self.scratch.drop("tokens")
+        return filters
 
     def groups(self, again, often) -> DataFrame:
         """Index rows: kind (0 rare token, 1 pair, 2 frequent token), token, node, n, pos (in the prefix), big."""
@@ -272,7 +274,9 @@ class Join:
         candidate = F.when((F.col("kind") == 1) | F.col("big"), F.struct("node", "n"))
         pivots = often.groupBy("kind", "token").agg(F.min(candidate).alias("_pivot"), F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_pivot is not null and _a <> _b")
         second = often.join(pivots, ["kind", "token"]).select("kind", "token", "node", "n", "pos", "big", F.col("_pivot.node").alias("pivot"), F.col("_pivot.n").alias("pivot_n"), F.lit(0).alias("pivot_pos"))
-        return self.scratch.write(first.unionByName(second), "groups", compression="zstd")
+        groups = self.scratch.write(first.unionByName(second), "groups", compression="zstd")
+        self.scratch.drop("index")
+        return groups
 
     def verified(self, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         """Of distinct pairs (u, v) of references, the pairs of nodes that link, by their whole sets; most others end at the bound from their bitmaps.
@@ -322,7 +326,9 @@ class Join:
 
         left = pairs.join(sets.toDF("u", "left"), "u")
         both = left.join(sets.toDF("v", "right"), "v").select("u", "v", "left", "right")
-        return self.scratch.write(map_arrow(both, compare, "u binary, v binary"), "links")
+        links = self.scratch.write(map_arrow(both, compare, "u binary, v binary"), "links")
+        self.scratch.drop("pairs")
+        return links
 
     def may_link(self, n: str, m: str, pos: str = "0", other: str = "0"):
         """Can sets of these sizes link, if the first token they share stands at these places?"""
@@ -462,6 +468,7 @@ class Join:
         star = self.scratch.write(star, "star")
         links = self.verified(star, bitmaps)
         labels = self.scratch.write(connected_components(links, self.scratch.write), "labels")
+        self.scratch.drop("stars")
         tried = star
         # Pairs that would join the members of open groups, then all that are left between components.
         for spanning in (True, False):
@@ -471,6 +478,7 @@ class Join:
             known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
             labels = connected_components(known.union(found), self.scratch.write)
             labels = self.scratch.write(labels, "labels") if spanning else write_shared(labels, "labels")
+            self.scratch.drop("stars")
             tried = tried.union(more)
         self.scratch.drop()
         return labels

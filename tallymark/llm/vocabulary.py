@@ -35,19 +35,21 @@ def write_shared(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one computation in the shared folder, deleted together once what is made of them has been written."""
+    """Tables of one computation in the shared folder, deleted once what is made of them has been written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, label: str, **options: str) -> DataFrame:
-        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        path = f"{self.folder}/{label}/{uuid.uuid4().hex}"
         df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *labels: str) -> None:
+        """The tables of some labels, or all."""
+        for name in [f"{self.folder}/{label}" for label in labels] or [self.folder]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @lru_cache(2)
