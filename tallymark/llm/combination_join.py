@@ -47,6 +47,7 @@ from tallymark.llm.words import LOWER, WHITE, chunks, column, map_arrow, map_par
 WIDTH, PERCENT = 5, 75
 FREQUENT = 16  #: sets that a frequent token is met in, at least
 MOST_FREQUENT = 24
+AT_A_TIME = 8 << 20  #: bytes of texts whose sets are held together
 SIDE = 2000  #: members of a block of a large group
 BITS = 1 << 27
 BITS_PER_TOKEN = 4  #: of a parity bitmap, about
@@ -136,17 +137,19 @@ class Join:
         self.scratch = Scratch(docs.sparkSession)
 
     def each(self, rows, schema: str) -> DataFrame:
-        """``rows(nodes, sets)`` over the distinct sets of every batch."""
+        """``rows(nodes, sets)`` over the distinct sets of every batch, some megabytes of texts at a time."""
         width = self.width
 
         def batchwise(batch):
-            seen: dict[bytes, np.ndarray] = {}
-            for _, texts in chunks(column(batch, "text")):
+            seen: set[bytes] = set()
+            for _, texts in chunks(column(batch, "text"), AT_A_TIME):
+                part: dict[bytes, np.ndarray] = {}
                 for tokens in shingle_sets(texts, width):
                     node = node_of(tokens)
-                    if node is not None:
-                        seen[node] = tokens
-            yield from rows(list(seen), list(seen.values()))
+                    if node is not None and node not in seen:
+                        part[node] = tokens
+                seen.update(part)
+                yield from rows(list(part), list(part.values()))
 
         return map_arrow(self.docs.select("text"), batchwise, schema)
 
