@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import evaluation
+from tallymark.operators import tokens as T
+
+RAW = "scan_id long, token_id long, text string, x int, y int, w int, h int, confidence double, engine string"
+
 
 @pytest.fixture
 def no_broadcast(spark):
@@ -18,3 +22,10 @@ def test_scores_send_no_table_through_the_driver(spark, no_broadcast):
     guess = truth.where("scan_id < 40").select("scan_id", "field_name", F.when(F.col("scan_id") < 30, "V ").otherwise("w").alias("extracted_value"))
     got = evaluation.extraction_scores(truth, guess)
     assert {tuple(r)[:4] for r in got.collect()} == {(f, 50, 40, 30) for f in ("mrp", "net_quantity")}
+
+
+def test_engine_merge_sends_no_table_through_the_driver(spark, no_broadcast):
+    rows = [(s, i, "t", 100 * i, 5, 60, 20, 0.5, "tesseract") for s in range(30) for i in range(6)]
+    rows += [(s, 100 + i, "t", 100 * i + 2, 6, 60, 20, 0.4 if i % 2 else 0.6, "easyocr") for s in range(30) for i in range(6)]
+    got = {(r.scan_id, r.token_id): r.engine_used for r in T.merge_engines(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == {(s, i if i % 2 else 100 + i): "tesseract|merged" if i % 2 else "easyocr|merged" for s in range(30) for i in range(6)}
