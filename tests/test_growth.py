@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import classify as C
 from tallymark.operators import evaluation
 from tallymark.operators import tokens as T
+from tallymark.plans import load_all
 
 RAW = "scan_id long, token_id long, text string, x int, y int, w int, h int, confidence double, engine string"
 
@@ -67,3 +68,16 @@ def test_blocks_without_a_label_count_for_none(spark):
     assert [(r.scan_id, r.field_name, r.extracted_value) for r in C.classify(tokens).collect()] == [(1, "mrp", "MRP Rs. 46.00")]
     assert {r.scan_id for r in C.merge_fields(tokens).collect()} == {1}
     assert sorted((r.scan_id or 0, r.block_text) for r in C.all_blocks(tokens).collect()) == [(0, "MRP Rs. 45.00"), (1, "MRP Rs. 46.00")]
+
+
+def test_repeated_evidence_reads_each_file_once(spark, tmp_path):
+    pages = [(i, "same" if i % 9 == 2 else f"page {i}") for i in range(30)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = load_all()["repeated_evidence"](spark, f"file://{tmp_path}")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+    kept = [i for i, _ in pages if i % 13 != 5]
+    expected = {}
+    for i in kept:
+        body = dict(pages)[i] + ("<!-- changed -->" if i % 11 == 4 else "")
+        expected.setdefault(body, []).extend([i, i + 1_000_000] if i % 9 == 2 else [i])
+    assert sorted((r.n_files, r.first_file_id) for r in found.collect()) == sorted((len(v), min(v)) for v in expected.values() if len(v) > 1)
