@@ -30,6 +30,7 @@ from tallymark.llm import pretokens
 from tallymark.llm.words import chunks, column, give_back, map_partition
 
 LONG_WORD = 256
+CHUNK_BYTES = 1 << 20  #: of texts encoded together: splitting them takes many times as much memory
 REMEMBERED, LONGEST_REMEMBERED = 150_000, 64  #: words beside those of the chunk at hand, and bytes of one
 #: Rows of one recursive query, about, and tokens of one decoding query: what keeps them within the database's memory.
 ROUND_ROWS, DECODED = 1_500_000, 400_000
@@ -214,7 +215,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     path = path or default_path()
 
     def rows(codec, batch):
-        for at, texts in chunks(column(batch, text)):
+        for at, texts in chunks(column(batch, text), CHUNK_BYTES):
             ids, ends = codec.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], [key, "ids"])
@@ -248,7 +249,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
 
     def rows(codec, batch):
-        for at, texts in chunks(column(batch, text)):
+        for at, texts in chunks(column(batch, text), CHUNK_BYTES):
             ids, ends = codec.encode(texts)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pc.cast(pa.array(ids), pa.large_string()))
             columns = {

@@ -3,9 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.llm import byte_bpe
 from tallymark.operators import classify as C
 from tallymark.operators import evaluation
 from tallymark.operators import tokens as T
@@ -81,3 +83,15 @@ def test_repeated_evidence_reads_each_file_once(spark, tmp_path):
         body = dict(pages)[i] + ("<!-- changed -->" if i % 11 == 4 else "")
         expected.setdefault(body, []).extend([i, i + 1_000_000] if i % 9 == 2 else [i])
     assert sorted((r.n_files, r.first_file_id) for r in found.collect()) == sorted((len(v), min(v)) for v in expected.values() if len(v) > 1)
+
+
+def test_few_texts_are_encoded_at_once(spark, monkeypatch):
+    caught, sizes = {}, []
+    monkeypatch.setattr(byte_bpe, "with_codec", lambda df, path, rows, schema: caught.update(rows=rows))
+    byte_bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"))
+    codec = byte_bpe.Codec(byte_bpe.default_path())
+    encode = codec.encode
+    codec.encode = lambda texts: (sizes.append(texts.nbytes), encode(texts))[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([f"word{i} " * 15_000 for i in range(30)])], ["doc_id", "text"])
+    assert [i for out in caught["rows"](codec, batch) for i in out.column(0).to_pylist()] == list(range(30))
+    assert len(sizes) > 2 and max(sizes) <= 1.01 * 2**20
