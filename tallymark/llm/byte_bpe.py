@@ -3,8 +3,9 @@
 Each task keeps an in-memory database of its own with two tables made from the rank file: ``vocab`` and
 ``merges`` (every pair of tokens whose bytes together are a token; its rank is that token's id). The distinct
 pre-tokens of a chunk become token-position rows; the recursive query joins neighbours with ``merges`` and
-contracts the leftmost pair of least rank of every word, round by round, until no word has a pair left. A word
-that is a token itself takes no round. Words found are remembered, to a bounded number. Each round rewrites all
+contracts the leftmost pair of least rank of every word, round by round, until no word has a pair left. Its first
+member contracts all pairs of bytes at once that no earlier merge can break (``Ranks.sure``). A word that is a token
+itself takes no round. Words found are remembered, those used of late, to a bounded number. Each round rewrites all
 words that still change, so words of more than ``LONG_WORD`` bytes, whose rounds would be as many as their bytes,
 are contracted by the same rule with a heap.
 
@@ -31,23 +32,25 @@ from tallymark.llm.words import chunks, column, give_back, map_partition
 
 LONG_WORD = 256
 CHUNK_BYTES = 1 << 20  #: of texts encoded together: splitting them takes many times as much memory
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 64  #: words beside those of the chunk at hand, and bytes of one
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64  #: words of each of two generations beside those of the chunk at hand, and bytes of one
+NO_RANK = 1 << 40
 #: Rows of one recursive query, about, and tokens of one decoding query: what keeps them within the database's memory.
 ROUND_ROWS, DECODED = 1_500_000, 400_000
 
+#: A token stands at the place of its first byte; ``after`` is the place of the next.
 CONTRACT = """
-WITH RECURSIVE tokens(round, word, pos, id) AS (
-    SELECT 0, word, pos, id FROM start
+WITH RECURSIVE tokens(round, word, pos, after, id) AS (
+    SELECT 0, word, pos, after, id FROM start WHERE NOT gone
     UNION ALL
-    SELECT round + 1, word, CASE WHEN pos > hit THEN pos - 1 ELSE pos END, CASE WHEN pos = hit THEN rank ELSE id END
-    FROM (SELECT tokens.*, (least >> 10)::INTEGER AS rank, (least & 1023)::INTEGER AS hit
+    SELECT round + 1, word, pos, CASE WHEN pos = hit THEN (least & 1023)::SMALLINT ELSE after END, CASE WHEN pos = hit THEN (least >> 30)::INTEGER ELSE id END
+    FROM (SELECT tokens.*, least, (least >> 20) & 1023 AS hit, (least >> 10) & 1023 AS merged
           FROM tokens
-          JOIN (SELECT l.word, min(merges.id::BIGINT << 10 | l.pos) AS least
+          JOIN (SELECT l.word, min((merges.id::BIGINT << 30) | (l.pos::BIGINT << 20) | (r.pos::BIGINT << 10) | r.after::BIGINT) AS least
                 FROM tokens AS l
-                JOIN tokens AS r ON r.word = l.word AND r.pos = l.pos + 1
+                JOIN tokens AS r ON r.word = l.word AND r.pos = l.after
                 JOIN merges ON merges.l = l.id AND merges.r = r.id
                 GROUP BY l.word) AS best USING (word))
-    WHERE pos <> hit + 1
+    WHERE pos <> merged
 )
 SELECT word, id
 FROM tokens JOIN (SELECT word, max(round) AS round FROM tokens GROUP BY word) USING (word, round)
@@ -78,7 +81,35 @@ class Ranks:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.merges = pa.table({"l": l, "r": r, "id": m})
         self.vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        self.known: dict[bytes, bytes] = {}  #: ids of words, as bytes of 32-bit numbers
+        # Of two bytes: the rank of their token, if no merge of that token has a lower one; the least rank of any merge of a token
+        # that ends in the first with the second alone; the least rank of any merge of the first alone with one that begins with the second.
+        self.pairs, self.left, self.right = (np.full((256, 256), NO_RANK) for _ in range(3))
+        tokens = {rank: token for token, rank in self.ranks.items()}
+        lower = {part for a, b, rank in found for part in (a, b) if rank < part}
+        for a, b, rank in found:
+            x, y = tokens[a], tokens[b]
+            if len(x) == len(y) == 1 and rank not in lower:
+                self.pairs[x[0], y[0]] = rank
+            if len(y) == 1:
+                self.left[x[-1], y[0]] = min(self.left[x[-1], y[0]], rank)
+            if len(x) == 1:
+                self.right[x[0], y[0]] = min(self.right[x[0], y[0]], rank)
+        self.known: dict[bytes, bytes] = {}  #: ids of words used of late, as bytes of 32-bit numbers
+        self.older: dict[bytes, bytes] = {}  #: and of the generation before
+
+    def sure(self, data: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """The token that each byte and the next are certain to be merged into, else ``NO_RANK``; ``same`` where both are of one word.
+
+        No merge of a lower rank can take the first byte with what ends before it, or the second with what begins after
+        it (nor one of the same rank further left), so both are still there when their rank's turn comes; and no merge of
+        their token has a lower rank, so nothing changes if it is there before.
+        """
+        rank = np.where(same, self.pairs[data[:-1], data[1:]], NO_RANK)
+        taken = np.zeros(len(rank), bool)
+        taken[1:] |= same[:-1] & (self.left[data[:-2], data[1:-1]] <= rank[1:])
+        taken[:-1] |= same[1:] & (self.right[data[1:-1], data[2:]] < rank[:-1])
+        rank[taken] = NO_RANK
+        return rank
 
 
 class Codec:
@@ -87,13 +118,12 @@ class Codec:
     def __init__(self, path: str):
         import duckdb
 
-        own = ranks(path)
+        own = self.own = ranks(path)
         self.ranks, self.merged, self.byte_ids = own.ranks, own.merged, own.byte_ids
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB"})
         merges, vocab = own.merges, own.vocab  # noqa: F841  read by their names
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocab AS FROM vocab")
-        self.known = own.known
 
     def close(self) -> None:
         self.db.close()
@@ -119,16 +149,32 @@ class Codec:
                     heapq.heappush(queue, (self.merged[p], a, *p))
         return [x for x, y in zip(ids, alive) if y]
 
+    def start(self, words: list[bytes]) -> pa.Table:
+        """The bytes of words of two bytes or more: the first of a pair that is sure to be merged has its token, the second is marked as gone."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        pos = (np.arange(len(data)) - (np.cumsum(size) - size)[word]).astype(np.int16)
+        ids, after, gone = self.byte_ids[data], pos + np.int16(1), np.zeros(len(data), bool)
+        rank = self.own.sure(data, word[1:] == word[:-1])
+        hit = np.flatnonzero(rank < NO_RANK)
+        ids[hit], after[hit], gone[hit + 1] = rank[hit], after[hit] + 1, True
+        return pa.table({"word": word, "pos": pos, "after": after, "id": ids, "gone": gone})
+
     def encode_words(self, words: list[bytes]) -> None:
         """Remember the ids of words that are not known yet."""
-        fresh = [w for w in words if w not in self.known]
+        known, older = self.own.known, self.own.older
         rest = []
-        for word in fresh:
-            whole = self.ranks.get(word)
-            if whole is not None:
-                self.known[word] = whole.to_bytes(4, "little")
+        for word in words:
+            if word in known:
+                continue
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            elif (whole := self.ranks.get(word)) is not None:
+                known[word] = whole.to_bytes(4, "little")
             elif len(word) > LONG_WORD:
-                self.known[word] = np.array(self.heap(word), np.int32).tobytes()
+                known[word] = np.array(self.heap(word), np.int32).tobytes()
             else:
                 rest.append(word)
         # A word of n bytes leaves at most n * (n + 1) / 2 rows over all rounds.
@@ -137,35 +183,32 @@ class Codec:
         while at < len(rest):
             end = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + ROUND_ROWS, "right")))
             some, at = rest[at:end], end
-            size = np.array([len(w) for w in some])
-            begin = np.cumsum(size) - size
-            word = np.repeat(np.arange(len(some), dtype=np.int32), size)
-            start = pa.table({"word": word, "pos": (np.arange(len(word)) - begin[word]).astype(np.int32), "id": self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]})
-            self.db.register("start", start)
+            self.db.register("start", self.start(some))
             done = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("start")
             ids = done.column("id").to_numpy().astype(np.int32).tobytes()
             ends = (4 * np.searchsorted(done.column("word").to_numpy(), np.arange(len(some) + 1))).tolist()
             for w, name in enumerate(some):
-                self.known[name] = ids[ends[w] : ends[w + 1]]
+                known[name] = ids[ends[w] : ends[w + 1]]
 
-    def forget(self, names: list[bytes], words) -> None:
-        """Beyond the bound, of the words of the last chunk only short ones that stand there twice stay remembered."""
-        if len(self.known) > REMEMBERED:
-            often = np.flatnonzero(np.bincount(words.ids, minlength=len(names)) > 1).tolist()[:REMEMBERED]
-            kept = {names[i]: self.known[names[i]] for i in often if len(names[i]) <= LONGEST_REMEMBERED}
-            self.known.clear()
-            self.known.update(kept)
+    def forget(self, names: list[bytes]) -> None:
+        """Long words go with their chunk; of the others a generation that is full becomes the older one, which goes."""
+        own = self.own
+        for word in names:
+            if len(word) > LONGEST_REMEMBERED:
+                del own.known[word]
+        if len(own.known) > REMEMBERED:
+            own.known, own.older = {}, own.known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text ends."""
         words = pretokens.split(texts, "byte")
         names = words.names.to_pylist()
         self.encode_words(names)
-        lists = [self.known[w] for w in names]
+        lists = [self.own.known[w] for w in names]
         size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         flat = np.frombuffer(b"".join(lists), np.int32)
-        self.forget(names, words)
+        self.forget(names)
         begin = np.cumsum(size) - size
         per = size[words.ids]
         ends = np.concatenate([[0], np.cumsum(per)])
